@@ -1,0 +1 @@
+"""Empty on purpose: every operator in scope is a batch table operator (see README)."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from subscope.session import parallelism
+from subscope.session import materialize, parallelism
 
 SAMPLE_PER_RANGE = 32
 
@@ -39,9 +39,12 @@ def with_range(df: DataFrame, keys: Sequence[str], parts: int | None = None) ->
         df.where(F.pmod(F.xxhash64(*keys), F.lit(step)) == 0)
         .agg(F.sort_array(F.collect_list(key)).alias("s"))
         .select(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(parts - 1)),
-                lambda i: F.get("s", F.floor(i * F.size("s") / parts).cast("int")),
+            F.filter(
+                F.transform(
+                    F.sequence(F.lit(1), F.lit(parts - 1)),
+                    lambda i: F.get("s", F.floor(i * F.size("s") / parts).cast("int")),
+                ),
+                lambda b: b.isNotNull(),
             ).alias("b")
         )
     )
@@ -73,10 +76,11 @@ def running_sums(
     """Inclusive running sums in ``keys`` order, restarted for every value of ``by``.
 
     ``df`` must be unique on ``by + keys``. A group of any size is spread over ranges; the
-    offsets are one row per (group, range) and stay distributed.
+    offsets are one row per (group, range) and stay distributed. The input is read by
+    several passes, so it is written once first.
     """
     by = list(by)
-    ranged = with_range(df, [*by, *keys], parts)
+    ranged = with_range(materialize(df, "ordered"), [*by, *keys], parts)
     inside = (
         Window.partitionBy(*by, "_range")
         .orderBy(*keys)

@@ -76,17 +76,17 @@ def rfm_heatmap(df: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Equal-width histogram between the smallest and largest value, empty bins as 0."""
     rows = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    span = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+    span = rows.agg(F.min("v"), F.max("v")).first()
+    lo, hi = (F.lit(v).cast("double") for v in span)
     found = rows.groupBy(bin_index(F.col("v"), lo, hi, bins).alias("bin")).agg(
         F.count(F.lit(1)).alias("n")
     )
     return (
-        span.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+        _rows(df, "bin", list(range(bins)))
         .join(found, "bin", "left")
         .select(
             "bin",
-            (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins).alias("bin_start"),
+            (lo + F.col("bin") * (hi - lo) / bins).alias("bin_start"),
             F.coalesce("n", F.lit(0)).alias("n"),
         )
     )

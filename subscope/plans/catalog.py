@@ -5,18 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from subscope import constants as K
 from subscope.functions import cleaning, rules
+from subscope.models import attribution, churn, clv, matrix, persist, propensity, scoring, segments
 from subscope.operators import (
     alerts, campaigns, drift, encoding, events, explain, metrics, ordering, profiles, reports, value,
 )
 from subscope.plans import flows
 from subscope.plans.fixtures import (
-    AMOUNT_COLUMNS, DIGITS, PERFORMANCE, QUERY_CUSTOMER, SHORT_DAYS, STAMP, ZCOLS, master, store,
+    AMOUNT_COLUMNS, DIGITS, OFF_EDGE, PERFORMANCE, QUERY_CUSTOMER, SHORT_DAYS, STAMP, ZCOLS, master, store,
 )
 from subscope.session import materialize, scratch_path
 from subscope.sources import adapters as A
@@ -27,9 +30,15 @@ QUERIES: dict[str, Query] = {}
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Round doubles so that another engine's summation order does not show."""
-    doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({c: F.round(F.col(c), DIGITS.get(c, 6)) + F.lit(0.0) for c in doubles})
+    """Round doubles so that another engine's summation order does not show; dates as text."""
+    out = {}
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.DoubleType):
+            moved = F.col(f.name) + F.lit(OFF_EDGE.get(f.name, 0.0))
+            out[f.name] = F.round(moved, DIGITS.get(f.name, 6)) + F.lit(0.0)
+        elif isinstance(f.dataType, T.DateType):
+            out[f.name] = F.col(f.name).cast("string")
+    return df.withColumns(out) if out else df
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -147,7 +156,7 @@ def _(s, d):
 def _(s, d):
     return _prof(s, d).select(
         "customer_id", "tenure_months", "monthly_charges", "total_charges", "churn_label",
-        *K.YES_NO_COLUMNS, *K.ADD_ON_COLUMNS,
+        *[F.col(c).cast("double").alias(c) for c in (*K.YES_NO_COLUMNS, *K.ADD_ON_COLUMNS)],
     )
 
 
@@ -196,11 +205,11 @@ def _(s, d):
 
 @query("numeric_feature_matrix")
 def _(s, d):
-    from subscope.models.matrix import feature_vector
-
     m = master(s, d)
-    return feature_vector(m, encoding.numeric_columns(m)).select(
-        "customer_id", F.expr("cast(features as string)").alias("features")
+    names = _features(m)
+    cells = vector_to_array("features")
+    return matrix.feature_vector(m, names).select(
+        "customer_id", *[cells[i].alias(c) for i, c in enumerate(names)]
     )
 
 
@@ -282,8 +291,9 @@ def _(s, d):
 def _(s, d):
     joined = profiles.join_features(_prof(s, d), events.event_features(_quarter(s, d), short=SHORT_DAYS))
     return joined.select(
-        "customer_id", "tenure_months", "monthly_charges", "recharge_count_90d", "total_recharge_90d",
-        "preferred_channel",
+        "customer_id", "tenure_months", "monthly_charges",
+        F.col("recharge_count_90d").cast("double").alias("recharge_count_90d"),
+        "total_recharge_90d", "preferred_channel",
     )
 
 
@@ -291,7 +301,7 @@ def _(s, d):
 def _(s, d):
     log = _quarter(s, d)
     act = events.activity_agg(log).select("customer_id", "total_events_count", "active_days_90d")
-    rec = events.recharge_agg(log).select("customer_id", "recharge_count", "total_recharge")
+    rec = events.recharge_agg(log).select("customer_id", F.col("recharge_count").cast("double").alias("recharge_count"), "total_recharge")
     return act.join(rec, "customer_id", "left").join(events.preferred_channel(log), "customer_id", "left")
 
 
@@ -694,3 +704,107 @@ def _(s, d):
 @query("rfm_behaviour_store")
 def _(s, d):
     return flows.value_store(_raw(s, d), _log2y(s, d), short=SHORT_DAYS)
+
+
+# models: fewer trees and starts than the defaults, since every boosting round is a job of its own
+
+TREES = 10
+
+
+def _features(m: DataFrame) -> list[str]:
+    return encoding.numeric_columns(m, [*K.NON_FEATURES, "cluster"])
+
+
+@query("stratified_split")
+def _(s, d):
+    return matrix.mark_split(_prof(s, d), "churn_label").select("customer_id", "churn_label", "is_test")
+
+
+def _churn_model(s: SparkSession, d: str) -> tuple[PipelineModel, DataFrame, list[str]]:
+    m = master(s, d)
+    names = _features(m)
+    marked = matrix.mark_split(m, "churn_label")
+    return churn.fit_churn(marked, names, trees=TREES), m.drop("churn_risk_score"), names
+
+
+@query("churn_model_scores")
+def _(s, d):
+    model, m, _ = _churn_model(s, d)
+    return churn.score_churn(model, m)
+
+
+@query("churn_attribution")
+def _(s, d):
+    model, m, names = _churn_model(s, d)
+    found = attribution.attribute(model, m)
+    return explain.top_factors(found, attribution.contribution_columns(names), 5)
+
+
+@query("model_roundtrip")
+def _(s, d):
+    model, m, _ = _churn_model(s, d)
+    path = scratch_path(s, "model")
+    persist.save_model(model, path)
+    return churn.score_churn(persist.load_model(path), m)
+
+
+@query("kmeans_segments")
+def _(s, d):
+    m = master(s, d)
+    model = segments.fit_segments(m, _features(m), n_init=3)
+    return segments.assign_segments(model, m.drop("cluster")).select(
+        "customer_id", "cluster", "segment_label", "description", "recommended_campaign"
+    )
+
+
+@query("silhouette")
+def _(s, d):
+    z = metrics.standardize(master(s, d), ZCOLS)
+    found = segments.silhouette(z, [f"{c}_z" for c in ZCOLS])
+    return s.range(1).select(F.lit(found).alias("silhouette"))
+
+
+@query("k_selection")
+def _(s, d):
+    m = master(s, d)
+    return segments.k_selection(m, _features(m), range(3, 7))
+
+
+@query("pca_2d")
+def _(s, d):
+    m = master(s, d)
+    return segments.pca_2d(m, _features(m))
+
+
+@query("propensity_scores")
+def _(s, d):
+    m = master(s, d)
+    labelled = materialize(value.propensity_labels(m), "labelled")
+    names = _features(m)
+    parts = []
+    for offer, (label, _) in propensity.OFFERS.items():
+        train, _ = matrix.stratified_split(labelled, label)
+        model = propensity.fit_propensity(train, offer, names, trees=TREES, depth=5)
+        parts.append(propensity.score_propensity(model, m).withColumn("offer_type", F.lit(offer)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("clv_scores")
+def _(s, d):
+    m = master(s, d)
+    model = clv.fit_clv(m, _features(m), trees=TREES)
+    return clv.score_clv(model, m.drop("clv_90d"), value.clv_thresholds(m))
+
+
+@query("cv_r2")
+def _(s, d):
+    m = master(s, d)
+    found = clv.cv_r2(m, _features(m), trees=3, depth=3)
+    return s.range(1).select(F.lit(found).alias("cv_r2"))
+
+
+@query("score_all_models")
+def _(s, d):
+    m = master(s, d)
+    models = scoring.fit_all(m, _features(m), churn_trees=5, forest_trees=5, clv_trees=5, n_init=2)
+    return scoring.score_all(models, m)

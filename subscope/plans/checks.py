@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from subscope import constants as K
 from subscope.plans.fixtures import (
-    AMOUNT_COLUMNS, DIGITS, PERFORMANCE, QUERY_CUSTOMER, SHORT_DAYS, STAMP, ZCOLS,
+    AMOUNT_COLUMNS, DIGITS, OFF_EDGE, PERFORMANCE, QUERY_CUSTOMER, SHORT_DAYS, STAMP, ZCOLS,
 )
 from subscope.sources import adapters as A
 
 
 def _rounded(body: str, columns: list[str], ctes: list[str]) -> str:
-    """Wrap a query so that the named double columns are rounded like the Spark side."""
+    """Wrap a query so that the named double and date columns look like the Spark side's."""
     head = f"WITH {', '.join(ctes)} " if ctes else ""
     if not columns:
         return f"{head}{body}"
-    parts = ", ".join(f"round({c}, {DIGITS.get(c, 6)}) + 0e0 AS {c}" for c in columns)
+    parts = ", ".join(
+        f"cast({c} AS string) AS {c}"
+        if c.endswith("_date")
+        else f"round({c} + {OFF_EDGE.get(c, 0.0)!r}, {DIGITS.get(c, 6)}) + 0e0 AS {c}"
+        for c in columns
+    )
     return f"{head}SELECT * REPLACE ({parts}) FROM ({body}) AS q"
 
 
@@ -382,6 +387,27 @@ def _soft() -> str:
     )
 
 
+def _silhouette() -> str:
+    """Mean silhouette with squared distances, from the size, sum and squared norm of each cluster."""
+    norm = " + ".join(f"{c}_z * {c}_z" for c in ZCOLS)
+    sums = ", ".join(f"sum({c}_z) AS y{i}" for i, c in enumerate(ZCOLS))
+    dot = " + ".join(f"{c}_z * y{i}" for i, c in enumerate(ZCOLS))
+    return (
+        "SELECT avg(CASE WHEN n = 1 THEN 0e0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM (SELECT customer_id, "
+        "max(CASE WHEN own THEN nc END) AS n, max(CASE WHEN own AND nc > 1 THEN (nc * sq + psi - 2 * dot) / (nc - 1) END) AS a, "
+        "min(CASE WHEN NOT own THEN sq + psi / nc - 2 * dot / nc END) AS b FROM (SELECT customer_id, z.cluster = c.cluster AS own, "
+        f"nc, psi, {norm} AS sq, {dot} AS dot FROM z CROSS JOIN (SELECT cluster, count(*) AS nc, sum({norm}) AS psi, {sums} FROM z GROUP BY 1) AS c) GROUP BY 1)"
+    )
+
+
+MATRIX = [
+    c
+    for c in ["tenure_months", "monthly_charges", "total_charges", *K.YES_NO_COLUMNS, *K.ADD_ON_COLUMNS, *ZERO_FILLED]
+] + [n for spec in K.INDICATORS.values() for n in spec] + [
+    '"MultipleLines_No phone service"', '"MultipleLines_Yes"', "r_score", "f_score", "m_score", "rfm_score", "arpu",
+    "engagement_score", "declining_recharge", "long_silence", "low_activity", "recharge_drop_flag", "high_data_user",
+    "frequent_recharger", "high_offer_responder", "app_user", "premium_customer",
+]
 CLUSTERS = [
     *MASTER,
     "prof_ AS (SELECT cluster, "
@@ -440,13 +466,13 @@ def build() -> dict[str, str]:
     profile_cols = ", ".join(c for c in K.PROFILE_COLUMNS)
     out = {
         "scan_profiles": r(f"SELECT {profile_cols} FROM raw", ["MonthlyCharges"], [RAW]),
-        "scan_events": r(f"SELECT {', '.join(K.EVENT_COLUMNS)} FROM log", ["recharge_amount", "data_mb_used"], [LOG]),
+        "scan_events": r(f"SELECT {', '.join(K.EVENT_COLUMNS)} FROM log", ["event_date", "recharge_amount", "data_mb_used"], [LOG]),
         "schema_contract": " UNION ALL ".join(
             f"SELECT '{c}' AS column_name, true AS present, count({c}) AS filled_rows FROM raw" for c in K.PROFILE_COLUMNS
         ),
         "coerce_types": r(
             "SELECT row_id, try_cast(event_date AS date) AS event_date, try_cast(amount AS double) AS amount FROM txt",
-            [], [_cte("txt", A.RAW_TEXT)],
+            ["event_date"], [_cte("txt", A.RAW_TEXT)],
         ),
         "clean_keys_and_labels": r(
             "SELECT trim(customerID) AS customerID, CASE SeniorCitizen WHEN 0 THEN 'No' WHEN 1 THEN 'Yes' END AS SeniorCitizen, "
@@ -463,10 +489,10 @@ def build() -> dict[str, str]:
         "rfm_export": r("SELECT customer_id, rfm_score FROM rfm", [], [*STORE2Y, RFM]),
         "normalize_profile": r(
             "SELECT customer_id, tenure_months, monthly_charges, total_charges, churn_label, "
-            + ", ".join([*K.YES_NO_COLUMNS, *K.ADD_ON_COLUMNS]) + " FROM prof", ["monthly_charges"], [RAW, PROF],
+            + ", ".join(f"cast({c} AS double) AS {c}" for c in [*K.YES_NO_COLUMNS, *K.ADD_ON_COLUMNS]) + " FROM prof", ["monthly_charges"], [RAW, PROF],
         ),
         "one_hot_fixed": r(
-            "SELECT prof.customer_id, " + ", ".join(INDICATOR_SQL) + " FROM prof LEFT JOIN chan USING (customer_id)",
+            "SELECT prof.customer_id, " + ", ".join(INDICATOR_SQL) + " FROM prof LEFT JOIN (SELECT customer_id, channel AS preferred_channel FROM chan) USING (customer_id)",
             [], [RAW, QUARTER, PROF, *_features(SHORT_DAYS)],
         ),
         "one_hot_dynamic": r("SELECT customer_id, " + ", ".join(LINES_SQL) + " FROM prof", [], [RAW, PROF]),
@@ -485,10 +511,10 @@ def build() -> dict[str, str]:
         ),
         "event_filters": r(
             "SELECT customer_id, event_date, recharge_amount FROM log, (SELECT max(event_date) AS d FROM log) WHERE event_type = 'RECHARGE' AND event_date >= d - 30",
-            ["recharge_amount"], [LOG2Y],
+            ["event_date", "recharge_amount"], [LOG2Y],
         ),
         "offer_flags": r(
-            f"SELECT customer_id, event_date, event_type, {OFFER} AS has_offer, {TAKEN} AS is_accepted FROM log", [], [CLICKS],
+            f"SELECT customer_id, event_date, event_type, {OFFER} AS has_offer, {TAKEN} AS is_accepted FROM log", ["event_date"], [CLICKS],
         ),
         "arpu": r("SELECT customer_id, total_recharge_90d / 3 AS arpu FROM store", ["arpu"], STORE2Y),
         "engagement_score": r(f"SELECT customer_id, {ENGAGEMENT} FROM store", ["engagement_score"], STORE2Y),
@@ -515,10 +541,10 @@ def build() -> dict[str, str]:
             f"'Dormant' AS ml_segment, propensity_bundle, propensity_topup, propensity_reactivation, lifecycle_stage FROM master WHERE customer_id = '{QUERY_CUSTOMER}'",
             ["churn_risk_score", "clv_90d", "propensity_bundle", "propensity_topup", "propensity_reactivation"], MASTER),
         "profile_left_join": r(
-            "SELECT prof.customer_id, tenure_months, monthly_charges, recharge_count_90d, total_recharge_90d, preferred_channel FROM prof LEFT JOIN feats USING (customer_id)",
+            "SELECT prof.customer_id, tenure_months, monthly_charges, cast(recharge_count_90d AS double) AS recharge_count_90d, total_recharge_90d, preferred_channel FROM prof LEFT JOIN feats USING (customer_id)",
             ["monthly_charges", "total_recharge_90d"], [RAW, QUARTER, PROF, *_features(SHORT_DAYS)]),
         "feature_block_joins": r(
-            "SELECT acts.customer_id, acts.n AS total_events_count, active_days AS active_days_90d, rech.n AS recharge_count, coalesce(rech.s, NULL) AS total_recharge, chan.channel AS preferred_channel "
+            "SELECT acts.customer_id, acts.n AS total_events_count, active_days AS active_days_90d, cast(rech.n AS double) AS recharge_count, rech.s AS total_recharge, chan.channel AS preferred_channel "
             "FROM acts LEFT JOIN rech USING (customer_id) LEFT JOIN chan USING (customer_id)",
             ["total_recharge"], [QUARTER, *_features(SHORT_DAYS)]),
         "customers_without_events": r(
@@ -527,10 +553,10 @@ def build() -> dict[str, str]:
         "dictionary_lookup": r(f"SELECT customer_id, clv_tier, {WEIGHT} AS tier_weight, {BUDGET} AS retention_budget FROM scores", [], [SCORES]),
         "activity_agg": r(
             "SELECT acts.customer_id, active_days AS active_days_90d, last_day AS last_activity_date, n AS total_events_count, cast(date_diff('day', last_day, d) AS int) AS days_since_last_activity FROM acts, ref",
-            [], [LOG, *_features(SHORT_DAYS)]),
+            ["last_activity_date"], [LOG, *_features(SHORT_DAYS)]),
         "recharge_agg_90d": r(
             "SELECT customer_id, n AS recharge_count, s AS total_recharge, a AS avg_recharge_amount, last_day AS last_recharge_date, cast(date_diff('day', last_day, d) AS int) AS days_since_last_recharge FROM rech, ref",
-            ["total_recharge", "avg_recharge_amount"], [LOG, *_features(SHORT_DAYS)]),
+            ["total_recharge", "avg_recharge_amount", "last_recharge_date"], [LOG, *_features(SHORT_DAYS)]),
         "recharge_agg_30d": r(
             "SELECT customer_id, n AS recharge_count_30d, s AS total_recharge_30d FROM rech30", ["total_recharge_30d"], [LOG2Y, *_features(30)]),
         "data_usage_agg": r(
@@ -547,7 +573,7 @@ def build() -> dict[str, str]:
             "SELECT customer_id, CASE WHEN count(*) < 2 THEN 0e0 ELSE regr_slope(recharge_amount, i) END AS recharge_trend FROM "
             "(SELECT customer_id, recharge_amount, row_number() OVER (PARTITION BY customer_id ORDER BY event_date, recharge_amount) AS i FROM log WHERE event_type = 'RECHARGE') GROUP BY 1",
             ["recharge_trend"], [LOG]),
-        "reference_dates": r("SELECT min(event_date) AS min_date, max(event_date) AS max_date FROM log", [], [LOG]),
+        "reference_dates": r("SELECT min(event_date) AS min_date, max(event_date) AS max_date FROM log", ["min_date", "max_date"], [LOG]),
         "feature_quantiles": r(
             " UNION ALL ".join(
                 f"SELECT '{c}' AS feature_name, " + ", ".join(f"quantile_cont(cast({c} AS double), {p}) AS p{round(p * 100)}" for p in (0.2, 0.25, 0.5, 0.75, 0.9)) + " FROM master"
@@ -653,6 +679,12 @@ def build() -> dict[str, str]:
         "rfm_behaviour_store": r("SELECT * FROM beh", VALUE_DOUBLES, VALUE),
         "campaign_all": r(ALL_LISTS, LIST_DOUBLES, LISTS),
     }
+    out["feature_store_roundtrip"] = r("SELECT * FROM store", STORE_DOUBLES, STORE2Y)
+    out["opportunity_export"] = r(_list_sql("bundle_upsell", 5000), LIST_DOUBLES, LISTS)
+    out["numeric_feature_matrix"] = r(
+        "SELECT customer_id, " + ", ".join(f"cast({c} AS double) AS {c}" for c in MATRIX) + " FROM master",
+        MATRIX, MASTER)
+    out["silhouette"] = r(_silhouette(), ["silhouette"], Z)
     out["schema_contract"] = f"WITH {RAW} " + out["schema_contract"]
     for kind in K.CAMPAIGNS:
         out[f"campaign_{kind}"] = r(_list_sql(kind, 200), LIST_DOUBLES, LISTS)
@@ -661,6 +693,7 @@ def build() -> dict[str, str]:
     }
     union = " UNION ALL ".join(f"SELECT * FROM (WITH {', '.join(c)} {q})" for q, c in alert_lists.values())
     out["alert_union"] = r(f"SELECT * FROM ({union})", ["metric_value"], [])
+    out["alert_log_roundtrip"] = out["alert_union"]
     out["alert_summary"] = (
         f"WITH al AS ({union}) SELECT g.grouping, g.name, count(al.alert_id) AS alerts, (SELECT max(timestamp) FROM al) AS latest_timestamp FROM ("
         + " UNION ALL ".join(

@@ -12,6 +12,8 @@ SHORT_DAYS = 180
 STAMP = "2024-01-31T00:00:00"
 QUERY_CUSTOMER = "77"
 DIGITS = {"recharge_trend": 3, "data_usage_trend": 3, "mae": 4, "rmse": 4, "std": 4, "contribution": 6}
+# slopes of few points often end in an exact half, so they are moved off the rounding edge
+OFF_EDGE = {"recharge_trend": 0.00017, "data_usage_trend": 0.00017}
 AMOUNT_COLUMNS = [
     "total_recharge_90d", "data_usage_mb_30d", "arpu", "recharge_count_30d",
     "days_since_last_recharge", "tenure_months",

@@ -22,13 +22,10 @@ def rfm_export(df: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def write_opportunities(df: DataFrame, path: str, campaign: str, dt: str) -> str:
-    """Write one target list to its dated folder; an empty list still carries its header.
-
-    The list is size-capped by its campaign, so one file per list is what consumers get.
-    """
+    """Write one target list, in rank order, to its dated folder; an empty list keeps its header."""
     target = f"{path.rstrip('/')}/campaign={campaign}/dt={dt}"
     rows = df.where(F.col("campaign_name") == campaign).orderBy(F.desc("priority_score"), "customer_id")
-    rows.coalesce(1).write.mode("overwrite").csv(target, header=True)
+    rows.write.mode("overwrite").csv(target, header=True)
     return target
 
 

@@ -67,29 +67,30 @@ def daily_rollup(events: DataFrame) -> DataFrame:
     )
 
 
-def _total(name: str, only: Column | None = None) -> Column:
-    return F.coalesce(F.sum(name if only is None else F.when(only, F.col(name))), F.lit(0))
+def _dated(daily: DataFrame, ref_day: Column) -> DataFrame:
+    """Add ``ago``, days before the reference day, so the reference is looked up once per plan."""
+    return daily.withColumn("ago", F.datediff(ref_day, F.col("event_date")).cast("bigint"))
 
 
-def _days_ago(ref: Column, day: Column) -> Column:
-    return F.datediff(ref, day)
+def _total(name: str, only: Column | None = None) -> Column:
+    return F.coalesce(F.sum(name if only is None else F.when(only, F.col(name))), F.lit(0))
 
 
-def _day_slope(ref: Column, weight: Column, amount: str) -> Column:
+def _day_slope(weight: Column, amount: str) -> Column:
     """Trend over days of points given by daily weights and daily sums."""
-    x = (-_days_ago(ref, F.col("event_date"))).cast("bigint")
+    x = -F.col("ago")
     y = F.coalesce(F.col(amount), F.lit(0.0))
     return slope(F.sum(weight), F.sum(weight * x), F.sum(y), F.sum(x * y), F.sum(weight * x * x))
 
 
 def activity_agg(events: DataFrame, ref: date | str | None = None) -> DataFrame:
     """Distinct active days, last activity, number of events, days since last activity."""
-    last = F.max("event_date")
-    return daily_rollup(events).groupBy("customer_id").agg(
+    daily = _dated(daily_rollup(events), _ref(events, ref))
+    return daily.groupBy("customer_id").agg(
         F.count("event_date").alias("active_days_90d"),
-        last.alias("last_activity_date"),
+        F.max("event_date").alias("last_activity_date"),
         F.sum("n_events").alias("total_events_count"),
-        _days_ago(_ref(events, ref), last).alias("days_since_last_activity"),
+        F.min("ago").cast("int").alias("days_since_last_activity"),
     )
 
 
@@ -97,25 +98,25 @@ def recharge_agg(
     events: DataFrame, ref: date | str | None = None, window_days: int | None = None
 ) -> DataFrame:
     """Count, sum, average, last date and recency of recharges, over the log or its last days."""
-    last = F.max("event_date")
     rows = filter_events(events, "RECHARGE", ref, window_days)
-    return daily_rollup(rows).groupBy("customer_id").agg(
+    daily = _dated(daily_rollup(rows), _ref(events, ref))
+    return daily.groupBy("customer_id").agg(
         F.sum("recharge_n").alias("recharge_count"),
         _total("recharge_sum").alias("total_recharge"),
         F.try_divide(F.sum("recharge_sum"), F.sum("recharge_n")).alias("avg_recharge_amount"),
-        last.alias("last_recharge_date"),
-        _days_ago(_ref(events, ref), last).alias("days_since_last_recharge"),
+        F.max("event_date").alias("last_recharge_date"),
+        F.min("ago").cast("int").alias("days_since_last_recharge"),
     )
 
 
 def recharge_agg_rows(events: DataFrame, ref: date | str | None = None) -> DataFrame:
     """Recharge features that count rows, with or without an amount."""
-    daily = daily_rollup(filter_events(events, "RECHARGE"))
+    daily = _dated(daily_rollup(filter_events(events, "RECHARGE")), _ref(events, ref))
     return daily.groupBy("customer_id").agg(
         F.sum("recharge_rows").alias("recharge_count_90d"),
         F.sum("recharge_sum").alias("total_recharge_90d"),
         F.try_divide(F.sum("recharge_sum"), F.sum("recharge_n")).alias("avg_recharge_amount"),
-        _days_ago(_ref(events, ref), F.max("event_date")).alias("days_since_last_recharge"),
+        F.min("ago").cast("int").alias("days_since_last_recharge"),
     )
 
 
@@ -123,11 +124,11 @@ def data_usage_agg(
     events: DataFrame, ref: date | str | None = None, short: int = 30, long: int | None = None
 ) -> DataFrame:
     """Data volume over the long and the short window, and the average session."""
-    recent = F.col("event_date") >= F.date_sub(_ref(events, ref), short)
-    return daily_rollup(filter_events(events, "DATA_SESSION", ref, long)).groupBy("customer_id").agg(
+    daily = _dated(daily_rollup(filter_events(events, "DATA_SESSION", ref, long)), _ref(events, ref))
+    return daily.groupBy("customer_id").agg(
         _total("session_sum").alias("data_usage_mb_90d"),
         F.try_divide(F.sum("session_sum"), F.sum("session_n")).alias("avg_session_mb"),
-        _total("session_sum", recent).alias("data_usage_mb_30d"),
+        _total("session_sum", F.col("ago") <= short).alias("data_usage_mb_30d"),
     )
 
 
@@ -160,17 +161,17 @@ def preferred_channel(events: DataFrame) -> DataFrame:
 
 def recharge_trend(events: DataFrame, ref: date | str | None = None) -> DataFrame:
     """Slope of recharge amount over days, each recharge one point."""
-    daily = daily_rollup(filter_events(events, "RECHARGE"))
+    daily = _dated(daily_rollup(filter_events(events, "RECHARGE")), _ref(events, ref))
     return daily.groupBy("customer_id").agg(
-        _day_slope(_ref(events, ref), F.col("recharge_n"), "recharge_sum").alias("recharge_trend")
+        _day_slope(F.col("recharge_n"), "recharge_sum").alias("recharge_trend")
     )
 
 
 def data_usage_trend(events: DataFrame, ref: date | str | None = None) -> DataFrame:
     """Slope of daily data volume over days, each active day one point."""
-    daily = daily_rollup(filter_events(events, "DATA_SESSION"))
+    daily = _dated(daily_rollup(filter_events(events, "DATA_SESSION")), _ref(events, ref))
     return daily.groupBy("customer_id").agg(
-        _day_slope(_ref(events, ref), F.lit(1).cast("bigint"), "session_sum").alias("data_usage_trend")
+        _day_slope(F.lit(1).cast("bigint"), "session_sum").alias("data_usage_trend")
     )
 
 
@@ -210,29 +211,29 @@ def event_block(
     The channel mode has another grain, so it is a second, two-column scan; both sides come
     out partitioned by customer and join without a further shuffle.
     """
-    day = _ref(events, ref)
     log = filter_events(events, None, ref, long)
-    recent = F.col("event_date") >= F.date_sub(day, short)
+    recent = F.col("ago") <= short
     had_recharge, had_session = F.col("recharge_rows") > 0, F.col("session_rows") > 0
     shown, taken = F.sum("n_offers"), F.sum("n_accepted")
-    block = daily_rollup(log).groupBy("customer_id").agg(
+    daily = _dated(daily_rollup(log), _ref(events, ref))
+    block = daily.groupBy("customer_id").agg(
         F.when(F.count_if(had_recharge) > 0, _total("recharge_n")).alias("recharge_count_90d"),
         F.when(F.count_if(had_recharge & recent) > 0, _total("recharge_n", recent)).alias("recharge_count_30d"),
         F.sum("recharge_sum").alias("total_recharge_90d"),
         F.sum(F.when(recent, F.col("recharge_sum"))).alias("total_recharge_30d"),
         F.try_divide(F.sum("recharge_sum"), F.sum("recharge_n")).alias("avg_recharge_amount"),
-        _days_ago(day, F.max(F.when(had_recharge, F.col("event_date")))).alias("days_since_last_recharge"),
-        _day_slope(day, F.col("recharge_n"), "recharge_sum").alias("recharge_trend"),
+        F.min(F.when(had_recharge, F.col("ago"))).cast("int").alias("days_since_last_recharge"),
+        _day_slope(F.col("recharge_n"), "recharge_sum").alias("recharge_trend"),
         F.sum(F.when(recent, F.col("session_sum"))).alias("data_usage_mb_30d"),
         F.sum("session_sum").alias("data_usage_mb_90d"),
-        _day_slope(day, F.when(had_session, 1).otherwise(0).cast("bigint"), "session_sum").alias("data_usage_trend"),
+        _day_slope(F.when(had_session, 1).otherwise(0).cast("bigint"), "session_sum").alias("data_usage_trend"),
         F.try_divide(F.sum("session_sum"), F.sum("session_n")).alias("avg_session_mb"),
         (F.sum("n_app") / F.sum("n_events")).alias("app_usage_rate"),
         shown.alias("offers_presented"),
         taken.alias("offers_accepted"),
         F.coalesce(F.try_divide(taken, shown), F.lit(0.0)).alias("offer_acceptance_rate"),
         F.count("event_date").alias("active_days_90d"),
-        _days_ago(day, F.max("event_date")).alias("days_since_last_activity"),
+        F.min("ago").cast("int").alias("days_since_last_activity"),
     )
     return block.join(preferred_channel(log), "customer_id", "left")
 

@@ -190,6 +190,23 @@ def quantile_bins(
     return {name: bin_of(picked[name].keys, v, F.col(id_col)) for name, v in as_double.items()}
 
 
+def pair_ranks(n: int, ps: Sequence[float]) -> list[int]:
+    """The two ranks on either side of each quantile of n rows."""
+    return [1 + r for p in ps for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))]
+
+
+def interpolate(picked: Picked, ps: Sequence[float]) -> dict[float, float | None]:
+    """Quantiles from the keys at ``pair_ranks``."""
+    if not picked.rows:
+        return dict.fromkeys(ps)
+    out = {}
+    for i, p in enumerate(ps):
+        (lo, _), (hi, _) = picked.keys[2 * i : 2 * i + 2]
+        at = p * (picked.rows - 1)
+        out[p] = lo + (hi - lo) * (at - math.floor(at))
+    return out
+
+
 def quantiles(
     df: DataFrame,
     spec: Mapping[str, Sequence[float]],
@@ -212,20 +229,7 @@ def quantiles(
     picked = select_ranks(
         df,
         {c: F.col(c).cast("double") for c in spec},
-        lambda c, n: [
-            1 + r for p in spec[c] for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))
-        ],
+        lambda c, n: pair_ranks(n, spec[c]),
         id_col,
     )
-    out: dict[str, dict[float, float | None]] = {}
-    for c, ps in spec.items():
-        n, keys = picked[c]
-        out[c] = {}
-        for i, p in enumerate(ps):
-            if not n:
-                out[c][p] = None
-                continue
-            (lo, _), (hi, _) = keys[2 * i : 2 * i + 2]
-            at = p * (n - 1)
-            out[c][p] = lo + (hi - lo) * (at - math.floor(at))
-    return out
+    return {c: interpolate(picked[c], ps) for c, ps in spec.items()}

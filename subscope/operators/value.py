@@ -2,29 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subscope import constants as K
 from subscope.functions import rules
-from subscope.operators.ordering import bin_of, cut_ranks, quantile_bins, quantiles, select_ranks
+from subscope.operators.ordering import (
+    Picked, bin_of, cut_ranks, interpolate, pair_ranks, quantiles, select_ranks,
+)
 from subscope.sources.contracts import require_columns
 
+# order statistics that the value columns need: name -> (value, quantile bins, quantiles)
+STATISTICS = {
+    "recency": ("days_since_last_recharge", 5, []),
+    "frequency": ("recharge_count_30d", 5, [0.5]),
+    "monetary": ("total_recharge_30d", 5, []),
+    "arpu": ("total_recharge_90d / 3", 4, [0.75]),
+    "data": ("data_usage_mb_30d", 1, [0.75]),
+}
+
+
+@dataclass(frozen=True)
+class Cutoffs:
+    """Bin edges and quantiles of the customer base, found in one selection over all columns."""
+
+    picked: dict[str, Picked]
+
+    def bin(self, name: str, value: Column) -> Column:
+        q = STATISTICS[name][1]
+        return bin_of(self.picked[name].keys[: q - 1], value.cast("double"), F.col("customer_id"))
+
+    def quantile(self, name: str, p: float) -> float | None:
+        rows, keys = self.picked[name]
+        _, q, ps = STATISTICS[name]
+        return interpolate(Picked(rows, keys[q - 1 :]), ps)[p]
+
+
+def cutoffs(df: DataFrame, names: Sequence[str] = tuple(STATISTICS)) -> Cutoffs:
+    def ranks(name: str, n: int) -> list[int]:
+        _, q, ps = STATISTICS[name]
+        return cut_ranks(n, q) + pair_ranks(n, ps)
 
-def rfm_scores(df: DataFrame, q: int = 5) -> DataFrame:
+    values = {n: F.expr(STATISTICS[n][0]).cast("double") for n in names}
+    return Cutoffs(select_ranks(df, values, ranks))
+
+
+def rfm_scores(df: DataFrame, cut: Cutoffs | None = None) -> DataFrame:
     """Add r/f/m scores and the combined score; fewer days since recharge is a higher R."""
     require_columns(df, K.RFM_COLUMNS)
-    bins = quantile_bins(
-        df,
-        {
-            "r": F.col("days_since_last_recharge"),
-            "f": F.col("recharge_count_30d"),
-            "m": F.col("total_recharge_30d"),
-        },
-        q,
-    )
+    cut = cut or cutoffs(df, ["recency", "frequency", "monetary"])
     return df.withColumns(
-        {"r_score": F.lit(q + 1) - bins["r"], "f_score": bins["f"], "m_score": bins["m"]}
+        {
+            "r_score": F.lit(6) - cut.bin("recency", F.col("days_since_last_recharge")),
+            "f_score": cut.bin("frequency", F.col("recharge_count_30d")),
+            "m_score": cut.bin("monetary", F.col("total_recharge_30d")),
+        }
     ).withColumn("rfm_score", F.expr("r_score * 100 + f_score * 10 + m_score"))
 
 
@@ -39,12 +74,12 @@ def with_arpu(df: DataFrame) -> DataFrame:
     return df.withColumn("arpu", F.col("total_recharge_90d") / 3)
 
 
-def arpu_tier(df: DataFrame, q: int = 4) -> DataFrame:
-    """Spend quartile by first-come rank; with fewer than ``q`` customers all are Bronze."""
-    picked = select_ranks(df, {"arpu": F.col("arpu")}, lambda _, n: cut_ranks(n, q))["arpu"]
-    if picked.rows < q:
+def arpu_tier(df: DataFrame, cut: Cutoffs | None = None) -> DataFrame:
+    """Spend quartile by first-come rank; with fewer than four customers all are Bronze."""
+    cut = cut or cutoffs(df, ["arpu"])
+    if cut.picked["arpu"].rows < len(K.ARPU_TIERS):
         return df.withColumn("arpu_tier", F.lit(K.ARPU_TIERS[0]))
-    quartile = bin_of(picked.keys, F.col("arpu"), F.col("customer_id"))
+    quartile = cut.bin("arpu", F.col("arpu"))
     return df.withColumn(
         "arpu_tier", F.element_at(F.array(*[F.lit(t) for t in K.ARPU_TIERS]), quartile)
     )
@@ -69,12 +104,12 @@ def with_churn_signals(df: DataFrame) -> DataFrame:
     return df.withColumns({name: F.when(c, 1).otherwise(0) for name, c in flags.items()})
 
 
-def with_upsell_signals(df: DataFrame) -> DataFrame:
+def with_upsell_signals(df: DataFrame, cut: Cutoffs | None = None) -> DataFrame:
     """Upsell flags; the two relative ones compare with quantiles of all customers."""
-    cut = quantiles(df, {"data_usage_mb_30d": [0.75], "recharge_count_30d": [0.5]})
+    cut = cut or cutoffs(df, ["data", "frequency"])
     flags = {
-        "high_data_user": F.col("data_usage_mb_30d") > F.lit(cut["data_usage_mb_30d"][0.75]),
-        "frequent_recharger": F.col("recharge_count_30d") > F.lit(cut["recharge_count_30d"][0.5]),
+        "high_data_user": F.col("data_usage_mb_30d") > F.lit(cut.quantile("data", 0.75)),
+        "frequent_recharger": F.col("recharge_count_30d") > F.lit(cut.quantile("frequency", 0.5)),
         "high_offer_responder": F.col("offer_acceptance_rate") > 0.20,
         "app_user": F.col("app_usage_rate") > 0.3,
         "premium_customer": F.col("arpu_tier").isin("Gold", "Platinum"),
@@ -82,9 +117,9 @@ def with_upsell_signals(df: DataFrame) -> DataFrame:
     return df.withColumns({name: F.when(c, 1).otherwise(0) for name, c in flags.items()})
 
 
-def with_lifecycle(df: DataFrame) -> DataFrame:
+def with_lifecycle(df: DataFrame, cut: Cutoffs | None = None) -> DataFrame:
     """Lifecycle stage; the first rule that holds wins, exactly 30 active days is no rule."""
-    p75 = quantiles(df, {"arpu": [0.75]})["arpu"][0.75]
+    p75 = (cut or cutoffs(df, ["arpu"])).quantile("arpu", 0.75)
     tenure, silent, active = (
         F.col(c) for c in ("tenure_months", "days_since_last_recharge", "active_days_90d")
     )
@@ -99,11 +134,11 @@ def with_lifecycle(df: DataFrame) -> DataFrame:
     )
 
 
-def with_behaviour(df: DataFrame) -> DataFrame:
+def with_behaviour(df: DataFrame, cut: Cutoffs | None = None) -> DataFrame:
     """Every behaviour column in dependency order."""
-    return with_lifecycle(
-        with_upsell_signals(with_churn_signals(with_engagement(arpu_tier(with_arpu(df)))))
-    )
+    cut = cut or cutoffs(df, ["arpu", "data", "frequency"])
+    spend = with_churn_signals(with_engagement(arpu_tier(with_arpu(df), cut)))
+    return with_lifecycle(with_upsell_signals(spend, cut), cut)
 
 
 def propensity_labels(df: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ from subscope.operators import (
 )
 from subscope.plans import flows
 from subscope.plans.fixtures import (
-    AMOUNT_COLUMNS, DIGITS, OFF_EDGE, PERFORMANCE, QUERY_CUSTOMER, SHORT_DAYS, STAMP, ZCOLS, master, store,
+    AMOUNT_COLUMNS, DIGITS, OFF_EDGE, PERFORMANCE, QUERY_CUSTOMER, SHORT_DAYS, STAMP, ZCOLS, event_log, master, quarter,
+    store, two_years,
 )
 from subscope.session import materialize, scratch_path
 from subscope.sources import adapters as A
@@ -49,18 +50,6 @@ def query(name: str) -> Callable[[Query], Query]:
     return register
 
 
-def _log(s: SparkSession, d: str) -> DataFrame:
-    return A.adapt(s, d, A.EVENT_LOG)
-
-
-def _log2y(s: SparkSession, d: str) -> DataFrame:
-    return A.adapt(s, d, A.EVENT_LOG_2Y)
-
-
-def _quarter(s: SparkSession, d: str) -> DataFrame:
-    return A.adapt(s, d, A.EVENT_LOG_QUARTER)
-
-
 def _clicks(s: SparkSession, d: str) -> DataFrame:
     return A.adapt(s, d, A.CLICK_LOG)
 
@@ -94,7 +83,7 @@ def _(s, d):
 @query("scan_events")
 def _(s, d):
     path = scratch_path(s, "events-parquet")
-    _log(s, d).write.parquet(path)
+    event_log(s, d).write.parquet(path)
     return readers.read_events(s, path)
 
 
@@ -120,7 +109,7 @@ def _(s, d):
 
 @query("key_integrity")
 def _(s, d):
-    return profiles.key_integrity(_prof(s, d).where("tenure_months <= 60"), _quarter(s, d))
+    return profiles.key_integrity(_prof(s, d).where("tenure_months <= 60"), quarter(s, d))
 
 
 @query("feature_store_roundtrip")
@@ -162,7 +151,7 @@ def _(s, d):
 
 @query("one_hot_fixed")
 def _(s, d):
-    joined = profiles.join_features(_prof(s, d), events.preferred_channel(_quarter(s, d)))
+    joined = profiles.join_features(_prof(s, d), events.preferred_channel(quarter(s, d)))
     names = [n for spec in K.INDICATORS.values() for n in spec]
     return encoding.one_hot_fixed(joined).select("customer_id", *names)
 
@@ -175,7 +164,7 @@ def _(s, d):
 
 @query("fill_missing")
 def _(s, d):
-    joined = profiles.join_features(_prof(s, d), events.preferred_channel(_quarter(s, d)))
+    joined = profiles.join_features(_prof(s, d), events.preferred_channel(quarter(s, d)))
     return encoding.fill_missing(joined).select(
         "customer_id", "total_charges", "Dependents", "StreamingMovies", "preferred_channel"
     )
@@ -184,14 +173,14 @@ def _(s, d):
 @query("fill_defaults")
 def _(s, d):
     joined = profiles.join_features(
-        _prof(s, d).select("customer_id"), events.event_block(_quarter(s, d), short=SHORT_DAYS)
+        _prof(s, d).select("customer_id"), events.event_block(quarter(s, d), short=SHORT_DAYS)
     )
     return events.fill_defaults(joined, K.EVENT_DEFAULTS).select("customer_id", *K.EVENT_DEFAULTS)
 
 
 @query("event_filters")
 def _(s, d):
-    return events.filter_events(_log2y(s, d), "RECHARGE", days=30).select(
+    return events.filter_events(two_years(s, d), "RECHARGE", days=30).select(
         "customer_id", "event_date", "recharge_amount"
     )
 
@@ -289,7 +278,7 @@ def _(s, d):
 
 @query("profile_left_join")
 def _(s, d):
-    joined = profiles.join_features(_prof(s, d), events.event_features(_quarter(s, d), short=SHORT_DAYS))
+    joined = profiles.join_features(_prof(s, d), events.event_features(quarter(s, d), short=SHORT_DAYS))
     return joined.select(
         "customer_id", "tenure_months", "monthly_charges",
         F.col("recharge_count_90d").cast("double").alias("recharge_count_90d"),
@@ -299,7 +288,7 @@ def _(s, d):
 
 @query("feature_block_joins")
 def _(s, d):
-    log = _quarter(s, d)
+    log = quarter(s, d)
     act = events.activity_agg(log).select("customer_id", "total_events_count", "active_days_90d")
     rec = events.recharge_agg(log).select("customer_id", F.col("recharge_count").cast("double").alias("recharge_count"), "total_recharge")
     return act.join(rec, "customer_id", "left").join(events.preferred_channel(log), "customer_id", "left")
@@ -307,7 +296,7 @@ def _(s, d):
 
 @query("customers_without_events")
 def _(s, d):
-    return profiles.customers_without_events(_prof(s, d), _quarter(s, d)).select("customer_id", "tenure_months")
+    return profiles.customers_without_events(_prof(s, d), quarter(s, d)).select("customer_id", "tenure_months")
 
 
 @query("suppression_anti_join")
@@ -328,18 +317,18 @@ def _(s, d):
 
 @query("activity_agg")
 def _(s, d):
-    return events.activity_agg(_log(s, d))
+    return events.activity_agg(event_log(s, d))
 
 
 @query("recharge_agg_90d")
 def _(s, d):
-    return events.recharge_agg(_log(s, d))
+    return events.recharge_agg(event_log(s, d))
 
 
 @query("recharge_agg_30d")
 def _(s, d):
     # the cutoff counts back from the last day of the whole log
-    recent = events.recharge_agg(_log2y(s, d), window_days=30)
+    recent = events.recharge_agg(two_years(s, d), window_days=30)
     return recent.select(
         "customer_id",
         F.col("recharge_count").alias("recharge_count_30d"),
@@ -349,7 +338,7 @@ def _(s, d):
 
 @query("data_usage_agg")
 def _(s, d):
-    return events.data_usage_agg(_log2y(s, d))
+    return events.data_usage_agg(two_years(s, d))
 
 
 @query("offer_acceptance_rate")
@@ -359,7 +348,7 @@ def _(s, d):
 
 @query("app_usage_rate")
 def _(s, d):
-    return events.app_usage_rate(_log(s, d))
+    return events.app_usage_rate(event_log(s, d))
 
 
 @query("preferred_channel")
@@ -369,22 +358,22 @@ def _(s, d):
 
 @query("recharge_trend")
 def _(s, d):
-    return events.recharge_trend(_log(s, d))
+    return events.recharge_trend(event_log(s, d))
 
 
 @query("data_usage_trend")
 def _(s, d):
-    return events.data_usage_trend(_log(s, d))
+    return events.data_usage_trend(event_log(s, d))
 
 
 @query("recharge_trend_ordinal")
 def _(s, d):
-    return events.trend_ordinal(_log(s, d))
+    return events.trend_ordinal(event_log(s, d))
 
 
 @query("reference_dates")
 def _(s, d):
-    return events.reference_dates(_log(s, d))
+    return events.reference_dates(event_log(s, d))
 
 
 @query("feature_quantiles")
@@ -685,17 +674,17 @@ def _(s, d):
 
 @query("event_features")
 def _(s, d):
-    return events.event_features(_log(s, d), short=SHORT_DAYS)
+    return events.event_features(event_log(s, d), short=SHORT_DAYS)
 
 
 @query("feature_store_batch")
 def _(s, d):
-    return flows.feature_store(_raw(s, d), _quarter(s, d), short=SHORT_DAYS)
+    return flows.feature_store(_raw(s, d), quarter(s, d), short=SHORT_DAYS)
 
 
 @query("feature_store_ordinal")
 def _(s, d):
-    wide = flows.feature_store_ordinal(_raw(s, d), _quarter(s, d))
+    wide = flows.feature_store_ordinal(_raw(s, d), quarter(s, d))
     return wide.select(
         "customer_id", "tenure", "MonthlyCharges", "TotalCharges", "churn_label", *K.ORDINAL_DEFAULTS
     )
@@ -703,7 +692,7 @@ def _(s, d):
 
 @query("rfm_behaviour_store")
 def _(s, d):
-    return flows.value_store(_raw(s, d), _log2y(s, d), short=SHORT_DAYS)
+    return flows.value_store(_raw(s, d), two_years(s, d), short=SHORT_DAYS)
 
 
 # models: fewer trees and starts than the defaults, since every boosting round is a job of its own

@@ -29,8 +29,8 @@ def _cte(name: str, text: str) -> str:
 
 RAW = _cte("raw", A.PROFILES)
 LOG = _cte("log", A.EVENT_LOG)
-LOG2Y = _cte("log", A.EVENT_LOG_2Y)
-QUARTER = _cte("log", A.EVENT_LOG_QUARTER)
+LOG2Y = _cte("log", A.between(*A.TWO_YEARS))
+QUARTER = _cte("log", A.between(*A.QUARTER))
 CLICKS = _cte("log", A.CLICK_LOG)
 SCORES = _cte("scores", A.SCORES)
 SUPPRESSED = _cte("suppressed", A.SUPPRESSION)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from subscope.plans.flows import feature_store, value_store
-from subscope.session import materialize
+from subscope.session import materialize, parallelism
 from subscope.sources import adapters as A
 
 SHORT_DAYS = 180
@@ -37,12 +37,36 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return _stored[key]
 
 
+def event_log(spark: SparkSession, sf_dir: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """The event log as a stored table, optionally between two days.
+
+    The given files have one row group each, so they are spread once over as many files as the
+    session works in parallel.
+    """
+    log = _once(
+        spark, sf_dir, "log",
+        lambda: A.adapt(spark, sf_dir, A.EVENT_LOG).repartition(parallelism(spark)),
+    )
+    for day, keep in ((first, ">="), (last, "<=")):
+        if day is not None:
+            log = log.where(f"event_date {keep} DATE '{day}'")
+    return log
+
+
+def two_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_log(spark, sf_dir, *A.TWO_YEARS)
+
+
+def quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_log(spark, sf_dir, *A.QUARTER)
+
+
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature store over the two-year log."""
     return _once(
         spark, sf_dir, "store",
         lambda: feature_store(
-            A.adapt(spark, sf_dir, A.PROFILES), A.adapt(spark, sf_dir, A.EVENT_LOG_2Y), short=SHORT_DAYS
+            A.adapt(spark, sf_dir, A.PROFILES), two_years(spark, sf_dir), short=SHORT_DAYS
         ),
     )
 
@@ -52,6 +76,6 @@ def master(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(
         spark, sf_dir, "master",
         lambda: value_store(
-            A.adapt(spark, sf_dir, A.PROFILES), A.adapt(spark, sf_dir, A.EVENT_LOG_2Y), short=SHORT_DAYS
+            A.adapt(spark, sf_dir, A.PROFILES), two_years(spark, sf_dir), short=SHORT_DAYS
         ).join(A.adapt(spark, sf_dir, A.SCORES), "customer_id"),
     )

@@ -47,8 +47,9 @@ def value_store(
 ) -> DataFrame:
     """Feature store with RFM and behaviour columns.
 
-    The store is written once; the rank selections behind the scores then scan two or three
-    of its columns each instead of repeating the log aggregation.
+    The store is written once; one rank selection over five of its columns then gives every cut
+    point, and the scores are a projection with those as literals.
     """
     store = materialize(feature_store(raw_profiles, log, ref, short, long), "store")
-    return value.with_behaviour(value.with_rfm_segment(value.rfm_scores(store)))
+    cut = value.cutoffs(store)
+    return value.with_behaviour(value.with_rfm_segment(value.rfm_scores(store, cut)), cut)

@@ -56,17 +56,15 @@ SELECT cast(o_custkey AS string), cast(l_shipdate AS date), 'DATA_SESSION',
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
 """
 
-# two years of the log, in which some customers are silent
-EVENT_LOG_2Y = f"""
-SELECT * FROM ({EVENT_LOG}) AS log
-WHERE event_date >= DATE '1999-01-01' AND event_date <= DATE '2000-12-31'
-"""
+# two years of the log, in which some customers are silent; and the last quarter of those,
+# which leaves many customers without any event
+TWO_YEARS = ("1999-01-01", "2000-12-31")
+QUARTER = ("2000-10-01", "2000-12-31")
+
+
+def between(first: str, last: str) -> str:
+    return f"SELECT * FROM ({EVENT_LOG}) AS log WHERE event_date >= DATE '{first}' AND event_date <= DATE '{last}'"
 
-# the last quarter of those, which leaves many customers without any event
-EVENT_LOG_QUARTER = f"""
-SELECT * FROM ({EVENT_LOG}) AS log
-WHERE event_date >= DATE '2000-10-01' AND event_date <= DATE '2000-12-31'
-"""
 
 CLICK_LOG = """
 SELECT cast(user_id AS string) AS customer_id,

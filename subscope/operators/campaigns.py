@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from subscope import constants as K
 from subscope.functions.rules import lookup, recommend_channel, response_rate
-from subscope.operators.ordering import global_rank, quantiles
+from subscope.operators.ordering import global_rank, quantiles, select_ranks
 from subscope.operators.profiles import suppress
 
 RECORD_SCHEMA = (
@@ -26,9 +26,23 @@ RECORD_SCHEMA = (
 )
 
 
+ONE_TASK_ROWS = 100_000
+
+
 def top_n(df: DataFrame, order_col: str, n: int, tie: str = "customer_id") -> DataFrame:
-    """The first n rows by a column descending; each task keeps n rows, so nothing is sorted in full."""
-    return df.orderBy(F.desc(order_col), tie).limit(n)
+    """The first n rows by a column descending, ties in id order.
+
+    A short list is merged from the n best rows of each task. A long one would pass through a single
+    task that way, so its last key is looked up instead and the rows before it are kept and
+    range-sorted.
+    """
+    if n <= ONE_TASK_ROWS:
+        return df.orderBy(F.desc(order_col), tie).limit(n)
+    down = F.coalesce(-F.col(order_col).cast("double"), F.lit(float("inf")))  # nulls come last
+    last = select_ranks(df, {"down": down}, lambda _, rows: [n] if n <= rows else [], tie)["down"].keys
+    for value, key in last:
+        df = df.where((down < F.lit(value)) | ((down == F.lit(value)) & (F.col(tie) <= F.lit(key))))
+    return df.orderBy(F.desc(order_col), tie)
 
 
 def priority_rank(df: DataFrame, score: str, threshold: float = K.PROPENSITY_THRESHOLD) -> DataFrame:
@@ -51,7 +65,7 @@ class Campaign:
     eligible: Callable[[DataFrame], Column]
     score: Callable[[Column], Column]
     priority: Callable[[Column], Column]
-    offer: Callable[[DataFrame], Column]
+    offer: Callable[[DataFrame, int], Column]
     scale: str | None = None
     channel: str | None = None
 
@@ -69,8 +83,12 @@ def _with_spend(df: DataFrame) -> Column:
     return F.col("total_recharge_90d") > F.lit(p20)
 
 
-def _bundle_offer(listed: DataFrame) -> Column:
-    median = listed.agg(F.percentile("data_usage_mb_30d", 0.5)).scalar()
+def _bundle_offer(listed: DataFrame, size: int) -> Column:
+    """By data use against the median of the list; only a short list is summed up in one task."""
+    if size <= ONE_TASK_ROWS:
+        median = listed.agg(F.percentile("data_usage_mb_30d", 0.5)).scalar()
+    else:
+        median = F.lit(quantiles(listed, {"data_usage_mb_30d": [0.5]})["data_usage_mb_30d"][0.5])
     return F.when(F.col("data_usage_mb_30d") < median, "1GB Daily Bundle").otherwise("5GB Monthly Bundle")
 
 
@@ -84,7 +102,7 @@ SPECS = {
         score=lambda _: F.col("churn_risk_score"),
         priority=lambda part: F.col("churn_risk_score") * 0.5 + _tier_weight() * 0.3 + part * 0.2,
         scale="tenure_months",
-        offer=lambda _: F.when(_is_top_tier(), "Premium Retention Bundle")
+        offer=lambda *_: F.when(_is_top_tier(), "Premium Retention Bundle")
         .when(F.col("clv_tier") == "Silver", "Loyalty Discount")
         .otherwise("Standard Retention SMS"),
     ),
@@ -98,7 +116,7 @@ SPECS = {
         eligible=lambda df: (F.col("propensity_topup") >= K.PROPENSITY_THRESHOLD) & _low_risk(0.5),
         score=lambda _: F.col("propensity_topup"),
         priority=lambda _: F.col("propensity_topup") * 0.7 + _tier_weight() * 0.3,
-        offer=lambda _: F.lit("Voice Top-up: Get ₦100 bonus on ₦500 recharge"),
+        offer=lambda *_: F.lit("Voice Top-up: Get ₦100 bonus on ₦500 recharge"),
     ),
     "reactivation": Campaign(
         eligible=lambda df: (F.col("days_since_last_recharge") > 20)
@@ -107,7 +125,7 @@ SPECS = {
         score=lambda _: F.col("propensity_reactivation"),
         priority=lambda part: F.col("propensity_reactivation") * 0.6 + part * 0.4,
         scale="total_recharge_90d",
-        offer=lambda _: F.lit("Welcome Back: 2x data for 7 days"),
+        offer=lambda *_: F.lit("Welcome Back: 2x data for 7 days"),
         channel="USSD",
     ),
     "loyalty_reward": Campaign(
@@ -115,7 +133,7 @@ SPECS = {
         score=lambda part: part,
         priority=lambda part: part,
         scale="clv_90d",
-        offer=lambda _: F.when(_is_top_tier(), "Exclusive Bundle Discount").otherwise("Loyalty Points Bonus"),
+        offer=lambda *_: F.when(_is_top_tier(), "Exclusive Bundle Discount").otherwise("Loyalty Points Bonus"),
     ),
 }
 
@@ -150,7 +168,7 @@ def campaign(
         F.col("churn_risk_score").cast("double").alias("churn_risk_score"),
         F.col("_score").alias("propensity_score"),
         "clv_tier",
-        spec.offer(listed).alias("recommended_offer"),
+        spec.offer(listed, max_size).alias("recommended_offer"),
         (F.lit(spec.channel) if spec.channel else recommend_channel(listed)).alias("recommended_channel"),
         F.col("_priority").alias("priority_score"),
         response_rate(F.col("_score")).alias("estimated_response_rate"),

@@ -109,15 +109,21 @@ def recharge_agg(
     )
 
 
-def recharge_agg_rows(events: DataFrame, ref: date | str | None = None) -> DataFrame:
-    """Recharge features that count rows, with or without an amount."""
-    daily = _dated(daily_rollup(filter_events(events, "RECHARGE")), _ref(events, ref))
-    return daily.groupBy("customer_id").agg(
+def ordinal_block(events: DataFrame, ref: date | str | None = None) -> DataFrame:
+    """Features of the smaller store: one pass for all sums, which count recharge rows with or
+    without an amount, and one over the recharges for the trend."""
+    daily = _dated(daily_rollup(events), _ref(events, ref))
+    had_recharge = F.col("recharge_rows") > 0
+    block = daily.groupBy("customer_id").agg(
+        F.count("event_date").alias("active_days_90d"),
         F.sum("recharge_rows").alias("recharge_count_90d"),
         F.sum("recharge_sum").alias("total_recharge_90d"),
         F.try_divide(F.sum("recharge_sum"), F.sum("recharge_n")).alias("avg_recharge_amount"),
-        F.min("ago").cast("int").alias("days_since_last_recharge"),
+        F.min(F.when(had_recharge, F.col("ago"))).cast("int").alias("days_since_last_recharge"),
+        F.sum("session_sum").alias("data_usage_mb_90d"),
+        F.try_divide(F.sum("session_sum"), F.sum("session_n")).alias("avg_session_mb"),
     )
+    return block.join(trend_ordinal(events), "customer_id", "left")
 
 
 def data_usage_agg(

@@ -26,15 +26,17 @@ from subscope.session import materialize, parallelism
 SAMPLE_PER_RANGE = 32
 
 
-def with_range(df: DataFrame, keys: Sequence[str], parts: int | None = None) -> DataFrame:
+def with_range(
+    df: DataFrame, keys: Sequence[str], parts: int | None = None, rows: int | None = None
+) -> DataFrame:
     """Add ``_range``: 0-based index of the key range of each row, in key order.
 
-    The rows must be unique on ``keys``.
+    The rows must be unique on ``keys``. ``rows`` is their number, where the caller knows it.
     """
     spark = df.sparkSession
     parts = parts or parallelism(spark)
     key = F.struct(*keys)
-    step = max(1, df.count() // (parts * SAMPLE_PER_RANGE))
+    step = max(1, (df.count() if rows is None else rows) // (parts * SAMPLE_PER_RANGE))
     bounds = (
         df.where(F.pmod(F.xxhash64(*keys), F.lit(step)) == 0)
         .agg(F.sort_array(F.collect_list(key)).alias("s"))
@@ -137,7 +139,8 @@ def select_ranks(
         .where(F.col("_v").isNotNull())
         .select("_g", "_v", "_id")
     )
-    ranged = with_range(long, ["_g", "_v", "_id"], parts)
+    # the row count of a stored table comes from its file footers
+    ranged = with_range(long, ["_g", "_v", "_id"], parts, df.count() * len(values))
     counts: dict[str, list[tuple[int, int]]] = {g: [] for g in values}
     for g, r, c in ranged.groupBy("_g", "_range").count().collect():
         counts[g].append((r, c))

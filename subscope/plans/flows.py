@@ -29,15 +29,8 @@ def feature_store(
 def feature_store_ordinal(raw_profiles: DataFrame, log: DataFrame, ref: date | str | None = None) -> DataFrame:
     """The smaller store: ordinal trend, defaults filled after the join (silent means 90 days)."""
     clean = encoding.clean_profiles(raw_profiles).na.fill({"TotalCharges": 0.0})
-    recharge = events.recharge_agg_rows(log, ref)
-    active = events.activity_agg(log, ref).select("customer_id", "active_days_90d")
-    usage = events.data_usage_agg(log, ref).select("customer_id", "data_usage_mb_90d", "avg_session_mb")
-    block = (
-        active.join(recharge, "customer_id", "left")
-        .join(usage, "customer_id", "left")
-        .join(events.trend_ordinal(log), "customer_id", "left")
-    )
-    joined = clean.withColumnRenamed("customerID", "customer_id").join(block, "customer_id", "left")
+    block = events.ordinal_block(log, ref)
+    joined = profiles.join_features(clean.withColumnRenamed("customerID", "customer_id"), block)
     return events.fill_defaults(joined, K.ORDINAL_DEFAULTS)
 
 

@@ -23,8 +23,9 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the checkpoint folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/subscope/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the checkpoint folder, grouped by application for later clean-up."""
+    app = spark.sparkContext.applicationId
+    return f"{checkpoint_root(spark).rstrip('/')}/subscope/{app}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

@@ -52,6 +52,15 @@ def test_campaign_lists(master, kind):
             assert r.priority_score == pytest.approx(want, abs=1e-12)
 
 
+def test_long_lists_take_the_other_way(master, monkeypatch):
+    short = campaigns.campaign(master, "bundle_upsell", max_size=20).collect()
+    monkeypatch.setattr(campaigns, "ONE_TASK_ROWS", 5)
+    assert campaigns.campaign(master, "bundle_upsell", max_size=20).collect() == short
+    everyone = campaigns.campaign(master, "bundle_upsell", max_size=10**9)
+    monkeypatch.undo()
+    assert everyone.count() == campaigns.campaign(master, "bundle_upsell").count()
+
+
 def test_suppression_and_summary(master):
     listed = campaigns.all_campaigns(master).select("customer_id").distinct()
     assert campaigns.all_campaigns(master, listed).count() == 0

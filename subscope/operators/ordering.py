@@ -51,21 +51,15 @@ def with_range(
         )
     )
     fixed = spark.createDataFrame(bounds.toArrow(), bounds.schema)
-    strides = [1 << p for p in reversed(range((parts - 1).bit_length()))]
-
-    def advance(at: Column, stride: Column) -> Column:
+    # binary search, one projection per halving so that every step stays in generated code
+    at = F.lit(0)
+    out = df.withColumn("_bounds", fixed.scalar())
+    for stride in (1 << p for p in reversed(range((parts - 1).bit_length()))):
         ahead = at + stride
-        past = (ahead <= parts - 1) & (F.get(F.col("_bounds"), ahead - 1) < key)
-        return F.when(past, ahead).otherwise(at)
-
-    return (
-        df.withColumn("_bounds", fixed.scalar())
-        .withColumn(
-            "_range",
-            F.aggregate(F.array(*[F.lit(s) for s in strides]), F.lit(0), advance),
-        )
-        .drop("_bounds")
-    )
+        past = (ahead <= parts - 1) & (F.get("_bounds", ahead - 1) < key)
+        out = out.withColumn("_range", F.when(past, ahead).otherwise(at))
+        at = F.col("_range")
+    return out.drop("_bounds")
 
 
 def running_sums(

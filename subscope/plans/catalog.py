@@ -109,7 +109,7 @@ def _(s, d):
 
 @query("key_integrity")
 def _(s, d):
-    return profiles.key_integrity(_prof(s, d).where("tenure_months <= 60"), quarter(s, d))
+    return profiles.key_integrity(_prof(s, d), quarter(s, d))
 
 
 @query("feature_store_roundtrip")

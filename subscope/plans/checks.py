@@ -482,8 +482,7 @@ def build() -> dict[str, str]:
         "value_distribution": r("SELECT event_type AS value, count(*) AS n FROM log GROUP BY 1", [], [CLICKS]),
         "key_integrity": r(
             "SELECT customer_id, 'profiles' AS only_in FROM prof WHERE customer_id NOT IN (SELECT customer_id FROM log) "
-            "UNION ALL SELECT DISTINCT customer_id, 'events' FROM log WHERE customer_id NOT IN (SELECT customer_id FROM prof WHERE tenure_months <= 60)"
-            .replace("FROM prof WHERE customer_id", "FROM prof WHERE tenure_months <= 60 AND customer_id"),
+            "UNION ALL SELECT DISTINCT customer_id, 'events' FROM log WHERE customer_id NOT IN (SELECT customer_id FROM prof)",
             [], [RAW, QUARTER, PROF],
         ),
         "rfm_export": r("SELECT customer_id, rfm_score FROM rfm", [], [*STORE2Y, RFM]),

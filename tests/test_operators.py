@@ -17,6 +17,13 @@ def test_missing_columns_are_refused(spark, small):
     assert [r.column_name for r in gone.where("not present").collect()] == ["Churn"]
 
 
+def test_key_integrity_names_both_sides(spark):
+    p = spark.createDataFrame([("a",), ("b",)], "customer_id string")
+    e = spark.createDataFrame([("b",), ("c",), ("c",)], "customer_id string")
+    got = {(r.customer_id, r.only_in) for r in profiles.key_integrity(p, e).collect()}
+    assert got == {("a", "profiles"), ("c", "events")}
+
+
 def test_value_columns_in_range(master):
     bad = master.where(
         "r_score not between 1 and 5 or f_score not between 1 and 5 or m_score not between 1 and 5 "

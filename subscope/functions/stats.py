@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,23 +14,28 @@ def slope(n: Column, sx: Column, sy: Column, sxy: Column, sxx: Column) -> Column
     return F.coalesce(F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx), F.lit(0.0))
 
 
-def ks_p_value(stat: Column, n: Column, m: Column, terms: int = 50) -> Column:
+def ks_p_value(stat: Column, n: Column, m: Column, terms: int = 4) -> Column:
     """Asymptotic two-sided Kolmogorov-Smirnov p-value.
 
-    The alternating series converges fast for a large argument; below 0.2 it is 1 to
-    double precision and the series is skipped.
+    The limit distribution has two series, one that converges fast for large arguments and one for
+    small; switching between them makes four terms of each exact to double precision.
     """
     size = (n.cast("double") * m.cast("double")) / (n + m).cast("double")
     lam = F.sqrt(size) * stat
-    total = F.lit(0.0)
+    square = lam * lam
+    large, small = F.lit(0.0), F.lit(0.0)
     for k in range(1, terms + 1):
-        total = total + F.lit(2.0 if k % 2 else -2.0) * F.exp(F.lit(-2.0 * k * k) * lam * lam)
-    return F.when(lam < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)))
+        large = large + F.lit(2.0 if k % 2 else -2.0) * F.exp(F.lit(-2.0 * k * k) * square)
+        small = small + F.exp(F.lit(-((2 * k - 1) ** 2) * math.pi**2 / 8) / square)
+    p = F.when(lam > 1.18, large).when(lam > 0, 1 - F.lit(math.sqrt(2 * math.pi)) / lam * small)
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), p.otherwise(1.0)))
+
 
+def bin_index(value: str, lo: str, hi: str, bins: int) -> Column:
+    """0-based equal-width bin over [lo, hi]; the last bin is closed, values outside are clipped.
 
-def bin_index(value: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """0-based equal-width bin over [lo, hi]; the last bin is closed, values outside are clipped."""
-    idx = F.lit(0)
-    for k in range(1, bins):
-        idx = idx + F.when(value >= lo + F.lit(float(k)) * (hi - lo) / F.lit(float(bins)), 1).otherwise(0)
-    return idx
+    Arguments are SQL fragments. Counting the inner edges at or below the value puts a value that
+    equals an edge into the bin above it, whatever its rounding.
+    """
+    edges = (f"{lo} + {float(k)}D * ({hi} - {lo}) / {float(bins)}D" for k in range(1, bins))
+    return F.expr(" + ".join(["0", *(f"if({value} >= {e}, 1, 0)" for e in edges)]))

@@ -20,11 +20,10 @@ EPS = 1e-4
 
 def long_format(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature, value) rows, nulls left out."""
-    cells = [
-        F.struct(F.lit(c).alias("feature_name"), F.col(c).cast("double").alias("value"))
-        for c in features
-    ]
-    return df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull())
+    cells = ", ".join(
+        f"named_struct('feature_name', '{c}', 'value', cast(`{c}` AS double))" for c in features
+    )
+    return df.select(F.expr(f"inline(array({cells}))")).where(F.col("value").isNotNull())
 
 
 def _both(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -43,13 +42,16 @@ def reference_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
     )
 
 
-def _stats(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:
-    """One row per feature present on both sides: counts, means and the reference range."""
+def _stats(both: DataFrame) -> DataFrame:
+    """One row per feature present on both sides: counts, means and the reference range.
+
+    The result has at most one row per listed feature; it is computed once and enters the
+    following plans as a small local table.
+    """
     is_ref = F.col("is_ref")
     r, c = F.when(is_ref, F.col("value")), F.when(~is_ref, F.col("value"))
-    return (
-        _both(ref, cur, features)
-        .groupBy("feature_name")
+    found = (
+        both.groupBy("feature_name")
         .agg(
             F.count(r).alias("n_ref"),
             F.count(c).alias("n_cur"),
@@ -60,18 +62,17 @@ def _stats(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame
         )
         .where((F.col("n_ref") > 0) & (F.col("n_cur") > 0))
     )
+    return F.broadcast(both.sparkSession.createDataFrame(found.toArrow(), found.schema))
 
 
-def _psi(ref: DataFrame, cur: DataFrame, features: Sequence[str], stats: DataFrame, bins: int) -> DataFrame:
-    per_feature = F.broadcast(stats)  # one row per listed feature
-    idx = bin_index(F.col("value"), F.col("lo"), F.col("hi"), bins)
+def _psi(both: DataFrame, stats: DataFrame, bins: int) -> DataFrame:
+    idx = bin_index("value", "lo", "hi", bins)
     counts = (
-        _both(ref, cur, features)
-        .join(per_feature.select("feature_name", "lo", "hi"), "feature_name")
+        both.join(stats.select("feature_name", "lo", "hi"), "feature_name")
         .groupBy("feature_name", idx.alias("bin"))
         .agg(F.count_if("is_ref").alias("c_ref"), F.count_if(~F.col("is_ref")).alias("c_cur"))
     )
-    grid = per_feature.select(
+    grid = stats.select(
         "feature_name", "lo", "hi", "n_ref", "n_cur",
         F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"),
     )
@@ -93,29 +94,19 @@ def psi(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10)
 
     Current values outside the range count in the end bins; a constant reference is one bin.
     """
-    return _psi(ref, cur, features, _stats(ref, cur, features), bins)
-
+    both = _both(ref, cur, features)
+    return _psi(both, _stats(both), bins)
 
-def ks_statistic(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Largest gap between the two empirical distribution functions, and both sizes.
 
-    Values are counted first, so repeated values collapse; the running counts are then
-    spread over ranges of (feature, value).
-    """
-    counted = (
-        _both(ref, cur, features)
-        .groupBy("feature_name", "value")
-        .agg(F.count_if("is_ref").alias("c_ref"), F.count_if(~F.col("is_ref")).alias("c_cur"))
+def _ks(both: DataFrame, stats: DataFrame) -> DataFrame:
+    counted = both.groupBy("feature_name", "value").agg(
+        F.count_if("is_ref").alias("c_ref"), F.count_if(~F.col("is_ref")).alias("c_cur")
     )
     upto = running_sums(
         counted, ["value"], {"r": F.col("c_ref"), "c": F.col("c_cur")}, by=["feature_name"]
     )
-    sizes = F.broadcast(  # one row per listed feature
-        counted.groupBy("feature_name")
-        .agg(F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"))
-        .where((F.col("n_ref") > 0) & (F.col("n_cur") > 0))
-    )
     gap = F.abs(F.col("r") / F.col("n_ref") - F.col("c") / F.col("n_cur"))
+    sizes = stats.select("feature_name", "n_ref", "n_cur")
     return upto.join(sizes, "feature_name").groupBy("feature_name").agg(
         F.max(gap).alias("ks_statistic"),
         F.max("n_ref").alias("n_ref"),
@@ -123,20 +114,36 @@ def ks_statistic(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> Dat
     )
 
 
+def ks_statistic(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Largest gap between the two empirical distribution functions, and both sizes.
+
+    Values are counted first, so repeated values collapse; the running counts are then
+    spread over ranges of (feature, value).
+    """
+    both = _both(ref, cur, features)
+    return _ks(both, _stats(both))
+
+
+def _p_value() -> Column:
+    return ks_p_value(F.col("ks_statistic"), F.col("n_ref"), F.col("n_cur"))
+
+
 def ks_test(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:
-    p = ks_p_value(F.col("ks_statistic"), F.col("n_ref"), F.col("n_cur"))
     return ks_statistic(ref, cur, features).select(
-        "feature_name", "ks_statistic", p.alias("ks_p_value")
+        "feature_name", "ks_statistic", _p_value().alias("ks_p_value")
     )
 
 
 def drift_report(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10) -> DataFrame:
     """One row per feature: PSI, KS, means, shift, flag and severity."""
-    stats = _stats(ref, cur, features)
+    both = _both(ref, cur, features)
+    stats = _stats(both)
+    ks = _ks(both, stats).select("feature_name", "ks_statistic", _p_value().alias("ks_p_value"))
     score = F.col("psi")
     return (
-        stats.join(_psi(ref, cur, features, stats, bins), "feature_name")
-        .join(ks_test(ref, cur, features), "feature_name")
+        _psi(both, stats, bins)
+        .join(ks, "feature_name")
+        .join(stats, "feature_name")
         .select(
             "feature_name",
             "psi",

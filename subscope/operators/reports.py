@@ -78,9 +78,8 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     rows = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
     span = rows.agg(F.min("v"), F.max("v")).first()
     lo, hi = (F.lit(v).cast("double") for v in span)
-    found = rows.groupBy(bin_index(F.col("v"), lo, hi, bins).alias("bin")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    edges = ("cast(NULL AS double)" if v is None else f"cast('{v!r}' AS double)" for v in span)
+    found = rows.groupBy(bin_index("v", *edges, bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     return (
         _rows(df, "bin", list(range(bins)))
         .join(found, "bin", "left")

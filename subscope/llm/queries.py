@@ -6,21 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, packing, token_counts
+from . import encoding, licenses, packing, permutation_index, token_counts, url_filter
 from .common import read
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return permutation_index.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op3_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.lengths(read(spark, sf_dir, "documents"), encoding.vocabulary())
     return token_counts.suffix_sums(lengths)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_permutation_index": op1_permutation_index,
+    "op3_redirect_equivalence": op3_redirect_equivalence,
     "op6_token_counts": op6_token_counts,
+    "op7_license_scan": op7_license_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 

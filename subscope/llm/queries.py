@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, licenses, packing, permutation_index, token_counts, url_filter
+from . import encoding, licenses, packing, permutation_index, setsketch, token_counts, url_filter
 from .common import read
 
 
@@ -32,12 +32,17 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(read(spark, sf_dir, "documents"))
 
 
+def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(read(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_permutation_index": op1_permutation_index,
     "op3_redirect_equivalence": op3_redirect_equivalence,
     "op6_token_counts": op6_token_counts,
     "op7_license_scan": op7_license_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_setsketch_near_dedup": op10_setsketch_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}

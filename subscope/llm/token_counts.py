@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import common, encoding
 
 BLOCK = 256  # lengths whose running sums one window holds
@@ -25,7 +26,8 @@ def lengths(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFram
             yield common.batch_of(length=length.astype(np.int64), documents=documents.astype(np.int64))
 
     counted = common.texts(docs.withColumn("__id", F.lit(0)), text_col, id_col="__id").select("text").mapInArrow(count, "length long, documents long")
-    return counted.groupBy("length").agg(F.sum("documents").alias("documents"))
+    # stored, as the suffix sums read it twice: texts are encoded once
+    return materialize(counted.groupBy("length").agg(F.sum("documents").alias("documents")), "lengths")
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:

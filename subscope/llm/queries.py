@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, licenses, packing, permutation_index, setsketch, token_counts, url_filter
+from . import decontamination, encoding, licenses, packing, permutation_index, setsketch, token_counts, url_filter
 from .common import read
 
 
@@ -19,6 +19,10 @@ def op3_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.lengths(read(spark, sf_dir, "documents"), encoding.vocabulary())
     return token_counts.suffix_sums(lengths)
@@ -39,6 +43,7 @@ def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_permutation_index": op1_permutation_index,
     "op3_redirect_equivalence": op3_redirect_equivalence,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_license_scan": op7_license_scan,
     "op8_best_fit_packing": op8_best_fit_packing,

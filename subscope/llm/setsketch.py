@@ -20,8 +20,9 @@ from . import common, graph
 
 ROWS, BANDS = 4, 27  # a pair at similarity 0.8 shares no band with probability 7e-7
 BASE, RATE, TOP = 1.001, 20.0, 65_534  # register scale: values 0..TOP+1
-MARGIN = 6.0  # standard deviations below the threshold at which an estimate rules a pair out
+MARGIN = 4.5  # standard deviations below the threshold at which an estimate rules a pair out
 WORDS = 300_000  # word hashes that a worker keeps
+HELD = 2_000_000  # shingles of recent texts that a worker keeps while it confirms pairs
 
 
 class _WordHash(dict):
@@ -154,28 +155,84 @@ def _possible(pairs: DataFrame, heads: DataFrame, threshold: float) -> DataFrame
     return joined.where(fits).select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return materialize(docs.join(ids.distinct(), "doc_id").select("doc_id", "text"), "texts")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b) pairs with 100 * intersection >= percent * union of the full sets."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = materialize(docs.join(need, "doc_id").select("doc_id", "text"), "texts")
+    held = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     joined = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     joined = joined.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, np.ndarray | None] = None, None  # rows come sorted by b
+        recent: dict[str, np.ndarray] = {}
+        weight = 0
+
+        def of(text: str) -> np.ndarray:
+            nonlocal weight
+            if text not in recent:
+                if weight > HELD:
+                    recent.clear()
+                    weight = 0
+                recent[text] = shingles(text, size)
+                weight += len(recent[text]) + len(text)
+            return recent[text]
+
         for batch in common.bounded(batches, "ta"):
             keep = []
-            for b, ta, tb in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if last[0] != b:
-                    last = b, shingles(tb, size)
-                x, y = shingles(ta, size), last[1]
-                both = len(np.intersect1d(x, y, assume_unique=True))
+            for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = of(ta), of(tb)
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _own_shingles(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, own): how many shingles of each listed document no other listed one has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.bounded(batches, limit=1_000_000):
+            sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
+            ids = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
+            yield common.batch_of(doc_id=ids, shingle=np.concatenate(sets).view(np.int64))
+
+    rows = _texts(docs, ids).mapInArrow(run, "doc_id long, shingle long")
+    once = rows.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
+    return once.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _across(shared: DataFrame, parts: DataFrame, heads: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b) pairs of one bucket in different components that may still be alike enough.
+
+    Shingles that no other member of any such bucket has cannot be shared. If r and s others are left of sets of
+    p and q, the similarity is at most i / (p + q - i), i = min(r, s). That rules out most members on their own,
+    against the least set of their bucket, and then most pairs; what it leaves is compared completely.
+    """
+    member = shared.select("key", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    member = member.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+
+    def mixed(rows: DataFrame, *extra) -> DataFrame:
+        key = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *extra)
+        return rows.join(key.where("lo < hi").drop("lo", "hi"), "key")
+
+    member = materialize(mixed(member), "members")
+    own = _own_shingles(member.select("doc_id"), docs, size)
+    sizes = heads.join(member.select("doc_id").distinct(), "doc_id").join(own, "doc_id", "left")
+    sizes = sizes.select("doc_id", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("common"))
+    member = mixed(member.join(sizes, "doc_id"), F.min("n").alias("least_n"))
+    partner = F.greatest("least_n", "common")
+    member = member.where(100 * F.col("common") >= percent * (F.col("n") + partner - F.col("common"))).drop("least_n")
+    member = materialize(mixed(member), "members")
+    other = member.select("key", *(F.col(c).alias(f"{c}2") for c in ("doc_id", "component", "n", "common")))
+    most = F.least("common", "common2")
+    fits = (F.col("component") < F.col("component2")) & (100 * most >= percent * (F.col("n") + F.col("n2") - most))
+    pairs = member.join(other, (member["key"] == other["key"]) & fits)
+    return pairs.select(F.least("doc_id", "doc_id2").alias("a"), F.greatest("doc_id", "doc_id2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int, percent: int = 80, text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``.
 
@@ -208,14 +265,8 @@ def near_duplicates(docs: DataFrame, size: int, percent: int = 80, text_col: str
     links = materialize(_confirmed(tested, base, size, percent), "links")
     parts = materialize(graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
 
-    # what is left: members of one bucket in different components
-    member = shared.select("key", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    member = member.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    member = materialize(member.join(mixed, "key"), "members")
-    other = member.select("key", F.col("doc_id").alias("other"), F.col("component").alias("component2"))
-    rest = member.join(other, "key").where("component < component2").select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"))
-    rest = materialize(_possible(rest.distinct().join(tested, ["a", "b"], "left_anti"), heads, threshold), "pairs")
+    rest = _across(shared, parts, heads, base, size, percent).join(tested, ["a", "b"], "left_anti")
+    rest = materialize(_possible(rest, heads, threshold), "pairs")
     more = materialize(_confirmed(rest, base, size, percent), "links")
     if not more.isEmpty():
         every = links.union(more)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, encoding, licenses, packing, permutation_index, setsketch, token_counts, url_filter
+from . import decontamination, encoding, licenses, packing, permutation_index, pii, secret_scan, setsketch, token_counts, url_filter
 from .common import read
 
 
@@ -15,6 +15,10 @@ def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op3_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
@@ -36,17 +40,23 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(read(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(read(spark, sf_dir, "documents"))
+
+
 def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(read(spark, sf_dir, "documents"), size=2, percent=80)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_permutation_index": op1_permutation_index,
+    "op2_secret_scan": op2_secret_scan,
     "op3_redirect_equivalence": op3_redirect_equivalence,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_license_scan": op7_license_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_pii": op9_pii,
     "op10_setsketch_near_dedup": op10_setsketch_near_dedup,
 }
 

@@ -278,3 +278,12 @@ def near_duplicates(docs: DataFrame, size: int, percent: int = 80, text_col: str
     component = F.when(F.col("n_shingles") > 0, F.col("class_component")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def distinct_documents(docs: DataFrame, size: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without those that are a near copy of a document with a smaller id.
+
+    Rows with a null id stay, and rows that share an id stay or go together.
+    """
+    gone = near_duplicates(docs, size, percent, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")

@@ -22,6 +22,7 @@ ROWS, BANDS = 4, 27  # a pair at similarity 0.8 shares no band with probability
 BASE, RATE, TOP = 1.001, 20.0, 65_534  # register scale: values 0..TOP+1
 MARGIN = 4.5  # standard deviations below the threshold at which an estimate rules a pair out
 WORDS = 300_000  # word hashes that a worker keeps
+SLOT_BITS = 20  # size of the table of shingle counts that orders them
 HELD = 2_000_000  # shingles of recent texts that a worker keeps while it confirms pairs
 
 
@@ -155,13 +156,8 @@ def _possible(pairs: DataFrame, heads: DataFrame, threshold: float) -> DataFrame
     return joined.where(fits).select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return materialize(docs.join(ids.distinct(), "doc_id").select("doc_id", "text"), "texts")
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b) pairs with 100 * intersection >= percent * union of the full sets."""
-    held = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+def _confirmed(pairs: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b) pairs with 100 * intersection >= percent * union of the full sets of the texts ``held``."""
     joined = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     joined = joined.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -190,46 +186,58 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _own_shingles(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, own): how many shingles of each listed document no other listed one has."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.bounded(batches, limit=1_000_000):
-            sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
-            ids = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
-            yield common.batch_of(doc_id=ids, shingle=np.concatenate(sets).view(np.int64))
-
-    rows = _texts(docs, ids).mapInArrow(run, "doc_id long, shingle long")
-    once = rows.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
-    return once.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
-
-
-def _across(shared: DataFrame, parts: DataFrame, heads: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b) pairs of one bucket in different components that may still be alike enough.
+def _across(shared: DataFrame, parts: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b) pairs of documents in different components that may still be alike enough.
 
-    Shingles that no other member of any such bucket has cannot be shared. If r and s others are left of sets of
-    p and q, the similarity is at most i / (p + q - i), i = min(r, s). That rules out most members on their own,
-    against the least set of their bucket, and then most pairs; what it leaves is compared completely.
+    Only members of buckets that hold several components take part. A prefix filter compares them: in one order of all shingles,
+    rare ones first, two sets alike enough share a shingle among the first n - ceil(share * n) + 1 of either, at places that
+    leave room for the overlap. Any order is right; this one sorts by counts in a table of fixed size.
     """
     member = shared.select("key", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     member = member.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    key = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    member = materialize(member.join(key.where("lo < hi").select("key"), "key").select("doc_id", "component").distinct(), "members")
+    held = held.join(member.select("doc_id"), "doc_id")
 
-    def mixed(rows: DataFrame, *extra) -> DataFrame:
-        key = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *extra)
-        return rows.join(key.where("lo < hi").drop("lo", "hi"), "key")
-
-    member = materialize(mixed(member), "members")
-    own = _own_shingles(member.select("doc_id"), docs, size)
-    sizes = heads.join(member.select("doc_id").distinct(), "doc_id").join(own, "doc_id", "left")
-    sizes = sizes.select("doc_id", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("common"))
-    member = mixed(member.join(sizes, "doc_id"), F.min("n").alias("least_n"))
-    partner = F.greatest("least_n", "common")
-    member = member.where(100 * F.col("common") >= percent * (F.col("n") + partner - F.col("common"))).drop("least_n")
-    member = materialize(mixed(member), "members")
-    other = member.select("key", *(F.col(c).alias(f"{c}2") for c in ("doc_id", "component", "n", "common")))
-    most = F.least("common", "common2")
-    fits = (F.col("component") < F.col("component2")) & (100 * most >= percent * (F.col("n") + F.col("n2") - most))
-    pairs = member.join(other, (member["key"] == other["key"]) & fits)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.bounded(batches, limit=1_000_000):
+            slots = np.concatenate([shingles(t, size) for t in batch.column(0).to_pylist()]) >> np.uint64(64 - SLOT_BITS)
+            slot, n = np.unique(slots, return_counts=True)
+            yield common.batch_of(slot=slot.astype(np.int32), n=n)
+
+    counted = held.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+    table[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    shared_table = held.sparkSession.sparkContext.broadcast(table)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared_table.value
+        for batch in common.bounded(batches, limit=1_000_000):
+            rows, found, places, sizes = [], [], [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                x = shingles(text, size)
+                n = table[x >> np.uint64(64 - SLOT_BITS)]
+                first = np.lexsort((x, n))[: len(x) - -(-percent * len(x) // 100) + 1]
+                at = np.flatnonzero(n[first] > 1)  # a shingle alone in its slot has no partner
+                rows.append(np.full(len(at), row))
+                found.append(x[first[at]])
+                places.append(at)
+                sizes.append(np.full(len(at), len(x)))
+            rows = np.concatenate(rows)
+            yield common.batch_of(
+                doc_id=batch.column(0).take(pa.array(rows)), shingle=np.concatenate(found).view(np.int64), place=np.concatenate(places), n=np.concatenate(sizes)
+            )
+
+    rows = held.mapInArrow(prefix, "doc_id long, shingle long, place long, n long").join(member, "doc_id")
+    rows = materialize(rows, "prefixes")
+    other = rows.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("doc_id", "component", "place", "n")))
+    room = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    fits = (
+        (F.col("component") < F.col("component2"))
+        & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+        & ((100 + percent) * room >= percent * (F.col("n") + F.col("n2")))
+    )
+    pairs = rows.join(other, (rows["shingle"] == other["shingle"]) & fits)
     return pairs.select(F.least("doc_id", "doc_id2").alias("a"), F.greatest("doc_id", "doc_id2").alias("b")).distinct()
 
 
@@ -262,12 +270,14 @@ def near_duplicates(docs: DataFrame, size: int, percent: int = 80, text_col: str
     ordered = [F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")]
     pairs = shared.select("doc_id", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("c")).where("doc_id <> c").select(*ordered).distinct()
     tested = materialize(_possible(pairs, heads, threshold), "pairs")
-    links = materialize(_confirmed(tested, base, size, percent), "links")
+    # the only texts that are compared from here on; their ids grow with the data, so they are not broadcast
+    held = materialize(base.join(shared.select("doc_id").distinct().hint("merge"), "doc_id").select("doc_id", "text"), "texts")
+    links = materialize(_confirmed(tested, held, size, percent), "links")
     parts = materialize(graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
 
-    rest = _across(shared, parts, heads, base, size, percent).join(tested, ["a", "b"], "left_anti")
+    rest = _across(shared, parts, held, size, percent).join(tested, ["a", "b"], "left_anti")
     rest = materialize(_possible(rest, heads, threshold), "pairs")
-    more = materialize(_confirmed(rest, base, size, percent), "links")
+    more = materialize(_confirmed(rest, held, size, percent), "links")
     if not more.isEmpty():
         every = links.union(more)
         parts = materialize(graph.components(every.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")

@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 
 def slope(n: Column, sx: Column, sy: Column, sxy: Column, sxx: Column) -> Column:
-    """Least-squares slope from sums; 0 for fewer than two points or a constant x."""
-    n, sx, sxx = (c.cast("double") for c in (n, sx, sxx))
-    return F.coalesce(F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx), F.lit(0.0))
+    """Least-squares slope from sums; 0 for fewer than two points or a constant x.
+
+    n, sx and sxx are whole numbers. If y is a decimal, both differences are exact and only the last
+    division rounds.
+    """
+    n, sx, sxx = (c.cast("decimal(20,0)") for c in (n, sx, sxx))
+    top, bottom = n * sxy - sx * sy, n * sxx - sx * sx
+    return F.coalesce(F.try_divide(top.cast("double"), bottom.cast("double")), F.lit(0.0))
 
 
 def ks_p_value(stat: Column, n: Column, m: Column, terms: int = 4) -> Column:

@@ -17,6 +17,7 @@ from subscope import constants as K
 from subscope.functions.rules import lookup, recommend_channel, response_rate
 from subscope.operators.ordering import global_rank, quantiles, select_ranks
 from subscope.operators.profiles import suppress
+from subscope.session import materialize
 
 RECORD_SCHEMA = (
     "customer_id string, campaign_name string, segment_label string, rfm_segment string, "
@@ -26,23 +27,19 @@ RECORD_SCHEMA = (
 )
 
 
-ONE_TASK_ROWS = 100_000
-
-
 def top_n(df: DataFrame, order_col: str, n: int, tie: str = "customer_id") -> DataFrame:
-    """The first n rows by a column descending, ties in id order.
+    """The first n rows by a column descending, ties in id order; NaN is the largest value, nulls come last.
 
-    A short list is merged from the n best rows of each task. A long one would pass through a single
-    task that way, so its last key is looked up instead and the rows before it are kept and
-    range-sorted.
+    The key at rank n is looked up by rank selection and the rows up to it are kept and range-sorted, so
+    no task merges the best rows of all others, whatever n is. ``df`` is read several times: a stored table is best.
     """
-    if n <= ONE_TASK_ROWS:
-        return df.orderBy(F.desc(order_col), tie).limit(n)
-    down = F.coalesce(-F.col(order_col).cast("double"), F.lit(float("inf")))  # nulls come last
-    last = select_ranks(df, {"down": down}, lambda _, rows: [n] if n <= rows else [], tie)["down"].keys
-    for value, key in last:
-        df = df.where((down < F.lit(value)) | ((down == F.lit(value)) & (F.col(tie) <= F.lit(key))))
-    return df.orderBy(F.desc(order_col), tie)
+    v = F.col(order_col).cast("double")
+    group = F.when(v.isNull(), 2).when(F.isnan(v), 0).otherwise(1)
+    down = F.struct(group.alias("g"), F.when(group == 1, -v).otherwise(0.0).alias("v"))
+    for last, key in select_ranks(df, {"down": down}, lambda _, rows: [n] if 0 < n <= rows else [], tie)["down"].keys:
+        edge = F.struct(F.lit(last.g).alias("g"), F.lit(last.v).alias("v"))
+        df = df.where((down < edge) | ((down == edge) & (F.col(tie) <= F.lit(key))))
+    return df.orderBy(down, tie) if n > 0 else df.limit(0)
 
 
 def priority_rank(df: DataFrame, score: str, threshold: float = K.PROPENSITY_THRESHOLD) -> DataFrame:
@@ -65,9 +62,10 @@ class Campaign:
     eligible: Callable[[DataFrame], Column]
     score: Callable[[Column], Column]
     priority: Callable[[Column], Column]
-    offer: Callable[[DataFrame, int], Column]
+    offer: Callable[[DataFrame], Column]
     scale: str | None = None
     channel: str | None = None
+    whole_list: bool = False  # the offer depends on a statistic of the list
 
 
 def _tier_weight() -> Column:
@@ -83,12 +81,9 @@ def _with_spend(df: DataFrame) -> Column:
     return F.col("total_recharge_90d") > F.lit(p20)
 
 
-def _bundle_offer(listed: DataFrame, size: int) -> Column:
-    """By data use against the median of the list; only a short list is summed up in one task."""
-    if size <= ONE_TASK_ROWS:
-        median = listed.agg(F.percentile("data_usage_mb_30d", 0.5)).scalar()
-    else:
-        median = F.lit(quantiles(listed, {"data_usage_mb_30d": [0.5]})["data_usage_mb_30d"][0.5])
+def _bundle_offer(listed: DataFrame) -> Column:
+    """By data use against the median of the list."""
+    median = F.lit(quantiles(listed, {"data_usage_mb_30d": [0.5]})["data_usage_mb_30d"][0.5])
     return F.when(F.col("data_usage_mb_30d") < median, "1GB Daily Bundle").otherwise("5GB Monthly Bundle")
 
 
@@ -111,6 +106,7 @@ SPECS = {
         score=lambda _: F.col("propensity_bundle"),
         priority=lambda _: F.col("propensity_bundle") * 0.7 + _tier_weight() * 0.3,
         offer=_bundle_offer,
+        whole_list=True,
     ),
     "voice_topup": Campaign(
         eligible=lambda df: (F.col("propensity_topup") >= K.PROPENSITY_THRESHOLD) & _low_risk(0.5),
@@ -155,6 +151,8 @@ def campaign(
         part = _share(spec.scale, eligible.agg(F.max(spec.scale)).scalar())
     scored = eligible.withColumns({"_score": spec.score(part), "_priority": spec.priority(part)})
     listed = top_n(scored, "_priority", max_size)
+    if spec.whole_list:  # written once: both the statistics of the list and its rows are read from there
+        listed = materialize(listed, "list").orderBy(F.desc("_priority"), "customer_id")
     has = set(master.columns)
 
     def label(name: str) -> Column:
@@ -168,7 +166,7 @@ def campaign(
         F.col("churn_risk_score").cast("double").alias("churn_risk_score"),
         F.col("_score").alias("propensity_score"),
         "clv_tier",
-        spec.offer(listed, max_size).alias("recommended_offer"),
+        spec.offer(listed).alias("recommended_offer"),
         (F.lit(spec.channel) if spec.channel else recommend_channel(listed)).alias("recommended_channel"),
         F.col("_priority").alias("priority_score"),
         response_rate(F.col("_score")).alias("estimated_response_rate"),
@@ -176,26 +174,6 @@ def campaign(
     )
 
 
-def churn_retention(df: DataFrame, suppression: DataFrame | None = None, max_size: int = 5000) -> DataFrame:
-    return campaign(df, "churn_retention", suppression, max_size)
-
-
-def bundle_upsell(df: DataFrame, suppression: DataFrame | None = None, max_size: int = 5000) -> DataFrame:
-    return campaign(df, "bundle_upsell", suppression, max_size)
-
-
-def voice_topup(df: DataFrame, suppression: DataFrame | None = None, max_size: int = 5000) -> DataFrame:
-    return campaign(df, "voice_topup", suppression, max_size)
-
-
-def reactivation(df: DataFrame, suppression: DataFrame | None = None, max_size: int = 5000) -> DataFrame:
-    return campaign(df, "reactivation", suppression, max_size)
-
-
-def loyalty_reward(df: DataFrame, suppression: DataFrame | None = None, max_size: int = 5000) -> DataFrame:
-    return campaign(df, "loyalty_reward", suppression, max_size)
-
-
 def all_campaigns(
     master: DataFrame, suppression: DataFrame | None = None, max_size: int = 5000
 ) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +11,6 @@ from pyspark.sql import types as T
 from subscope import constants as K
 from subscope.functions.cleaning import as_number, yes_no
 
-MAX_LEVELS = 1000
 
 
 def clean_profiles(raw: DataFrame) -> DataFrame:
@@ -54,16 +55,18 @@ def one_hot_fixed(df: DataFrame, spec: dict[str, dict[str, str]] = K.INDICATORS)
     return df.withColumns(out).drop(*used)
 
 
-def one_hot_dynamic(df: DataFrame, column: str, drop_first: bool = True) -> DataFrame:
-    """Indicators of the levels found in the data, the first one dropped.
+def one_hot_dynamic(
+    df: DataFrame, column: str, drop_first: bool = True, levels: Sequence[str] | None = None
+) -> DataFrame:
+    """Indicators of the given levels, else of those found in the data, the first one dropped.
 
-    Levels become columns of the schema, so they are read up front; a column with more
-    than ``MAX_LEVELS`` of them is not a category and is refused.
+    Levels become columns of the schema, so they are aggregated up front, one row each; name them where
+    the vocabulary is fixed.
     """
-    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
-    if len(found) > MAX_LEVELS:
-        raise ValueError(f"{column} has more than {MAX_LEVELS} levels")
-    levels = sorted(r[0] for r in found)[1 if drop_first else 0 :]
+    if levels is None:
+        found = df.select(column).where(F.col(column).isNotNull()).distinct()
+        levels = [r[0] for r in found.collect()]
+    levels = sorted(levels)[1 if drop_first else 0 :]
     return df.withColumns(
         {f"{column}_{v}": F.coalesce(F.col(column) == v, F.lit(False)).cast("int") for v in levels}
     ).drop(column)

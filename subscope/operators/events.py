@@ -77,10 +77,14 @@ def _total(name: str, only: Column | None = None) -> Column:
 
 
 def _day_slope(weight: Column, amount: str) -> Column:
-    """Trend over days of points given by daily weights and daily sums."""
-    x = -F.col("ago")
-    y = F.coalesce(F.col(amount), F.lit(0.0))
-    return slope(F.sum(weight), F.sum(weight * x), F.sum(y), F.sum(x * y), F.sum(weight * x * x))
+    """Trend over days of points given by daily weights and daily sums; rows without a date are no points."""
+    x, dated = -F.col("ago"), F.col("ago").isNotNull()
+    y = F.when(dated, F.coalesce(F.col(amount), F.lit(0)))
+    return slope(F.sum(F.when(dated, weight)), F.sum(weight * x), F.sum(y), F.sum(x * y), F.sum(weight * x * x))
+
+
+def _mean(amount: str, count: str) -> Column:
+    return F.try_divide(F.sum(amount).cast("double"), F.sum(count))
 
 
 def activity_agg(events: DataFrame, ref: date | str | None = None) -> DataFrame:
@@ -102,8 +106,8 @@ def recharge_agg(
     daily = _dated(daily_rollup(rows), _ref(events, ref))
     return daily.groupBy("customer_id").agg(
         F.sum("recharge_n").alias("recharge_count"),
-        _total("recharge_sum").alias("total_recharge"),
-        F.try_divide(F.sum("recharge_sum"), F.sum("recharge_n")).alias("avg_recharge_amount"),
+        _total("recharge_sum").cast("double").alias("total_recharge"),
+        _mean("recharge_sum", "recharge_n").alias("avg_recharge_amount"),
         F.max("event_date").alias("last_recharge_date"),
         F.min("ago").cast("int").alias("days_since_last_recharge"),
     )
@@ -117,11 +121,11 @@ def ordinal_block(events: DataFrame, ref: date | str | None = None) -> DataFrame
     block = daily.groupBy("customer_id").agg(
         F.count("event_date").alias("active_days_90d"),
         F.sum("recharge_rows").alias("recharge_count_90d"),
-        F.sum("recharge_sum").alias("total_recharge_90d"),
-        F.try_divide(F.sum("recharge_sum"), F.sum("recharge_n")).alias("avg_recharge_amount"),
+        F.sum("recharge_sum").cast("double").alias("total_recharge_90d"),
+        _mean("recharge_sum", "recharge_n").alias("avg_recharge_amount"),
         F.min(F.when(had_recharge, F.col("ago"))).cast("int").alias("days_since_last_recharge"),
-        F.sum("session_sum").alias("data_usage_mb_90d"),
-        F.try_divide(F.sum("session_sum"), F.sum("session_n")).alias("avg_session_mb"),
+        F.sum("session_sum").cast("double").alias("data_usage_mb_90d"),
+        _mean("session_sum", "session_n").alias("avg_session_mb"),
     )
     return block.join(trend_ordinal(events), "customer_id", "left")
 
@@ -132,9 +136,9 @@ def data_usage_agg(
     """Data volume over the long and the short window, and the average session."""
     daily = _dated(daily_rollup(filter_events(events, "DATA_SESSION", ref, long)), _ref(events, ref))
     return daily.groupBy("customer_id").agg(
-        _total("session_sum").alias("data_usage_mb_90d"),
-        F.try_divide(F.sum("session_sum"), F.sum("session_n")).alias("avg_session_mb"),
-        _total("session_sum", F.col("ago") <= short).alias("data_usage_mb_30d"),
+        _total("session_sum").cast("double").alias("data_usage_mb_90d"),
+        _mean("session_sum", "session_n").alias("avg_session_mb"),
+        _total("session_sum", F.col("ago") <= short).cast("double").alias("data_usage_mb_30d"),
     )
 
 
@@ -195,17 +199,13 @@ def trend_ordinal(events: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("c"))
     )
     placed = running_sums(points, ["event_date", "recharge_amount"], {"upto": c}, by=["customer_id"])
-    n = F.sum("c").cast("double")
-    # the c positions ending at `upto` sum to c*upto - c*(c-1)/2
-    positions = (c * F.col("upto")).cast("double") - (c * (c - 1)).cast("double") / 2.0
+    n = F.sum("c").cast("decimal(20,0)")
+    # the c positions ending at `upto` sum to half of this; over 1..n both sums of the slope are known
+    twice = 2 * c * F.col("upto") - c * (c - 1)
+    top = (n * F.sum(twice * y) - n * (n + 1) * F.sum(c * y)).cast("double") * 6.0
+    m = n.cast("double")
     return placed.groupBy("customer_id").agg(
-        slope(
-            F.sum("c"),
-            n * (n + 1) / 2.0,
-            F.sum(c * y),
-            F.sum(positions * y),
-            n * (n + 1) * (2 * n + 1) / 6.0,
-        ).alias("recharge_trend")
+        F.coalesce(F.try_divide(top, m * m * (m * m - 1)), F.lit(0.0)).alias("recharge_trend")
     )
 
 
@@ -225,15 +225,15 @@ def event_block(
     block = daily.groupBy("customer_id").agg(
         F.when(F.count_if(had_recharge) > 0, _total("recharge_n")).alias("recharge_count_90d"),
         F.when(F.count_if(had_recharge & recent) > 0, _total("recharge_n", recent)).alias("recharge_count_30d"),
-        F.sum("recharge_sum").alias("total_recharge_90d"),
-        F.sum(F.when(recent, F.col("recharge_sum"))).alias("total_recharge_30d"),
-        F.try_divide(F.sum("recharge_sum"), F.sum("recharge_n")).alias("avg_recharge_amount"),
+        F.sum("recharge_sum").cast("double").alias("total_recharge_90d"),
+        F.sum(F.when(recent, F.col("recharge_sum"))).cast("double").alias("total_recharge_30d"),
+        _mean("recharge_sum", "recharge_n").alias("avg_recharge_amount"),
         F.min(F.when(had_recharge, F.col("ago"))).cast("int").alias("days_since_last_recharge"),
         _day_slope(F.col("recharge_n"), "recharge_sum").alias("recharge_trend"),
-        F.sum(F.when(recent, F.col("session_sum"))).alias("data_usage_mb_30d"),
-        F.sum("session_sum").alias("data_usage_mb_90d"),
+        F.sum(F.when(recent, F.col("session_sum"))).cast("double").alias("data_usage_mb_30d"),
+        F.sum("session_sum").cast("double").alias("data_usage_mb_90d"),
         _day_slope(F.when(had_session, 1).otherwise(0).cast("bigint"), "session_sum").alias("data_usage_trend"),
-        F.try_divide(F.sum("session_sum"), F.sum("session_n")).alias("avg_session_mb"),
+        _mean("session_sum", "session_n").alias("avg_session_mb"),
         (F.sum("n_app") / F.sum("n_events")).alias("app_usage_rate"),
         shown.alias("offers_presented"),
         taken.alias("offers_accepted"),

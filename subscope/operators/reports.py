@@ -74,9 +74,14 @@ def rfm_heatmap(df: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """Equal-width histogram between the smallest and largest value, empty bins as 0."""
+    """Equal-width histogram between the smallest and largest value, empty bins as 0.
+
+    A constant column is put in the middle of a range of width one.
+    """
     rows = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    span = rows.agg(F.min("v"), F.max("v")).first()
+    span = tuple(rows.agg(F.min("v"), F.max("v")).first())
+    if span[0] is not None and span[0] == span[1]:
+        span = span[0] - 0.5, span[1] + 0.5
     lo, hi = (F.lit(v).cast("double") for v in span)
     edges = ("cast(NULL AS double)" if v is None else f"cast('{v!r}' AS double)" for v in span)
     found = rows.groupBy(bin_index("v", *edges, bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))

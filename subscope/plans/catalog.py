@@ -19,8 +19,7 @@ from subscope.operators import (
 )
 from subscope.plans import flows
 from subscope.plans.fixtures import (
-    AMOUNT_COLUMNS, DIGITS, OFF_EDGE, PERFORMANCE, QUERY_CUSTOMER, SHORT_DAYS, STAMP, ZCOLS, event_log, master, quarter,
-    store, two_years,
+    AMOUNT_COLUMNS, DIGITS, PERFORMANCE, QUERY_CUSTOMER, STAMP, UNROUNDED, ZCOLS, event_log, master, store,
 )
 from subscope.session import materialize, scratch_path
 from subscope.sources import adapters as A
@@ -35,8 +34,8 @@ def rounded(df: DataFrame) -> DataFrame:
     out = {}
     for f in df.schema.fields:
         if isinstance(f.dataType, T.DoubleType):
-            moved = F.col(f.name) + F.lit(OFF_EDGE.get(f.name, 0.0))
-            out[f.name] = F.round(moved, DIGITS.get(f.name, 6)) + F.lit(0.0)
+            value_ = F.col(f.name) if f.name in UNROUNDED else F.round(f.name, DIGITS.get(f.name, 6))
+            out[f.name] = value_ + F.lit(0.0)
         elif isinstance(f.dataType, T.DateType):
             out[f.name] = F.col(f.name).cast("string")
     return df.withColumns(out) if out else df
@@ -83,7 +82,8 @@ def _(s, d):
 @query("scan_events")
 def _(s, d):
     path = scratch_path(s, "events-parquet")
-    event_log(s, d).write.parquet(path)
+    log = event_log(s, d).withColumns({c: F.col(c).cast("double") for c in ("recharge_amount", "data_mb_used")})
+    log.write.parquet(path)
     return readers.read_events(s, path)
 
 
@@ -109,7 +109,7 @@ def _(s, d):
 
 @query("key_integrity")
 def _(s, d):
-    return profiles.key_integrity(_prof(s, d), quarter(s, d))
+    return profiles.key_integrity(_prof(s, d), event_log(s, d))
 
 
 @query("feature_store_roundtrip")
@@ -151,7 +151,7 @@ def _(s, d):
 
 @query("one_hot_fixed")
 def _(s, d):
-    joined = profiles.join_features(_prof(s, d), events.preferred_channel(quarter(s, d)))
+    joined = profiles.join_features(_prof(s, d), events.preferred_channel(event_log(s, d)))
     names = [n for spec in K.INDICATORS.values() for n in spec]
     return encoding.one_hot_fixed(joined).select("customer_id", *names)
 
@@ -164,7 +164,7 @@ def _(s, d):
 
 @query("fill_missing")
 def _(s, d):
-    joined = profiles.join_features(_prof(s, d), events.preferred_channel(quarter(s, d)))
+    joined = profiles.join_features(_prof(s, d), events.preferred_channel(event_log(s, d)))
     return encoding.fill_missing(joined).select(
         "customer_id", "total_charges", "Dependents", "StreamingMovies", "preferred_channel"
     )
@@ -173,14 +173,14 @@ def _(s, d):
 @query("fill_defaults")
 def _(s, d):
     joined = profiles.join_features(
-        _prof(s, d).select("customer_id"), events.event_block(quarter(s, d), short=SHORT_DAYS)
+        _prof(s, d).select("customer_id"), events.event_block(event_log(s, d))
     )
     return events.fill_defaults(joined, K.EVENT_DEFAULTS).select("customer_id", *K.EVENT_DEFAULTS)
 
 
 @query("event_filters")
 def _(s, d):
-    return events.filter_events(two_years(s, d), "RECHARGE", days=30).select(
+    return events.filter_events(event_log(s, d), "RECHARGE", days=30).select(
         "customer_id", "event_date", "recharge_amount"
     )
 
@@ -278,7 +278,7 @@ def _(s, d):
 
 @query("profile_left_join")
 def _(s, d):
-    joined = profiles.join_features(_prof(s, d), events.event_features(quarter(s, d), short=SHORT_DAYS))
+    joined = profiles.join_features(_prof(s, d), events.event_features(event_log(s, d)))
     return joined.select(
         "customer_id", "tenure_months", "monthly_charges",
         F.col("recharge_count_90d").cast("double").alias("recharge_count_90d"),
@@ -288,7 +288,7 @@ def _(s, d):
 
 @query("feature_block_joins")
 def _(s, d):
-    log = quarter(s, d)
+    log = event_log(s, d)
     act = events.activity_agg(log).select("customer_id", "total_events_count", "active_days_90d")
     rec = events.recharge_agg(log).select("customer_id", F.col("recharge_count").cast("double").alias("recharge_count"), "total_recharge")
     return act.join(rec, "customer_id", "left").join(events.preferred_channel(log), "customer_id", "left")
@@ -296,7 +296,7 @@ def _(s, d):
 
 @query("customers_without_events")
 def _(s, d):
-    return profiles.customers_without_events(_prof(s, d), quarter(s, d)).select("customer_id", "tenure_months")
+    return profiles.customers_without_events(_prof(s, d), event_log(s, d)).select("customer_id", "tenure_months")
 
 
 @query("suppression_anti_join")
@@ -328,7 +328,7 @@ def _(s, d):
 @query("recharge_agg_30d")
 def _(s, d):
     # the cutoff counts back from the last day of the whole log
-    recent = events.recharge_agg(two_years(s, d), window_days=30)
+    recent = events.recharge_agg(event_log(s, d), window_days=30)
     return recent.select(
         "customer_id",
         F.col("recharge_count").alias("recharge_count_30d"),
@@ -338,7 +338,7 @@ def _(s, d):
 
 @query("data_usage_agg")
 def _(s, d):
-    return events.data_usage_agg(two_years(s, d))
+    return events.data_usage_agg(event_log(s, d))
 
 
 @query("offer_acceptance_rate")
@@ -503,7 +503,7 @@ def _(s, d):
 def _campaign_query(kind: str) -> None:
     @query(f"campaign_{kind}")
     def _(s, d):
-        return campaigns.campaign(master(s, d), kind, _suppressed(s, d), max_size=200)
+        return campaigns.campaign(master(s, d), kind, _suppressed(s, d))
 
 
 for _kind in K.CAMPAIGNS:
@@ -674,17 +674,17 @@ def _(s, d):
 
 @query("event_features")
 def _(s, d):
-    return events.event_features(event_log(s, d), short=SHORT_DAYS)
+    return events.event_features(event_log(s, d))
 
 
 @query("feature_store_batch")
 def _(s, d):
-    return flows.feature_store(_raw(s, d), quarter(s, d), short=SHORT_DAYS)
+    return flows.feature_store(_raw(s, d), event_log(s, d))
 
 
 @query("feature_store_ordinal")
 def _(s, d):
-    wide = flows.feature_store_ordinal(_raw(s, d), quarter(s, d))
+    wide = flows.feature_store_ordinal(_raw(s, d), event_log(s, d))
     return wide.select(
         "customer_id", "tenure", "MonthlyCharges", "TotalCharges", "churn_label", *K.ORDINAL_DEFAULTS
     )
@@ -692,7 +692,7 @@ def _(s, d):
 
 @query("rfm_behaviour_store")
 def _(s, d):
-    return flows.value_store(_raw(s, d), two_years(s, d), short=SHORT_DAYS)
+    return flows.value_store(_raw(s, d), event_log(s, d))
 
 
 # models: fewer trees and starts than the defaults, since every boosting round is a job of its own

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from subscope import constants as K
 from subscope.plans.fixtures import (
-    AMOUNT_COLUMNS, DIGITS, OFF_EDGE, PERFORMANCE, QUERY_CUSTOMER, SHORT_DAYS, STAMP, ZCOLS,
+    AMOUNT_COLUMNS, DIGITS, PERFORMANCE, QUERY_CUSTOMER, STAMP, UNROUNDED, ZCOLS,
 )
 from subscope.sources import adapters as A
 
@@ -17,7 +17,7 @@ def _rounded(body: str, columns: list[str], ctes: list[str]) -> str:
     parts = ", ".join(
         f"cast({c} AS string) AS {c}"
         if c.endswith("_date")
-        else f"round({c} + {OFF_EDGE.get(c, 0.0)!r}, {DIGITS.get(c, 6)}) + 0e0 AS {c}"
+        else f"{c} + 0e0 AS {c}" if c in UNROUNDED else f"round({c} + 0.0, {DIGITS.get(c, 6)}) + 0e0 AS {c}"
         for c in columns
     )
     return f"{head}SELECT * REPLACE ({parts}) FROM ({body}) AS q"
@@ -29,8 +29,6 @@ def _cte(name: str, text: str) -> str:
 
 RAW = _cte("raw", A.PROFILES)
 LOG = _cte("log", A.EVENT_LOG)
-LOG2Y = _cte("log", A.between(*A.TWO_YEARS))
-QUARTER = _cte("log", A.between(*A.QUARTER))
 CLICKS = _cte("log", A.CLICK_LOG)
 SCORES = _cte("scores", A.SCORES)
 SUPPRESSED = _cte("suppressed", A.SUPPRESSION)
@@ -62,6 +60,25 @@ OFFER = "(offer_presented IS NOT NULL AND offer_presented NOT IN ('', 'None'))"
 TAKEN = "(coalesce(offer_accepted, '') IN ('True', 'true', '1'))"
 
 
+def _exact_slope(y: str) -> str:
+    """Slope over dated points from whole cents and days."""
+    x, c = "cast(date_diff('day', DATE '1995-01-01', event_date) AS HUGEINT)", f"cast({y} * 100 AS HUGEINT)"
+    ok = f"FILTER (WHERE {y} IS NOT NULL AND event_date IS NOT NULL)"
+    n, sx, sy, sxy, sxx = (f"{a} {ok}" for a in ("count(*)", f"sum({x})", f"sum({c})", f"sum({x} * {c})", f"sum({x} * {x})"))
+    return (
+        f"CASE WHEN count(DISTINCT event_date) {ok} < 2 THEN 0e0 ELSE "
+        f"cast({n} * {sxy} - {sx} * {sy} AS double) / 1e2 / cast({n} * {sxx} - {sx} * {sx} AS double) END"
+    )
+
+
+# the slope over 1..n, likewise
+ORDINAL_SLOPE = (
+    "CASE WHEN count(*) < 2 THEN 0e0 ELSE cast(count(*) * sum(2 * i * cast(recharge_amount * 100 AS HUGEINT)) "
+    "- count(*) * (count(*) + 1) * sum(cast(recharge_amount * 100 AS HUGEINT)) AS double) / 1e2 * 6e0 "
+    "/ cast(count(*) * count(*) * (count(*) * count(*) - 1) AS double) END"
+)
+
+
 def _features(short: int) -> list[str]:
     """The event feature block, written as separate aggregates and joins."""
     return [
@@ -74,8 +91,7 @@ def _features(short: int) -> list[str]:
         "FROM log WHERE channel IS NOT NULL GROUP BY 1, 2) WHERE rn = 1)",
         "rech AS (SELECT customer_id, count(recharge_amount) AS n, sum(recharge_amount) AS s, "
         "avg(recharge_amount) AS a, max(event_date) AS last_day, "
-        "CASE WHEN count(recharge_amount) < 2 OR count(DISTINCT event_date) < 2 THEN 0e0 "
-        "ELSE regr_slope(recharge_amount, date_diff('day', DATE '1995-01-01', event_date)) END AS slope "
+        + _exact_slope("recharge_amount") + " AS slope "
         "FROM log WHERE event_type = 'RECHARGE' GROUP BY 1)",
         f"rech30 AS (SELECT customer_id, count(recharge_amount) AS n, sum(recharge_amount) AS s FROM log, ref "
         f"WHERE event_type = 'RECHARGE' AND event_date >= d - {short} GROUP BY 1)",
@@ -85,8 +101,7 @@ def _features(short: int) -> list[str]:
         f"WHERE event_type = 'DATA_SESSION' AND event_date >= d - {short} GROUP BY 1)",
         "days AS (SELECT customer_id, event_date, coalesce(sum(data_mb_used), 0) AS s FROM log "
         "WHERE event_type = 'DATA_SESSION' GROUP BY 1, 2)",
-        "dtrend AS (SELECT customer_id, CASE WHEN count(*) < 2 THEN 0e0 "
-        "ELSE regr_slope(s, date_diff('day', DATE '1995-01-01', event_date)) END AS slope FROM days GROUP BY 1)",
+        f"dtrend AS (SELECT customer_id, {_exact_slope('s')} AS slope FROM days GROUP BY 1)",
         "feats AS (SELECT acts.customer_id, "
         "cast(coalesce(rech30.n, 0) AS int) AS recharge_count_30d, "
         "cast(coalesce(rech.n, 0) AS int) AS recharge_count_90d, "
@@ -187,7 +202,7 @@ BEHAVIOUR = [
     "WHEN tenure_months < 3 AND active_days_90d < 30 THEN 'New At-Risk' ELSE 'Active' END AS lifecycle_stage "
     "FROM spend, cuts)",
 ]
-F2Y = [LOG2Y, *_features(SHORT_DAYS)]
+F2Y = [LOG, *_features(30)]
 STORE2Y = [*F2Y, *STORE]
 VALUE = [*STORE2Y, RFM, SEGMENT, *BEHAVIOUR]
 MASTER = [*VALUE, SCORES, "master AS (SELECT * FROM beh JOIN scores USING (customer_id))"]
@@ -483,7 +498,7 @@ def build() -> dict[str, str]:
         "key_integrity": r(
             "SELECT customer_id, 'profiles' AS only_in FROM prof WHERE customer_id NOT IN (SELECT customer_id FROM log) "
             "UNION ALL SELECT DISTINCT customer_id, 'events' FROM log WHERE customer_id NOT IN (SELECT customer_id FROM prof)",
-            [], [RAW, QUARTER, PROF],
+            [], [RAW, LOG, PROF],
         ),
         "rfm_export": r("SELECT customer_id, rfm_score FROM rfm", [], [*STORE2Y, RFM]),
         "normalize_profile": r(
@@ -492,25 +507,25 @@ def build() -> dict[str, str]:
         ),
         "one_hot_fixed": r(
             "SELECT prof.customer_id, " + ", ".join(INDICATOR_SQL) + " FROM prof LEFT JOIN (SELECT customer_id, channel AS preferred_channel FROM chan) USING (customer_id)",
-            [], [RAW, QUARTER, PROF, *_features(SHORT_DAYS)],
+            [], [RAW, LOG, PROF, *_features(30)],
         ),
         "one_hot_dynamic": r("SELECT customer_id, " + ", ".join(LINES_SQL) + " FROM prof", [], [RAW, PROF]),
         "fill_missing": r(
             "SELECT customer_id, coalesce(total_charges, 0) AS total_charges, coalesce(Dependents, 0) AS Dependents, "
             "coalesce(StreamingMovies, 0) AS StreamingMovies, coalesce(channel, 'Unknown') AS preferred_channel "
             "FROM prof LEFT JOIN chan USING (customer_id)",
-            [], [RAW, QUARTER, PROF, *_features(SHORT_DAYS)],
+            [], [RAW, LOG, PROF, *_features(30)],
         ),
         "fill_defaults": r(
             "SELECT prof.customer_id, " + ", ".join(
                 f"coalesce({c}, {d!r}) AS {c}" if not isinstance(d, float) else f"coalesce({c}, 0e0) AS {c}"
                 for c, d in K.EVENT_DEFAULTS.items()
             ) + " FROM prof LEFT JOIN feats USING (customer_id)",
-            FEATURE_DOUBLES, [RAW, QUARTER, PROF, *_features(SHORT_DAYS)],
+            FEATURE_DOUBLES, [RAW, LOG, PROF, *_features(30)],
         ),
         "event_filters": r(
             "SELECT customer_id, event_date, recharge_amount FROM log, (SELECT max(event_date) AS d FROM log) WHERE event_type = 'RECHARGE' AND event_date >= d - 30",
-            ["event_date", "recharge_amount"], [LOG2Y],
+            ["event_date", "recharge_amount"], [LOG],
         ),
         "offer_flags": r(
             f"SELECT customer_id, event_date, event_type, {OFFER} AS has_offer, {TAKEN} AS is_accepted FROM log", ["event_date"], [CLICKS],
@@ -541,26 +556,26 @@ def build() -> dict[str, str]:
             ["churn_risk_score", "clv_90d", "propensity_bundle", "propensity_topup", "propensity_reactivation"], MASTER),
         "profile_left_join": r(
             "SELECT prof.customer_id, tenure_months, monthly_charges, cast(recharge_count_90d AS double) AS recharge_count_90d, total_recharge_90d, preferred_channel FROM prof LEFT JOIN feats USING (customer_id)",
-            ["monthly_charges", "total_recharge_90d"], [RAW, QUARTER, PROF, *_features(SHORT_DAYS)]),
+            ["monthly_charges", "total_recharge_90d"], [RAW, LOG, PROF, *_features(30)]),
         "feature_block_joins": r(
             "SELECT acts.customer_id, acts.n AS total_events_count, active_days AS active_days_90d, cast(rech.n AS double) AS recharge_count, rech.s AS total_recharge, chan.channel AS preferred_channel "
             "FROM acts LEFT JOIN rech USING (customer_id) LEFT JOIN chan USING (customer_id)",
-            ["total_recharge"], [QUARTER, *_features(SHORT_DAYS)]),
+            ["total_recharge"], [LOG, *_features(30)]),
         "customers_without_events": r(
-            "SELECT customer_id, tenure_months FROM prof WHERE customer_id NOT IN (SELECT customer_id FROM log)", [], [RAW, QUARTER, PROF]),
+            "SELECT customer_id, tenure_months FROM prof WHERE customer_id NOT IN (SELECT customer_id FROM log)", [], [RAW, LOG, PROF]),
         "suppression_anti_join": r("SELECT customer_id, churn_risk_score FROM scores WHERE customer_id NOT IN (SELECT customer_id FROM suppressed)", ["churn_risk_score"], [SCORES, SUPPRESSED]),
         "dictionary_lookup": r(f"SELECT customer_id, clv_tier, {WEIGHT} AS tier_weight, {BUDGET} AS retention_budget FROM scores", [], [SCORES]),
         "activity_agg": r(
             "SELECT acts.customer_id, active_days AS active_days_90d, last_day AS last_activity_date, n AS total_events_count, cast(date_diff('day', last_day, d) AS int) AS days_since_last_activity FROM acts, ref",
-            ["last_activity_date"], [LOG, *_features(SHORT_DAYS)]),
+            ["last_activity_date"], [LOG, *_features(30)]),
         "recharge_agg_90d": r(
             "SELECT customer_id, n AS recharge_count, s AS total_recharge, a AS avg_recharge_amount, last_day AS last_recharge_date, cast(date_diff('day', last_day, d) AS int) AS days_since_last_recharge FROM rech, ref",
-            ["total_recharge", "avg_recharge_amount", "last_recharge_date"], [LOG, *_features(SHORT_DAYS)]),
+            ["total_recharge", "avg_recharge_amount", "last_recharge_date"], [LOG, *_features(30)]),
         "recharge_agg_30d": r(
-            "SELECT customer_id, n AS recharge_count_30d, s AS total_recharge_30d FROM rech30", ["total_recharge_30d"], [LOG2Y, *_features(30)]),
+            "SELECT customer_id, n AS recharge_count_30d, s AS total_recharge_30d FROM rech30", ["total_recharge_30d"], [LOG, *_features(30)]),
         "data_usage_agg": r(
             "SELECT sess.customer_id, sess.s AS data_usage_mb_90d, sess.a AS avg_session_mb, coalesce(sess30.s, 0e0) AS data_usage_mb_30d FROM sess LEFT JOIN sess30 USING (customer_id)",
-            ["data_usage_mb_90d", "avg_session_mb", "data_usage_mb_30d"], [LOG2Y, *_features(30)]),
+            ["data_usage_mb_90d", "avg_session_mb", "data_usage_mb_30d"], [LOG, *_features(30)]),
         "offer_acceptance_rate": r(
             "SELECT customer_id, shown AS offers_presented, taken AS offers_accepted, CASE WHEN shown = 0 THEN 0e0 ELSE cast(taken AS double) / shown END AS offer_acceptance_rate FROM acts",
             ["offer_acceptance_rate"], [CLICKS, *_features(10)]),
@@ -569,7 +584,7 @@ def build() -> dict[str, str]:
         "recharge_trend": r("SELECT customer_id, slope AS recharge_trend FROM rech", ["recharge_trend"], [LOG, *_features(30)]),
         "data_usage_trend": r("SELECT customer_id, slope AS data_usage_trend FROM dtrend", ["data_usage_trend"], [LOG, *_features(30)]),
         "recharge_trend_ordinal": r(
-            "SELECT customer_id, CASE WHEN count(*) < 2 THEN 0e0 ELSE regr_slope(recharge_amount, i) END AS recharge_trend FROM "
+            f"SELECT customer_id, {ORDINAL_SLOPE} AS recharge_trend FROM "
             "(SELECT customer_id, recharge_amount, row_number() OVER (PARTITION BY customer_id ORDER BY event_date, recharge_amount) AS i FROM log WHERE event_type = 'RECHARGE') GROUP BY 1",
             ["recharge_trend"], [LOG]),
         "reference_dates": r("SELECT min(event_date) AS min_date, max(event_date) AS max_date FROM log", ["min_date", "max_date"], [LOG]),
@@ -664,17 +679,17 @@ def build() -> dict[str, str]:
         "prediction_drift_alerts": r(PREDICTION_ALERTS, ["metric_value"], SCORE_DRIFT),
         "performance_drop_alerts": r(PERF_ALERTS, ["metric_value"], PERF),
         "seeded_sample": r("SELECT customer_id, churn_risk_score FROM scores WHERE substr(md5(concat(customer_id, ':42')), 1, 8) < '33333333'", ["churn_risk_score"], [SCORES]),
-        "event_features": r("SELECT * FROM feats", FEATURE_DOUBLES, [LOG, *_features(SHORT_DAYS)]),
-        "feature_store_batch": r("SELECT * FROM store", STORE_DOUBLES, [QUARTER, *_features(SHORT_DAYS), *STORE]),
+        "event_features": r("SELECT * FROM feats", FEATURE_DOUBLES, [LOG, *_features(30)]),
+        "feature_store_batch": r("SELECT * FROM store", STORE_DOUBLES, [LOG, *_features(30), *STORE]),
         "feature_store_ordinal": r(
             "SELECT prof.customer_id, tenure_months AS tenure, monthly_charges AS MonthlyCharges, coalesce(total_charges, 0e0) AS TotalCharges, churn_label, "
             "cast(coalesce(active_days, 0) AS int) AS active_days_90d, cast(coalesce(rech.n, 0) AS int) AS recharge_count_90d, coalesce(rech.s, 0e0) AS total_recharge_90d, coalesce(rech.a, 0e0) AS avg_recharge_amount, "
             "cast(coalesce(date_diff('day', rech.last_day, (SELECT d FROM ref)), 90) AS int) AS days_since_last_recharge, coalesce(sess.s, 0e0) AS data_usage_mb_90d, coalesce(sess.a, 0e0) AS avg_session_mb, coalesce(ord.slope, 0e0) AS recharge_trend "
             "FROM prof LEFT JOIN acts USING (customer_id) LEFT JOIN rech USING (customer_id) LEFT JOIN sess USING (customer_id) LEFT JOIN "
-            "(SELECT customer_id, CASE WHEN count(*) < 2 THEN 0e0 ELSE regr_slope(recharge_amount, i) END AS slope FROM (SELECT customer_id, recharge_amount, row_number() OVER (PARTITION BY customer_id ORDER BY event_date, recharge_amount) AS i "
+            f"(SELECT customer_id, {ORDINAL_SLOPE} AS slope FROM (SELECT customer_id, recharge_amount, row_number() OVER (PARTITION BY customer_id ORDER BY event_date, recharge_amount) AS i "
             "FROM log WHERE event_type = 'RECHARGE') GROUP BY 1) AS ord USING (customer_id)",
             ["MonthlyCharges", "TotalCharges", "total_recharge_90d", "avg_recharge_amount", "data_usage_mb_90d", "avg_session_mb", "recharge_trend"],
-            [RAW, QUARTER, PROF, *_features(SHORT_DAYS)]),
+            [RAW, LOG, PROF, *_features(30)]),
         "rfm_behaviour_store": r("SELECT * FROM beh", VALUE_DOUBLES, VALUE),
         "campaign_all": r(ALL_LISTS, LIST_DOUBLES, LISTS),
     }
@@ -686,7 +701,7 @@ def build() -> dict[str, str]:
     out["silhouette"] = r(_silhouette(), ["silhouette"], Z)
     out["schema_contract"] = f"WITH {RAW} " + out["schema_contract"]
     for kind in K.CAMPAIGNS:
-        out[f"campaign_{kind}"] = r(_list_sql(kind, 200), LIST_DOUBLES, LISTS)
+        out[f"campaign_{kind}"] = r(_list_sql(kind, 5000), LIST_DOUBLES, LISTS)
     alert_lists = {
         "f": (FEATURE_ALERTS, DRIFT), "p": (PREDICTION_ALERTS, SCORE_DRIFT), "m": (PERF_ALERTS, PERF),
     }

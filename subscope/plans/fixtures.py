@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from subscope.plans.flows import feature_store, value_store
-from subscope.session import materialize, parallelism
+from subscope.plans.flows import feature_store, value_columns
+from subscope.session import materialize
 from subscope.sources import adapters as A
 
-SHORT_DAYS = 180
 STAMP = "2024-01-31T00:00:00"
 QUERY_CUSTOMER = "77"
-DIGITS = {"recharge_trend": 3, "data_usage_trend": 3, "mae": 4, "rmse": 4, "std": 4, "contribution": 6}
-# slopes of few points often end in an exact half, so they are moved off the rounding edge
-OFF_EDGE = {"recharge_trend": 0.00017, "data_usage_trend": 0.00017}
+DIGITS = {"mae": 4, "rmse": 4, "std": 4}
+# exact decimal sums and one division: both sides hold the same number, which is left as it is
+UNROUNDED = ("recharge_trend", "data_usage_trend")
 AMOUNT_COLUMNS = [
     "total_recharge_90d", "data_usage_mb_30d", "arpu", "recharge_count_30d",
     "days_since_last_recharge", "tenure_months",
@@ -37,45 +36,22 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return _stored[key]
 
 
-def event_log(spark: SparkSession, sf_dir: str, first: str | None = None, last: str | None = None) -> DataFrame:
-    """The event log as a stored table, optionally between two days.
-
-    The given files have one row group each, so they are spread once over as many files as the
-    session works in parallel.
-    """
-    log = _once(
-        spark, sf_dir, "log",
-        lambda: A.adapt(spark, sf_dir, A.EVENT_LOG).repartition(parallelism(spark)),
-    )
-    for day, keep in ((first, ">="), (last, "<=")):
-        if day is not None:
-            log = log.where(f"event_date {keep} DATE '{day}'")
-    return log
-
-
-def two_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_log(spark, sf_dir, *A.TWO_YEARS)
-
-
-def quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_log(spark, sf_dir, *A.QUARTER)
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole event log, scanned from the given tables."""
+    return A.adapt(spark, sf_dir, A.EVENT_LOG)
 
 
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature store over the two-year log."""
+    """The feature store over the whole log."""
     return _once(
         spark, sf_dir, "store",
-        lambda: feature_store(
-            A.adapt(spark, sf_dir, A.PROFILES), two_years(spark, sf_dir), short=SHORT_DAYS
-        ),
+        lambda: feature_store(A.adapt(spark, sf_dir, A.PROFILES), event_log(spark, sf_dir)),
     )
 
 
 def master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The value store with closed-form scores."""
+    """The value store over the feature store, with closed-form scores."""
     return _once(
         spark, sf_dir, "master",
-        lambda: value_store(
-            A.adapt(spark, sf_dir, A.PROFILES), two_years(spark, sf_dir), short=SHORT_DAYS
-        ).join(A.adapt(spark, sf_dir, A.SCORES), "customer_id"),
+        lambda: value_columns(store(spark, sf_dir)).join(A.adapt(spark, sf_dir, A.SCORES), "customer_id"),
     )

@@ -43,6 +43,10 @@ def value_store(
     The store is written once; one rank selection over five of its columns then gives every cut
     point, and the scores are a projection with those as literals.
     """
-    store = materialize(feature_store(raw_profiles, log, ref, short, long), "store")
+    return value_columns(materialize(feature_store(raw_profiles, log, ref, short, long), "store"))
+
+
+def value_columns(store: DataFrame) -> DataFrame:
+    """RFM and behaviour columns on top of a stored feature store."""
     cut = value.cutoffs(store)
     return value.with_behaviour(value.with_rfm_segment(value.rfm_scores(store, cut)), cut)

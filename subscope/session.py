@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where nothing is configured (a laptop, a test) is a temporary folder made and
-    set, so that on a cluster every executor sees the same storage.
+    Only in local mode, and only where nothing is configured, is a temporary folder made and set: on a
+    cluster executors would not see one another's files, so there the setting is required.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="subscope-")
         sc.setCheckpointDir(root)
     return root
@@ -42,5 +44,5 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def parallelism(spark: SparkSession) -> int:
-    """How many ranges a global ordering is cut into."""
-    return max(2, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """How many ranges a global ordering is cut into: as many as a shuffle has partitions."""
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))

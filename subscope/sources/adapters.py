@@ -36,13 +36,13 @@ SELECT
 FROM {customer}
 """
 
-# orders are recharges, line items are data sessions of the ordering customer
+# amounts have two decimals and stay exact; orders are recharges, line items are data sessions of the ordering customer
 EVENT_LOG = """
 SELECT cast(o_custkey AS string) AS customer_id,
   cast(o_orderdate AS date) AS event_date,
   'RECHARGE' AS event_type,
-  o_totalprice AS recharge_amount,
-  cast(NULL AS double) AS data_mb_used,
+  cast(o_totalprice AS decimal(18, 2)) AS recharge_amount,
+  cast(NULL AS decimal(18, 2)) AS data_mb_used,
   cast(NULL AS double) AS call_duration_minutes,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'APP' WHEN '2-HIGH' THEN 'WEB' WHEN '3-MEDIUM' THEN 'AGENT' ELSE 'USSD' END AS channel,
   CASE o_orderstatus WHEN 'F' THEN 'DATA_BUNDLE_1GB' WHEN 'P' THEN 'VOICE_TOPUP_100' END AS offer_presented,
@@ -50,22 +50,12 @@ SELECT cast(o_custkey AS string) AS customer_id,
 FROM {orders}
 UNION ALL
 SELECT cast(o_custkey AS string), cast(l_shipdate AS date), 'DATA_SESSION',
-  cast(NULL AS double), l_quantity, cast(NULL AS double),
+  cast(NULL AS decimal(18, 2)), cast(l_quantity AS decimal(18, 2)), cast(NULL AS double),
   CASE l_returnflag WHEN 'R' THEN 'APP' WHEN 'A' THEN 'WEB' ELSE 'USSD' END,
   cast(NULL AS string), 'False'
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
 """
 
-# two years of the log, in which some customers are silent; and the last quarter of those,
-# which leaves many customers without any event
-TWO_YEARS = ("1999-01-01", "2000-12-31")
-QUARTER = ("2000-10-01", "2000-12-31")
-
-
-def between(first: str, last: str) -> str:
-    return f"SELECT * FROM ({EVENT_LOG}) AS log WHERE event_date >= DATE '{first}' AND event_date <= DATE '{last}'"
-
-
 CLICK_LOG = """
 SELECT cast(user_id AS string) AS customer_id,
   cast(ts AS date) AS event_date,

@@ -4,8 +4,9 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_module
+from subscope.plans import catalog, checks
 
-QUERIES, CHECKS = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, CHECKS = catalog.QUERIES, checks.build()
 NO_CHECK = {
     "churn_model_scores", "churn_attribution", "model_roundtrip", "kmeans_segments", "k_selection",
     "pca_2d", "propensity_scores", "clv_scores", "cv_r2", "score_all_models",
@@ -18,6 +19,7 @@ def normal(df: pd.DataFrame) -> pd.DataFrame:
 
 
 def test_every_query_is_covered():
+    assert set(QUERIES) <= set(entry_module.queries()) and set(CHECKS) <= set(entry_module.oracle_sql())
     assert set(QUERIES) - set(CHECKS) == NO_CHECK
     assert not set(CHECKS) - set(QUERIES)
 

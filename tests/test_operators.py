@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from subscope import constants as K
-from subscope.operators import alerts, campaigns, explain, metrics, profiles, reports, value
+from subscope.operators import alerts, campaigns, events, explain, metrics, profiles, reports, value
 from subscope.sources import contracts, readers, sinks
 
 
@@ -59,13 +59,34 @@ def test_campaign_lists(master, kind):
             assert r.priority_score == pytest.approx(want, abs=1e-12)
 
 
-def test_long_lists_take_the_other_way(master, monkeypatch):
-    short = campaigns.campaign(master, "bundle_upsell", max_size=20).collect()
-    monkeypatch.setattr(campaigns, "ONE_TASK_ROWS", 5)
-    assert campaigns.campaign(master, "bundle_upsell", max_size=20).collect() == short
-    everyone = campaigns.campaign(master, "bundle_upsell", max_size=10**9)
-    monkeypatch.undo()
-    assert everyone.count() == campaigns.campaign(master, "bundle_upsell").count()
+def test_top_n_orders_null_nan_and_ties_alike_for_every_n(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", 1.0), ("b", nan), ("c", None), ("d", 3.0), ("e", -inf), ("f", 3.0), ("g", inf), ("h", None)]
+    df = spark.createDataFrame(rows, "customer_id string, x double")
+    for n in (0, 1, 3, 5, 7, 8, 100):
+        assert [r.customer_id for r in campaigns.top_n(df, "x", n).collect()] == list("bgdfaech")[:n]
+    assert campaigns.top_n(df.where("false"), "x", 3).count() == 0
+
+
+def test_undated_events_are_no_points_of_a_trend(spark):
+    rows = [("1", "2024-01-01", "RECHARGE", 100.0), ("1", "2024-01-11", "RECHARGE", 200.0), ("1", None, "RECHARGE", 900.0)]
+    rows += [("2", "2024-01-01", "DATA_SESSION", 5.0), ("2", "2024-01-03", "DATA_SESSION", 9.0), ("2", None, "DATA_SESSION", 70.0)]
+    log = spark.createDataFrame(rows, "customer_id string, day string, event_type string, x double").selectExpr(
+        "customer_id", "cast(day as date) event_date", "event_type", "if(event_type = 'RECHARGE', x, null) recharge_amount",
+        "if(event_type = 'DATA_SESSION', x, null) data_mb_used", "'APP' channel", "cast(null as string) offer_presented", "'False' offer_accepted",
+    )
+    exact = log.withColumns({c: log[c].cast("decimal(18,2)") for c in ("recharge_amount", "data_mb_used")})
+    for table in (log, exact):
+        assert pytest.rows(events.recharge_trend(table), "customer_id")["1"]["recharge_trend"] == 10.0
+        assert pytest.rows(events.data_usage_trend(table), "customer_id")["2"]["data_usage_trend"] == 2.0
+        assert pytest.rows(events.trend_ordinal(table), "customer_id")["1"]["recharge_trend"] == 100.0
+        both = pytest.rows(events.event_features(table), "customer_id")
+        assert both["1"]["recharge_trend"] == 10.0 and both["2"]["data_usage_trend"] == 2.0
+
+
+def test_constant_column_fills_the_middle_bin(spark):
+    found = reports.histogram(spark.createDataFrame([(2.0,), (2.0,)], "x double"), "x", 5).orderBy("bin").collect()
+    assert [r.n for r in found] == [0, 0, 2, 0, 0] and found[0].bin_start == 1.5
 
 
 def test_suppression_and_summary(master):

@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as entry_module
 from subscope.operators import campaigns, events, ordering
 from subscope.plans import fixtures
+from subscope.session import materialize
 
 QUERIES = entry_module.queries()
 FLAGSHIP = [
@@ -37,7 +38,7 @@ def test_scores_are_projections(name, spark, sf_dir):
 
 def test_event_scan_is_pruned(spark, sf_dir):
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
-    log = fixtures.event_log(spark, sf_dir)
+    log = materialize(fixtures.event_log(spark, sf_dir), "log")
     text = plan(events.preferred_channel(log))
     assert "ReadSchema: struct<customer_id:string,channel:string>" in text
     text = plan(events.filter_events(log, "RECHARGE", ref="2000-12-31", days=30))
@@ -46,14 +47,13 @@ def test_event_scan_is_pruned(spark, sf_dir):
 
 def test_log_is_aggregated_before_it_moves(spark, sf_dir):
     """Every exchange of the event block sits on a partial aggregate, and no sort is global."""
-    text = plan(events.event_block(fixtures.event_log(spark, sf_dir), ref="2000-12-31"))
+    text = plan(events.event_block(materialize(fixtures.event_log(spark, sf_dir), "log"), ref="2000-12-31"))
     below = re.findall(r"Exchange hashpartitioning.*\n\W*(\w+)", text)
     assert below and set(below) <= {"HashAggregate", "SortAggregate"}
     assert "rangepartitioning" not in text and "SinglePartition" not in text
 
 
-def test_long_list_has_no_single_task_limit(master, monkeypatch):
-    monkeypatch.setattr(campaigns, "ONE_TASK_ROWS", 5)
+def test_long_list_has_no_single_task_limit(master):
     text = plan(campaigns.top_n(master, "clv_90d", 20))
     assert "TakeOrderedAndProject" not in text and "GlobalLimit" not in text
 

@@ -80,8 +80,8 @@ class Encoder:
             starts = np.cumsum([0, *map(len, rows)])
             return np.fromiter((i for r in rows for i in r), dtype=np.uint32, count=int(starts[-1])), starts
         spaced = pc.replace_substring_regex(column, pattern=r"[\n\t\r]", replacement=" ")
-        # a letter before a stop or comma ends a pre-token anyway; the cut makes more words alike
-        spaced = pc.replace_substring_regex(spaced, pattern=r"(\pL)([.,!?])", replacement=r"\1 \2")
+        # such a letter before a stop or comma ends a pre-token anyway; the cut makes more words alike
+        spaced = pc.replace_substring_regex(spaced, pattern=r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?])", replacement=r"\1 \2")
         parts = pc.split_pattern(spaced, pattern=" ")
         coded = parts.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()

@@ -58,13 +58,15 @@ def marked(text: str, names: Sequence[str]) -> tuple[str, list[tuple[int, int, i
     return plain + text[at:], spans
 
 
-def sample(docs: DataFrame, kinds: Sequence[Kind], rows: int = SAMPLE, seed: int = 5) -> list[str]:
-    """At most ``rows`` texts that may hold a base span and ``rows`` of all texts, by a hash of the id."""
-    order = [F.xxhash64("doc_id", F.lit(seed)), "doc_id", "text"]
-    maybe = " | ".join(f"text rlike {_quoted(k.maybe)}" for k in kinds)
-    some = docs.where(F.expr(maybe.replace(" | ", " or "))).orderBy(*order).limit(rows)
-    rest = docs.orderBy(*order).limit(rows)
-    return [r["text"] for r in some.union(rest).collect()]
+def sample(docs: DataFrame, kinds: Sequence[Kind], rows: int = SAMPLE) -> list[str]:
+    """At most ``rows`` texts that may hold a base span and ``rows`` of all texts, by a hash of the row.
+
+    The hashes are chosen first, so no task gathers texts that are not used.
+    """
+    keyed = docs.withColumn("h", F.xxhash64("doc_id", "text"))
+    maybe = " or ".join(f"text rlike {_quoted(k.maybe)}" for k in kinds)
+    least = [r["h"] for part in (keyed.where(maybe), keyed) for r in part.select("h").distinct().orderBy("h").limit(rows).collect()]
+    return [r["text"] for r in keyed.where(F.col("h").isin(least)).dropDuplicates(["h"]).orderBy("h").select("text").collect()]
 
 
 def _quoted(pattern: str) -> str:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from subscope import constants as K
 from subscope.functions.rules import risk_action, risk_tier
 from subscope.models.matrix import assembler, class_weights, fit_pipeline
+from subscope.operators.metrics import best_threshold
 from subscope.session import checkpoint_root, materialize
 
 
@@ -56,6 +57,12 @@ def churn_probability(model: PipelineModel, df: DataFrame, out: str = "churn_ris
     )
 
 
+def tuned_threshold(model: PipelineModel, held_out: DataFrame, label: str = "churn_label") -> float:
+    """The threshold of the best F1 on rows the model was not fitted on."""
+    scored = churn_probability(model, held_out).select("churn_risk_score", label)
+    return best_threshold(materialize(scored, "held-out"), "churn_risk_score", label)
+
+
 def score_churn(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Probability, flag at the tuned threshold, tier and action of every customer."""
     score = F.col("churn_risk_score")

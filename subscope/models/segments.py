@@ -58,14 +58,17 @@ def silhouette(df: DataFrame, features: Sequence[str], cluster: str = "cluster")
 
 
 def k_selection(
-    df: DataFrame, features: Sequence[str], ks: Iterable[int] = range(3, 10), seed: int = K.SEED
+    df: DataFrame, features: Sequence[str], ks: Iterable[int] = range(3, 10), seed: int = K.SEED, n_init: int = 10
 ) -> DataFrame:
-    """Inertia and silhouette per k on the unscaled matrix, the best silhouette marked."""
+    """Inertia and silhouette per k on the unscaled matrix, the best silhouette marked; of ``n_init`` starts the cheapest counts."""
     rows = materialize(assembler(features).transform(df).select("features"), "matrix")
     judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
     found = []
     for k in ks:
-        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows)
+        starts = (
+            KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(rows) for i in range(n_init)
+        )
+        model = min(starts, key=lambda m: m.summary.trainingCost)
         found.append((k, float(model.summary.trainingCost), float(judge.evaluate(model.transform(rows)))))
     best = max(found, key=lambda r: r[2])[0]
     return df.sparkSession.createDataFrame(

@@ -68,6 +68,18 @@ def auc_roc(df: DataFrame, score: str, label: str) -> DataFrame:
     )
 
 
+def auc_roc_each(df: DataFrame, scores: Sequence[str], label: str) -> DataFrame:
+    """(score_name, auc_roc) of several score columns, ranked together in one job."""
+    cells = F.array(*[F.struct(F.lit(c).alias("score_name"), F.col(c).cast("double").alias("s")) for c in scores])
+    counted = df.select(label, F.inline(cells)).where(F.col("s").isNotNull()).groupBy("score_name", "s").agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
+    )
+    ranked = running_sums(counted, ["s"], {"cum_neg": F.col("neg")}, by=["score_name"])
+    below = F.col("cum_neg").cast("double") - F.col("neg") / 2.0
+    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
+    return ranked.groupBy("score_name").agg(F.try_divide(F.sum(F.col("pos") * below), pairs).alias("auc_roc"))
+
+
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """Step-wise average precision over distinct scores from high to low."""
     ranked = _by_score(df, score, label)

@@ -19,7 +19,8 @@ from subscope.operators import (
 )
 from subscope.plans import flows
 from subscope.plans.fixtures import (
-    AMOUNT_COLUMNS, DIGITS, PERFORMANCE, QUERY_CUSTOMER, STAMP, UNROUNDED, ZCOLS, event_log, master, store,
+    AMOUNT_COLUMNS, BATCH_FEATURES, DIGITS, PERFORMANCE, QUERY_CUSTOMER, STAMP, UNROUNDED, ZCOLS, batch, event_log, master,
+    store,
 )
 from subscope.session import materialize, scratch_path
 from subscope.sources import adapters as A
@@ -569,36 +570,31 @@ def _(s, d):
 # drift and alerts
 
 
-def _current(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The master and a sampled, shifted batch of it."""
-    m = master(s, d)
-    batch = drift.seeded_sample(m, 0.2).withColumns(
-        {"arpu": F.col("arpu") * 1.3, "data_usage_mb_30d": F.col("data_usage_mb_30d") * 1.2}
-    )
-    return m, batch
+def _batches(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Reference and current: two successive windows of the log."""
+    return batch(s, d, earlier=True), batch(s, d, earlier=False)
 
 
 def _report(s: SparkSession, d: str) -> DataFrame:
-    return drift.drift_report(*_current(s, d), AMOUNT_COLUMNS)
+    return drift.drift_report(*_batches(s, d), BATCH_FEATURES)
 
 
 def _score_report(s: SparkSession, d: str) -> DataFrame:
-    m = master(s, d)
-    score = F.col("churn_risk_score")
-    batch = drift.seeded_sample(m, 0.2).withColumn("churn_risk_score", score * score)
-    return drift.prediction_drift(m, batch, "churn_risk_score")
+    return drift.prediction_drift(*_batches(s, d), "churn_risk_score")
 
 
 def _model_aucs(s: SparkSession, d: str) -> DataFrame:
-    parts = [
-        metrics.auc_roc(master(s, d), score, "churn_label").select(
-            F.lit(name).alias("model_name"),
-            F.expr(expr).alias("reference_auc"),
-            F.col("auc_roc").alias("current_auc"),
-        )
-        for name, score, expr in PERFORMANCE
+    """Both batches and all scores in one ranking."""
+    named = [
+        df.select("churn_label", *[F.col(c).alias(f"{c}:{side}") for c in PERFORMANCE]) for df, side in zip(_batches(s, d), ("ref", "cur"))
     ]
-    return reduce(DataFrame.unionByName, parts)
+    both = named[0].unionByName(named[1], allowMissingColumns=True)
+    found = metrics.auc_roc_each(both, [f"{c}:{side}" for c in PERFORMANCE for side in ("ref", "cur")], "churn_label")
+    name, side = F.split("score_name", ":")[0], F.split("score_name", ":")[1]
+    return found.groupBy(rules.lookup(name, PERFORMANCE, None).alias("model_name")).agg(
+        F.max(F.when(side == "ref", F.col("auc_roc"))).alias("reference_auc"),
+        F.max(F.when(side == "cur", F.col("auc_roc"))).alias("current_auc"),
+    )
 
 
 def _all_alerts(s: SparkSession, d: str) -> DataFrame:
@@ -611,22 +607,22 @@ def _all_alerts(s: SparkSession, d: str) -> DataFrame:
 
 @query("reference_stats")
 def _(s, d):
-    return drift.reference_stats(master(s, d), AMOUNT_COLUMNS)
+    return drift.reference_stats(batch(s, d, earlier=True), BATCH_FEATURES)
 
 
 @query("psi")
 def _(s, d):
-    return drift.psi(*_current(s, d), AMOUNT_COLUMNS)
+    return drift.psi(*_batches(s, d), BATCH_FEATURES)
 
 
 @query("ks_statistic")
 def _(s, d):
-    return drift.ks_statistic(*_current(s, d), AMOUNT_COLUMNS)
+    return drift.ks_statistic(*_batches(s, d), BATCH_FEATURES)
 
 
 @query("ks_p_value")
 def _(s, d):
-    return drift.ks_test(*_current(s, d), AMOUNT_COLUMNS)
+    return drift.ks_test(*_batches(s, d), BATCH_FEATURES)
 
 
 @query("drift_report")
@@ -719,7 +715,7 @@ def _churn_model(s: SparkSession, d: str) -> tuple[PipelineModel, DataFrame, lis
 @query("churn_model_scores")
 def _(s, d):
     model, m, _ = _churn_model(s, d)
-    return churn.score_churn(model, m)
+    return churn.score_churn(model, m, churn.tuned_threshold(model, matrix.mark_split(m, "churn_label").where("is_test")))
 
 
 @query("churn_attribution")
@@ -740,7 +736,7 @@ def _(s, d):
 @query("kmeans_segments")
 def _(s, d):
     m = master(s, d)
-    model = segments.fit_segments(m, _features(m), n_init=3)
+    model = segments.fit_segments(m, _features(m))
     return segments.assign_segments(model, m.drop("cluster")).select(
         "customer_id", "cluster", "segment_label", "description", "recommended_campaign"
     )
@@ -756,7 +752,7 @@ def _(s, d):
 @query("k_selection")
 def _(s, d):
     m = master(s, d)
-    return segments.k_selection(m, _features(m), range(3, 7))
+    return segments.k_selection(m, _features(m))
 
 
 @query("pca_2d")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from subscope import constants as K
 from subscope.plans.fixtures import (
-    AMOUNT_COLUMNS, DIGITS, PERFORMANCE, QUERY_CUSTOMER, STAMP, UNROUNDED, ZCOLS,
+    AMOUNT_COLUMNS, BATCH_FEATURES, BATCH_SCORES, DIGITS, PERFORMANCE, QUERY_CUSTOMER, STAMP, UNROUNDED, WINDOW_DAYS,
+    ZCOLS,
 )
 from subscope.sources import adapters as A
 
@@ -285,13 +286,6 @@ def _list_sql(kind: str, size: int) -> str:
 ALL_LISTS = " UNION ALL ".join(f"SELECT * FROM ({_list_sql(k, 5000)})" for k in K.CAMPAIGNS)
 LIST_DOUBLES = ["churn_risk_score", "propensity_score", "priority_score"]
 
-DRIFT_FEATURES = list(AMOUNT_COLUMNS)
-SHIFTED = (
-    "cur AS (SELECT * REPLACE (arpu * 13e-1 AS arpu, data_usage_mb_30d * 12e-1 AS data_usage_mb_30d) FROM master "
-    "WHERE substr(md5(concat(customer_id, ':42')), 1, 8) < '33333333')"
-)
-
-
 def _unpivot(table: str, features: list[str]) -> str:
     return " UNION ALL ".join(
         f"SELECT '{f}' AS feature_name, cast({f} AS double) AS value FROM {table}" for f in features
@@ -304,7 +298,7 @@ def _drift(features: list[str]) -> list[str]:
         f"{'+' if k % 2 else '-'} 2e0 * exp({-2 * k * k}e0 * lam * lam)" for k in range(1, 51)
     )
     return [
-        f"lr AS ({_unpivot('master', features)})",
+        f"lr AS ({_unpivot('prev', features)})",
         f"lc AS ({_unpivot('cur', features)})",
         "sr AS (SELECT feature_name, count(value) AS n_ref, avg(value) AS reference_mean, min(value) AS lo, max(value) AS hi FROM lr GROUP BY 1)",
         "sc AS (SELECT feature_name, count(value) AS n_cur, avg(value) AS current_mean FROM lc GROUP BY 1)",
@@ -329,13 +323,19 @@ def _drift(features: list[str]) -> list[str]:
     ]
 
 
-DRIFT = [*MASTER, SHIFTED, *_drift(DRIFT_FEATURES)]
-# the score "batch" is the current customers with a raised score
-SCORE_CUR = (
-    "cur AS (SELECT * REPLACE (churn_risk_score * churn_risk_score AS churn_risk_score) FROM master "
-    "WHERE substr(md5(concat(customer_id, ':42')), 1, 8) < '33333333')"
-)
-SCORE_DRIFT = [*MASTER, SCORE_CUR, *_drift(["churn_risk_score"])]
+def _batch(name: str, earlier: bool) -> str:
+    """Features, scores and label of one window of the log, with all that leads to them inside."""
+    last = "(SELECT max(event_date) FROM {})"
+    cut = f"WHERE event_date < {last.format('whole')} - {WINDOW_DAYS}" if earlier else ""
+    log = f"log AS (SELECT * FROM upto WHERE event_date >= {last.format('upto')} - {WINDOW_DAYS})"
+    steps = [_cte("whole", A.EVENT_LOG), f"upto AS (SELECT * FROM whole {cut})", log, *_features(30), RAW, PROF]
+    scores = ", ".join(f"{score} AS {c}" for c, score in BATCH_SCORES.items())
+    return f"{name} AS (WITH {', '.join(steps)} SELECT *, {scores} FROM feats JOIN (SELECT customer_id, churn_label FROM prof) AS p USING (customer_id))"
+
+
+BATCHES = [_batch("prev", True), _batch("cur", False)]
+DRIFT = [*BATCHES, *_drift(BATCH_FEATURES)]
+SCORE_DRIFT = [*BATCHES, *_drift(["churn_risk_score"])]
 REPORT_DOUBLES = ["psi", "ks_statistic", "ks_p_value", "reference_mean", "current_mean", "mean_shift_pct"]
 
 
@@ -371,11 +371,11 @@ AUC_SQL = (
     "FROM (SELECT {score} AS s, cast(sum(churn_label) AS double) AS p, cast(sum(1 - churn_label) AS double) AS n FROM {table} GROUP BY 1))"
 )
 PERF = [
-    *MASTER,
+    *BATCHES,
     "auc AS (" + " UNION ALL ".join(
-        f"SELECT '{m}' AS model_name, (SELECT {expr} FROM ({AUC_SQL.format(score=s, table='master')})) AS reference_auc, "
-        f"(SELECT auc_roc FROM ({AUC_SQL.format(score=s, table='master')})) AS current_auc"
-        for m, s, expr in PERFORMANCE
+        f"SELECT '{m}' AS model_name, (SELECT auc_roc FROM ({AUC_SQL.format(score=s, table='prev')})) AS reference_auc, "
+        f"(SELECT auc_roc FROM ({AUC_SQL.format(score=s, table='cur')})) AS current_auc"
+        for s, m in PERFORMANCE.items()
     ) + ")",
 ]
 
@@ -668,8 +668,8 @@ def build() -> dict[str, str]:
             "SELECT avg(abs(y - p)) AS mae, sqrt(avg((y - p) * (y - p))) AS rmse, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2 FROM (SELECT total_recharge_90d AS y, clv_90d * 1e2 AS p FROM master)",
             ["mae", "rmse", "r2"], MASTER),
         "reference_stats": r(
-            f"SELECT feature_name, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max FROM ({_unpivot('master', DRIFT_FEATURES)}) GROUP BY 1",
-            ["mean", "std", "min", "max"], MASTER),
+            f"SELECT feature_name, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max FROM ({_unpivot('prev', BATCH_FEATURES)}) GROUP BY 1",
+            ["mean", "std", "min", "max"], BATCHES),
         "psi": r("SELECT * FROM psi", ["psi"], DRIFT),
         "ks_statistic": r("SELECT feature_name, ks_statistic, n_ref, n_cur FROM pv", ["ks_statistic"], DRIFT),
         "ks_p_value": r("SELECT feature_name, ks_statistic, ks_p_value FROM pv", ["ks_statistic", "ks_p_value"], DRIFT),

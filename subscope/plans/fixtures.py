@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from subscope import constants as K
+from subscope.operators import encoding, events
 from subscope.plans.flows import feature_store, value_columns
 from subscope.session import materialize
 from subscope.sources import adapters as A
@@ -18,12 +21,16 @@ AMOUNT_COLUMNS = [
     "days_since_last_recharge", "tenure_months",
 ]
 ZCOLS = ["arpu", "data_usage_mb_30d", "days_since_last_recharge", "tenure_months", "engagement_score"]
-# model name, score column, reference AUC as a function of the current one
-PERFORMANCE = [
-    ("churn_model", "churn_risk_score", "auc_roc + 7e-2"),
-    ("bundle_model", "propensity_bundle", "auc_roc + 3e-2"),
-    ("topup_model", "propensity_topup", "auc_roc + 1e-2"),
-]
+# monitoring batches: every customer's features over two successive windows of the log, this many days each
+WINDOW_DAYS = 365
+BATCH_FEATURES = [c for c in K.EVENT_FEATURES if c not in ("customer_id", "preferred_channel")]
+# closed-form scores of a batch, in text that both engines read
+BATCH_SCORES = {
+    "churn_risk_score": "least(1e0, days_since_last_recharge / 9e1) * 6e-1 + (1e0 - least(1e0, active_days_90d / 9e1)) * 4e-1",
+    "propensity_bundle": "least(1e0, data_usage_mb_30d / 1e2)",
+    "propensity_topup": "least(1e0, recharge_count_30d / 5e0)",
+}
+PERFORMANCE = {"churn_risk_score": "churn_model", "propensity_bundle": "bundle_model", "propensity_topup": "topup_model"}
 
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -41,6 +48,21 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.adapt(spark, sf_dir, A.EVENT_LOG)
 
 
+def batch(spark: SparkSession, sf_dir: str, earlier: bool) -> DataFrame:
+    """Features, scores and label of the last window of the log, or of the one before it."""
+
+    def build() -> DataFrame:
+        log = event_log(spark, sf_dir)
+        if earlier:
+            last = events.reference_dates(log).select("max_date").scalar()
+            log = log.where(F.col("event_date") < F.date_sub(last, WINDOW_DAYS))
+        label = encoding.clean_profiles(A.adapt(spark, sf_dir, A.PROFILES)).select(F.col("customerID").alias("customer_id"), "churn_label")
+        rows = events.event_features(log, None, long=WINDOW_DAYS).join(label, "customer_id")
+        return rows.withColumns({name: F.expr(score) for name, score in BATCH_SCORES.items()})
+
+    return _once(spark, sf_dir, "earlier" if earlier else "later", build)
+
+
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature store over the whole log."""
     return _once(

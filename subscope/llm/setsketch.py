@@ -139,27 +139,15 @@ def _band_keys(heads: DataFrame, bands: int, rows: int) -> DataFrame:
     return heads.select("doc_id", "regs").mapInArrow(run, "key long, doc_id long")
 
 
-def _possible(pairs: DataFrame, heads: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) pairs whose likelihood estimate does not rule out ``threshold``."""
-    side = lambda c: heads.select(F.col("doc_id").alias(c), F.col("regs").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    fits = F.least("na", "nb") >= threshold * F.greatest("na", "nb")  # sizes alone bound the similarity
+def _alike(pairs: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b) pairs with 100 * intersection >= percent * union; ``held`` has n_shingles, regs and text of all their documents.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1) for c in (2, 3))
-                j = estimate(ra, rb, batch.column(4).to_numpy(), batch.column(5).to_numpy())
-                spread = (threshold * (1 - threshold) / ra.shape[1]) ** 0.5
-                yield batch.filter(pa.array(j >= threshold - MARGIN * spread)).select(["a", "b"])
-
-    return joined.where(fits).select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
-
-
-def _confirmed(pairs: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b) pairs with 100 * intersection >= percent * union of the full sets of the texts ``held``."""
-    joined = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    joined = joined.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    The likelihood estimate of two sketches rules most other pairs out; the full sets confirm the rest.
+    """
+    threshold = percent / 100
+    side = lambda c: held.select(*(F.col(x).alias(y) for x, y in (("doc_id", c), ("n_shingles", f"n{c}"), ("regs", f"r{c}"), ("text", f"t{c}"))))
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")  # sizes alone bound the similarity
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b", "ta", "tb", "ra", "rb", "na", "nb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: dict[str, np.ndarray] = {}
@@ -176,6 +164,9 @@ def _confirmed(pairs: DataFrame, held: DataFrame, size: int, percent: int) -> Da
             return recent[text]
 
         for batch in common.bounded(batches, "ta"):
+            ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1) for c in (4, 5))
+            j = estimate(ra, rb, batch.column(6).to_numpy(), batch.column(7).to_numpy())
+            batch = batch.filter(pa.array(j >= threshold - MARGIN * (threshold * (1 - threshold) / ra.shape[1]) ** 0.5))
             keep = []
             for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = of(ta), of(tb)
@@ -197,7 +188,7 @@ def _across(shared: DataFrame, parts: DataFrame, held: DataFrame, size: int, per
     member = member.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     key = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     member = materialize(member.join(key.where("lo < hi").select("key"), "key").select("doc_id", "component").distinct(), "members")
-    held = held.join(member.select("doc_id"), "doc_id")
+    held = held.join(member.select("doc_id"), "doc_id").select("doc_id", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.bounded(batches, limit=1_000_000):
@@ -252,7 +243,6 @@ def near_duplicates(docs: DataFrame, size: int, percent: int = 80, text_col: str
     component and is kept. Rows that share a doc_id are one document. An empty table gives no rows.
     """
     base = common.texts(docs, text_col)
-    threshold = percent / 100
     drawn = materialize(sketch(base, size, bands, rows), "sketches")
     classes = drawn.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("head"))
     classes = materialize(classes, "classes")
@@ -269,15 +259,15 @@ def near_duplicates(docs: DataFrame, size: int, percent: int = 80, text_col: str
     shared = materialize(keyed.join(bucket.where("n > 1"), "key").select("key", "doc_id", "c1", "c2"), "buckets")
     ordered = [F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")]
     pairs = shared.select("doc_id", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("c")).where("doc_id <> c").select(*ordered).distinct()
-    tested = materialize(_possible(pairs, heads, threshold), "pairs")
+    pairs = materialize(pairs, "pairs")
     # the only texts that are compared from here on; their ids grow with the data, so they are not broadcast
-    held = materialize(base.join(shared.select("doc_id").distinct().hint("merge"), "doc_id").select("doc_id", "text"), "texts")
-    links = materialize(_confirmed(tested, held, size, percent), "links")
+    held = base.join(shared.select("doc_id").distinct().hint("merge"), "doc_id").join(heads, "doc_id")
+    held = materialize(held.select("doc_id", "n_shingles", "regs", "text"), "texts")
+    links = materialize(_alike(pairs, held, size, percent), "links")
     parts = materialize(graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
 
-    rest = _across(shared, parts, held, size, percent).join(tested, ["a", "b"], "left_anti")
-    rest = materialize(_possible(rest, heads, threshold), "pairs")
-    more = materialize(_confirmed(rest, held, size, percent), "links")
+    rest = _across(shared, parts, held, size, percent).join(pairs, ["a", "b"], "left_anti")
+    more = materialize(_alike(materialize(rest, "pairs"), held, size, percent), "links")
     if not more.isEmpty():
         every = links.union(more)
         parts = materialize(graph.components(every.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")

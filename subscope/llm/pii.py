@@ -33,7 +33,7 @@ KINDS = (
     spans.Kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]", lambda m: True),
     spans.Kind(
         "ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]",
-        lambda m: all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")),
+        lambda m: all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split("."))),
     ),
     spans.Kind("card", r"[0-9]([\x20-]?[0-9])+", r"[0-9]([\x20-]?[0-9]){12}", lambda m: 13 <= len(_digits(m[0])) <= 19 and luhn(_digits(m[0]))),
     spans.Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(_digits(m[0])) <= 15),

@@ -107,6 +107,12 @@ def test_pruned_decoding_is_viterbi(spark, docs, texts):
         assert inside == set(np.flatnonzero(tags).tolist())
 
 
+def test_address_parts_of_any_length():
+    zeros = "0" * 6000
+    text = f"{zeros}.1.2.{zeros}7 1.2.3.256 9.9.9.{'9' * 6000} 10.0.0.255"
+    assert [s for k, s, *_ in spans.base(pii.KINDS, text, [True] * 4) if k == 1] == [0, text.index("10.0.0.255")]
+
+
 def test_redaction(spark, docs, odd):
     rows = [(1, 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y', 9), (2, "card 4929348385146306 stays", 9), (3, None, None), (4, "clean", 77)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")

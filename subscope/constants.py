@@ -196,3 +196,20 @@ ALERT_ACTIONS = {
     ),
     "performance": "Model accuracy below acceptable threshold. Prioritise retraining.",
 }
+ALERT_MESSAGES = {
+    "feature": "Feature '%s' has drifted. PSI = %.4f (KS p-val = %.4f)",
+    "prediction": "Prediction score distribution has shifted. PSI = %.4f (KS p-val = %.4f)",
+    "performance": "Model performance drop detected on %s. Current AUC: %.4f (Ref: %.4f, drop: %.2f%%)",
+}
+
+OFFERS = {
+    "retention_top": "Premium Retention Bundle",
+    "retention_silver": "Loyalty Discount",
+    "retention_other": "Standard Retention SMS",
+    "bundle_light": "1GB Daily Bundle",
+    "bundle_heavy": "5GB Monthly Bundle",
+    "voice": "Voice Top-up: Get ₦100 bonus on ₦500 recharge",
+    "reactivation": "Welcome Back: 2x data for 7 days",
+    "loyalty_top": "Exclusive Bundle Discount",
+    "loyalty_other": "Loyalty Points Bonus",
+}

@@ -2,15 +2,14 @@
 
 Each leaf is a product game over the features on its path: a feature is worth 1 or 0 for a
 row that does or does not meet its splits, and the share of training rows that does when
-the feature is unknown. A path has at most ``depth`` features, so its Shapley values are
-tabulated once per pattern of met features; scoring is then a lookup per leaf, vectorised
-over an Arrow batch. Contributions add up to the model margin minus its expected value.
+the feature is unknown. The Shapley values of such a game follow from one polynomial, in time
+quadratic in the features of the path, and are computed once per pattern of met features that
+occurs in an Arrow batch. Contributions add up to the model margin minus its expected value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import product
 from math import factorial
 from typing import NamedTuple
 
@@ -23,15 +22,14 @@ from pyspark.sql import functions as F
 
 from subscope.session import scratch_path
 
-MAX_DEPTH = 12
-
 
 class Leaf(NamedTuple):
-    """Splits on the way to a leaf and the contributions per pattern of met features."""
+    """Splits on the way to a leaf, the share of training rows that meets each feature's splits, and its value."""
 
     features: list[int]  # distinct split features
     splits: list[tuple[int, float, bool]]  # position in `features`, threshold, goes left
-    table: np.ndarray  # 2**len(features) x len(features)
+    shares: np.ndarray
+    value: float
 
 
 class Explainer(NamedTuple):
@@ -39,27 +37,36 @@ class Explainer(NamedTuple):
     leaves: list[Leaf]
 
 
-def _shapley_table(shares: list[float], value: float) -> np.ndarray:
-    m = len(shares)
-    weight = [factorial(s) * factorial(m - 1 - s) / factorial(m) for s in range(m)]
-    table = np.zeros((2**m, m))
-    for row, met in enumerate(product((0.0, 1.0), repeat=m)):
-        for i in range(m):
-            by_size = np.array([1.0])  # sums over coalitions of the other features, by size
-            for j in range(m):
-                if j != i:
-                    by_size = np.convolve(by_size, [shares[j], met[j]])
-            table[row, i] = value * (met[i] - shares[i]) * float(np.dot(by_size, weight))
-    return table
+def _shapley(met: np.ndarray, shares: np.ndarray, value: float) -> np.ndarray:
+    """Shapley values of the product game, one row per row of ``met``.
+
+    The coefficients of prod_j (share_j + met_j t) sum the worth of coalitions by size; dividing one factor out
+    leaves those of the other features.
+    """
+    rows, m = met.shape
+    weight = np.array([factorial(s) * factorial(m - 1 - s) / factorial(m) for s in range(m)])
+    by_size = np.zeros((rows, m + 1))
+    by_size[:, 0] = 1.0
+    for j in range(m):
+        by_size[:, 1:] = shares[j] * by_size[:, 1:] + met[:, j : j + 1] * by_size[:, :-1]
+        by_size[:, 0] *= shares[j]
+    out = np.empty((rows, m))
+    for i in range(m):
+        without = by_size[:, :m] / shares[i]  # right where the feature is not met
+        rest = np.zeros(rows)
+        for k in range(m - 1, -1, -1):
+            rest = by_size[:, k + 1] - shares[i] * rest
+            without[:, k] = np.where(met[:, i], rest, without[:, k])
+        out[:, i] = value * (met[:, i] - shares[i]) * (without @ weight)
+    return out
 
 
-def explainer(model: PipelineModel) -> Explainer:
+def explainer(model: PipelineModel, spark: SparkSession) -> Explainer:
     """Read the trees of the last pipeline stage from its saved node table.
 
     The node table is the model, not data: its size is set by the number of trees and their depth.
     """
     trees = model.stages[-1]
-    spark = SparkSession.getActiveSession()
     path = scratch_path(spark, "trees")
     trees.write().overwrite().save(path)
     nodes: dict[int, dict[int, object]] = {}
@@ -89,31 +96,29 @@ def explainer(model: PipelineModel) -> Explainer:
 
 def _leaf(path: list, value: float) -> Leaf:
     features = sorted({f for f, *_ in path})
-    if len(features) > MAX_DEPTH:
-        raise ValueError(f"paths with more than {MAX_DEPTH} features are not tabulated")
-    shares = [float(np.prod([s for f, _, _, s in path if f == g])) for g in features]
-    splits = [(features.index(f), t, left) for f, t, left, _ in path]
-    return Leaf(features, splits, _shapley_table(shares, value))
+    shares = np.array([np.prod([s for f, _, _, s in path if f == g]) for g in features])
+    return Leaf(features, [(features.index(f), t, left) for f, t, left, _ in path], shares, value)
 
 
 def contributions_of(x: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
     """Contribution matrix of a batch."""
     out = np.zeros_like(x)
     for leaf in leaves:
-        met = np.ones((len(leaf.features), len(x)), dtype=bool)
+        m = len(leaf.features)
+        met = np.ones((m, len(x)), dtype=bool)
         for i, threshold, left in leaf.splits:
             below = x[:, leaf.features[i]] <= threshold
             met[i] &= below if left else ~below
-        pattern = np.zeros(len(x), dtype=np.int64)
-        for row in met:
-            pattern = pattern * 2 + row
-        out[:, leaf.features] += leaf.table[pattern]
+        pattern = (1 << np.arange(m, dtype=np.int64)) @ met
+        # all patterns where they are few, else those that occur
+        found, at = (np.arange(1 << m), pattern) if 1 << m <= len(x) else np.unique(pattern, return_inverse=True)
+        out[:, leaf.features] += _shapley((found[:, None] >> np.arange(m)) & 1, leaf.shares, leaf.value)[at]
     return out
 
 
 def attribute(model: PipelineModel, df: DataFrame, id_col: str = "customer_id") -> DataFrame:
     """(id, base_value, contributions) with one array element per model feature, in feature order."""
-    found = explainer(model)
+    found = explainer(model, df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(found)
     rows = model.stages[0].transform(df).select(id_col, vector_to_array("features").alias("x"))
     id_type = df.schema[id_col].dataType.simpleString()

@@ -45,7 +45,7 @@ def feature_alerts(report: DataFrame, timestamp: str | None = None) -> DataFrame
     return _record(
         _raised(report), "DATA_DRIFT", severe, F.col("feature_name"), F.col("psi"), K.PSI_THRESHOLD,
         F.format_string(
-            "Feature '%s' has drifted. PSI = %.4f (KS p-val = %.4f)", "feature_name", "psi", "ks_p_value"
+            K.ALERT_MESSAGES["feature"], "feature_name", "psi", "ks_p_value"
         ),
         F.when(severe, K.ALERT_ACTIONS["retrain"]).otherwise(K.ALERT_ACTIONS["watch"]),
         timestamp,
@@ -59,7 +59,7 @@ def prediction_alerts(
         _raised(report), "PREDICTION_DRIFT", F.col("psi") >= K.PSI_THRESHOLD, F.lit(score), F.col("psi"),
         K.PSI_THRESHOLD,
         F.format_string(
-            "Prediction score distribution has shifted. PSI = %.4f (KS p-val = %.4f)", "psi", "ks_p_value"
+            K.ALERT_MESSAGES["prediction"], "psi", "ks_p_value"
         ),
         F.lit(K.ALERT_ACTIONS["prediction"]),
         timestamp,
@@ -73,7 +73,7 @@ def performance_alerts(metrics: DataFrame, timestamp: str | None = None) -> Data
         metrics.where(drop >= K.AUC_DROP_WARNING), "PERFORMANCE_DROP", drop >= K.AUC_DROP_CRITICAL,
         F.col("model_name"), drop, K.AUC_DROP_CRITICAL,
         F.format_string(
-            "Model performance drop detected on %s. Current AUC: %.4f (Ref: %.4f, drop: %.2f%%)",
+            K.ALERT_MESSAGES["performance"],
             "model_name", "current_auc", "reference_auc", drop * 100.0,
         ),
         F.lit(K.ALERT_ACTIONS["performance"]),

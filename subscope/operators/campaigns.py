@@ -84,7 +84,7 @@ def _with_spend(df: DataFrame) -> Column:
 def _bundle_offer(listed: DataFrame) -> Column:
     """By data use against the median of the list."""
     median = F.lit(quantiles(listed, {"data_usage_mb_30d": [0.5]})["data_usage_mb_30d"][0.5])
-    return F.when(F.col("data_usage_mb_30d") < median, "1GB Daily Bundle").otherwise("5GB Monthly Bundle")
+    return F.when(F.col("data_usage_mb_30d") < median, K.OFFERS["bundle_light"]).otherwise(K.OFFERS["bundle_heavy"])
 
 
 def _is_top_tier() -> Column:
@@ -97,9 +97,9 @@ SPECS = {
         score=lambda _: F.col("churn_risk_score"),
         priority=lambda part: F.col("churn_risk_score") * 0.5 + _tier_weight() * 0.3 + part * 0.2,
         scale="tenure_months",
-        offer=lambda *_: F.when(_is_top_tier(), "Premium Retention Bundle")
-        .when(F.col("clv_tier") == "Silver", "Loyalty Discount")
-        .otherwise("Standard Retention SMS"),
+        offer=lambda *_: F.when(_is_top_tier(), K.OFFERS["retention_top"])
+        .when(F.col("clv_tier") == "Silver", K.OFFERS["retention_silver"])
+        .otherwise(K.OFFERS["retention_other"]),
     ),
     "bundle_upsell": Campaign(
         eligible=lambda df: (F.col("propensity_bundle") >= K.PROPENSITY_THRESHOLD) & _low_risk(0.5),
@@ -112,7 +112,7 @@ SPECS = {
         eligible=lambda df: (F.col("propensity_topup") >= K.PROPENSITY_THRESHOLD) & _low_risk(0.5),
         score=lambda _: F.col("propensity_topup"),
         priority=lambda _: F.col("propensity_topup") * 0.7 + _tier_weight() * 0.3,
-        offer=lambda *_: F.lit("Voice Top-up: Get ₦100 bonus on ₦500 recharge"),
+        offer=lambda *_: F.lit(K.OFFERS["voice"]),
     ),
     "reactivation": Campaign(
         eligible=lambda df: (F.col("days_since_last_recharge") > 20)
@@ -121,7 +121,7 @@ SPECS = {
         score=lambda _: F.col("propensity_reactivation"),
         priority=lambda part: F.col("propensity_reactivation") * 0.6 + part * 0.4,
         scale="total_recharge_90d",
-        offer=lambda *_: F.lit("Welcome Back: 2x data for 7 days"),
+        offer=lambda *_: F.lit(K.OFFERS["reactivation"]),
         channel="USSD",
     ),
     "loyalty_reward": Campaign(
@@ -129,7 +129,7 @@ SPECS = {
         score=lambda part: part,
         priority=lambda part: part,
         scale="clv_90d",
-        offer=lambda *_: F.when(_is_top_tier(), "Exclusive Bundle Discount").otherwise("Loyalty Points Bonus"),
+        offer=lambda *_: F.when(_is_top_tier(), K.OFFERS["loyalty_top"]).otherwise(K.OFFERS["loyalty_other"]),
     ),
 }
 

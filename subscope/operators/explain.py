@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,15 @@ def _ordered(contributions: Mapping[str, Column]) -> Column:
     return F.sort_array(F.array(*cells))
 
 
+def mean_contributions(found: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature_name, mean_abs_contribution) over all rows of (…, contributions), for every model feature."""
+    names = F.array(*[F.lit(f) for f in features])
+    rows = found.select(F.posexplode("contributions").alias("at", "c"))
+    return rows.groupBy(F.element_at(names, F.col("at") + 1).alias("feature_name")).agg(
+        F.avg(F.abs("c")).alias("mean_abs_contribution")
+    )
+
+
 def top_factors(
     df: DataFrame, contributions: Mapping[str, Column], k: int = 5, id_col: str = "customer_id"
 ) -> DataFrame:

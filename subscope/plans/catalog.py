@@ -691,9 +691,7 @@ def _(s, d):
     return flows.value_store(_raw(s, d), event_log(s, d))
 
 
-# models: fewer trees and starts than the defaults, since every boosting round is a job of its own
-
-TREES = 10
+# models
 
 
 def _features(m: DataFrame) -> list[str]:
@@ -705,17 +703,26 @@ def _(s, d):
     return matrix.mark_split(_prof(s, d), "churn_label").select("customer_id", "churn_label", "is_test")
 
 
+_fitted: dict[tuple[str, str], PipelineModel] = {}
+
+
 def _churn_model(s: SparkSession, d: str) -> tuple[PipelineModel, DataFrame, list[str]]:
+    """The model is fitted once per application and folder; its queries share it."""
     m = master(s, d)
     names = _features(m)
-    marked = matrix.mark_split(m, "churn_label")
-    return churn.fit_churn(marked, names, trees=TREES), m.drop("churn_risk_score"), names
+    key = (s.sparkContext.applicationId, d)
+    if key not in _fitted:
+        _fitted[key] = churn.fit_churn(matrix.mark_split(m, "churn_label"), names)
+    return _fitted[key], m.drop("churn_risk_score"), names
 
 
 @query("churn_model_scores")
 def _(s, d):
-    model, m, _ = _churn_model(s, d)
-    return churn.score_churn(model, m, churn.tuned_threshold(model, matrix.mark_split(m, "churn_label").where("is_test")))
+    model, m, names = _churn_model(s, d)
+    held_out = matrix.mark_split(m, "churn_label").where("is_test")
+    factors = explain.top_factor_names(attribution.contribution_columns(names)).alias("top_risk_factors")
+    found = attribution.attribute(model, m).select("customer_id", factors)
+    return churn.score_churn(model, m, churn.tuned_threshold(model, held_out)).join(found, "customer_id")
 
 
 @query("churn_attribution")
@@ -725,6 +732,19 @@ def _(s, d):
     return explain.top_factors(found, attribution.contribution_columns(names), 5)
 
 
+@query("churn_attribution_summary")
+def _(s, d):
+    model, m, names = _churn_model(s, d)
+    return explain.mean_contributions(attribution.attribute(model, m), names)
+
+
+@query("churn_explanation")
+def _(s, d):
+    model, m, names = _churn_model(s, d)
+    one = m.where(F.col("customer_id") == QUERY_CUSTOMER)  # filtered before anything is attributed
+    return explain.top_factors(attribution.attribute(model, one), attribution.contribution_columns(names), 5)
+
+
 @query("model_roundtrip")
 def _(s, d):
     model, m, _ = _churn_model(s, d)
@@ -769,7 +789,7 @@ def _(s, d):
     parts = []
     for offer, (label, _) in propensity.OFFERS.items():
         train, _ = matrix.stratified_split(labelled, label)
-        model = propensity.fit_propensity(train, offer, names, trees=TREES, depth=5)
+        model = propensity.fit_propensity(train, offer, names)
         parts.append(propensity.score_propensity(model, m).withColumn("offer_type", F.lit(offer)))
     return reduce(DataFrame.unionByName, parts)
 
@@ -777,7 +797,7 @@ def _(s, d):
 @query("clv_scores")
 def _(s, d):
     m = master(s, d)
-    model = clv.fit_clv(m, _features(m), trees=TREES)
+    model = clv.fit_clv(m, _features(m))
     return clv.score_clv(model, m.drop("clv_90d"), value.clv_thresholds(m))
 
 

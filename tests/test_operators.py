@@ -173,3 +173,8 @@ def test_top_factors_direction(spark):
     got = explain.top_factors(df, cells, 2).orderBy("position").collect()
     assert [(r.feature, r.direction) for r in got] == [("y", "decreasing"), ("z", "increasing")]
     assert df.select(explain.top_factor_names(cells).alias("n")).first().n == ["y", "z", "x"]
+
+
+def test_mean_contributions(spark):
+    found = spark.createDataFrame([([1.0, -2.0],), ([3.0, 0.0],)], "contributions array<double>")
+    assert {r.feature_name: r.mean_abs_contribution for r in explain.mean_contributions(found, ["a", "b"]).collect()} == {"a": 2.0, "b": 1.0}

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 8_000_000  # text handled by one vectorised step inside a task
+BATCH_BYTES = 2_500_000  # text handled by one vectorised step inside a task
+BATCH_ROWS = 1_000  # rows that a Python worker gets at a time
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,11 +19,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def texts(docs: DataFrame, text_col: str = "text", *, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, text) only, a null text as the empty one; other columns, whatever their names, go."""
+    small_batches(docs.sparkSession)
     return docs.select(
         docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")
     )
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Documents are long: lower the session's Arrow batch size where it is above BATCH_ROWS, so that workers stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def bounded(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``limit`` bytes in ``column``, one row at least."""
     for batch in batches:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-WORDS = 300_000  # words whose feature row a worker keeps
+WORDS = 150_000  # words whose feature row a worker keeps
 REACH = 10  # tokens around a labelled span that a training window holds
 TOKEN = re.compile("[^ \n\t\r\f\v]+")
 

@@ -23,6 +23,7 @@ RATE = 0.07  # edits a character
 LEAST = 32  # normalised bytes; shorter items say too little to be matched
 BLOCK_BYTES = 16_000_000  # benchmark text that one index holds
 TABLE_BITS = 22
+STEP_BYTES = 1_000_000  # text whose q-grams are looked up together
 
 
 def normal(text: str) -> bytes:
@@ -170,7 +171,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataF
 def _find(docs: DataFrame, shared, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in common.bounded(batches, limit=4_000_000):
+        for batch in common.bounded(batches, limit=STEP_BYTES):
             texts = batch.column(1).to_pylist()
             rows = []
             for row, found in _scan(index, texts):
@@ -192,6 +193,7 @@ def _find(docs: DataFrame, shared, schema: str) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no benchmark window."""
+    common.small_batches(docs.sparkSession)
     for index in blocks(benchmark):
         docs = _clean(docs, docs.sparkSession.sparkContext.broadcast(index), text_col)
     return docs
@@ -201,7 +203,7 @@ def _clean(docs: DataFrame, shared, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))
-            step = max(1, int(batch.num_rows * 4_000_000 / max(1, column.nbytes)))
+            step = max(1, int(batch.num_rows * STEP_BYTES / max(1, column.nbytes)))
             keep = np.ones(batch.num_rows, dtype=bool)
             for start in range(0, batch.num_rows, step):
                 for row, _ in _scan(shared.value, column.slice(start, step).to_pylist()):

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 400_000  # words whose ids a worker keeps; a full cache is emptied, which changes no result
+CACHE_WORDS = 200_000  # words whose ids a worker keeps; a full cache is emptied, which changes no result
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _ENCODERS: dict[str, "Encoder"] = {}
 

@@ -134,6 +134,7 @@ def redact(docs: DataFrame, model: crf.Model | None = None, text_col: str = "tex
 
     Digits alone, as in card numbers, are left to the scan for personal data.
     """
+    common.small_batches(docs.sparkSession)
     model = model or train(spans.prepared(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,9 +21,9 @@ from . import common, graph
 ROWS, BANDS = 4, 27  # a pair at similarity 0.8 shares no band with probability 7e-7
 BASE, RATE, TOP = 1.001, 20.0, 65_534  # register scale: values 0..TOP+1
 MARGIN = 4.5  # standard deviations below the threshold at which an estimate rules a pair out
-WORDS = 300_000  # word hashes that a worker keeps
+WORDS = 150_000  # word hashes that a worker keeps
 SLOT_BITS = 20  # size of the table of shingle counts that orders them
-HELD = 2_000_000  # shingles of recent texts that a worker keeps while it confirms pairs
+HELD = 1_000_000  # shingles of recent texts that a worker keeps while it confirms pairs
 
 
 class _WordHash(dict):

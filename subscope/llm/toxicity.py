@@ -23,7 +23,7 @@ LABELLED = 8_000  # labelled documents, chosen by a hash of the id, that words a
 UNLABELLED = 2_000  # further documents whose posterior labels train the classifier
 TERMS = 2_000  # words and word beginnings that the classifier weighs
 STEMS = 32  # of them, those behind the learned pattern voters
-WORDS = 300_000  # words whose terms a worker keeps
+WORDS = 150_000  # words whose terms a worker keeps
 HELD_OUT = 2  # remainder of crc32(id) mod 4 whose labels are never read
 THRESHOLD = 0.3
 
@@ -314,6 +314,7 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", threshold: fl
 
 def accept(docs: DataFrame, scorer: Scorer, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below the threshold."""
+    common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.bounded(batches, text_col):

@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from . import common
 
 Q = 12
-WINDOW, STEP = 160, 80  # longer items are matched by windows, so a passage of one counts too
+WINDOW, STEP = 160, 12  # longer items are matched by windows, so a passage of one counts too
+PASSAGE = 149  # a verbatim passage of so many bytes lacks no more of some window than its edits, wherever it was cut
 RATE = 0.07  # edits a character
 LEAST = 32  # normalised bytes; shorter items say too little to be matched
 BLOCK_BYTES = 16_000_000  # benchmark text that one index holds
 TABLE_BITS = 22
 STEP_BYTES = 1_000_000  # text whose q-grams are looked up together
+PIECE = 1 << 16  # bytes of one text whose shared q-grams are counted together
 
 
 def normal(text: str) -> bytes:
@@ -44,32 +46,44 @@ def qgrams(data: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Windows of benchmark items and their q-grams."""
+    """Windows of benchmark items and the q-grams of the items, each q-gram held once however many windows it is in."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.item: list[int] = []
-        self.windows: list[bytes] = []
+        parts, codes, places, starts, lengths, base = [], [], [], [], [], 0
         for item, text in items:
             data = normal(text or "")
             if len(data) < LEAST:
                 continue
             last = max(0, len(data) - WINDOW)
-            for at in [*range(0, last, STEP), last]:
-                self.item.append(item)
-                self.windows.append(data[at : at + WINDOW])
-        self.length = np.array([len(w) for w in self.windows], dtype=np.int64)
+            at = [*range(0, last, STEP), last]
+            self.item += [item] * len(at)
+            starts.append(base + np.array(at, dtype=np.int64))
+            lengths.append(np.full(len(at), min(len(data), WINDOW), dtype=np.int64))
+            codes.append(qgrams(np.frombuffer(data, dtype=np.uint8)))
+            places.append(base + np.arange(len(codes[-1])))
+            parts.append(data.ljust(WINDOW, b"\n"))  # so far apart, no window reaches into the next item
+            base += len(parts[-1])
+        joined = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, dtype=kind)
+        self.data = b"".join(parts)
+        self.start, self.length = joined(starts, np.int64), joined(lengths, np.int64)
         self.edits = np.minimum((self.length * RATE).astype(np.int64), self.length // Q - 1)
         self.need = self.length + 1 - Q * (self.edits + 1)
-        codes = [qgrams(np.frombuffer(w, dtype=np.uint8)) for w in self.windows]
-        code = np.concatenate(codes) if codes else np.empty(0, dtype=np.uint64)
+        code = joined(codes, np.uint64)
         order = np.argsort(code, kind="stable")
+        self.place = joined(places, np.int64)[order]
         self.code, first = np.unique(code[order], return_index=True)
         self.first = np.append(first, len(code))
-        self.window = np.repeat(np.arange(len(codes)), [len(c) for c in codes])[order] if codes else np.empty(0, dtype=np.int64)
-        self.place = np.concatenate([np.arange(len(c)) for c in codes])[order] if codes else np.empty(0, dtype=np.int64)
         self.table = np.zeros(1 << TABLE_BITS, dtype=bool)
         self.table[self.code >> np.uint64(64 - TABLE_BITS)] = True
 
+    def window(self, k: int) -> bytes:
+        return self.data[self.start[k] : self.start[k] + self.length[k]]
+
+    @property
+    def windows(self) -> list[bytes]:
+        return [self.window(k) for k in range(len(self.start))]
+
     def regions(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, lowest diagonal, diagonals) of the bands with enough shared q-grams."""
         codes = qgrams(data)
@@ -78,9 +92,13 @@ class Index:
         real = (slot < len(self.code)) & (self.code[np.minimum(slot, len(self.code) - 1)] == codes[at])
         at, slot = at[real], slot[real]
         each = self.first[slot + 1] - self.first[slot]
-        source = np.repeat(self.first[slot] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-        window = self.window[source]
-        diagonal = np.repeat(at, each) - self.place[source] + WINDOW  # never negative
+        place = self.place[np.repeat(self.first[slot] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+        at = np.repeat(at, each)
+        # the windows that hold the q-gram stand side by side
+        low = np.searchsorted(self.start, place - (WINDOW - Q), side="left")
+        each = np.searchsorted(self.start, place, side="right") - low
+        window = np.repeat(low - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        diagonal = np.repeat(at - place, each) + self.start[window] + WINDOW  # never negative
         width = self.edits[window] + 1
         band = diagonal // width
         # band k holds 2 * width diagonals, so any width of them lie in one band together
@@ -92,40 +110,55 @@ class Index:
         return window, band * (self.edits[window] + 1) - WINDOW, 2 * (self.edits[window] + 1)
 
 
-def band_edits(window: bytes, data: np.ndarray, low: int, diagonals: int, most: int) -> tuple[int, int]:
-    """(least edits, end in ``data``) of an alignment of the whole window on the band's diagonals; edits over ``most`` mean none.
+def band_edits(windows: np.ndarray, data: np.ndarray, low: np.ndarray, diagonals: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(least edits, end in ``data``) of an alignment of each whole window on its band's diagonals; edits over ``most`` mean none.
 
-    The band is widened by ``most`` diagonals on both sides, as an alignment may start on one of its diagonals and end on another.
+    ``windows`` are of one length, one a row. The band is widened by ``most`` diagonals on both sides, as an alignment
+    may start on one of its diagonals and end on another.
     """
     low, width = low - most, diagonals + 2 * most
-    n = len(window)
-    text = np.full(n + width + 1, 256, dtype=np.int16)  # 256 is in no text: what lies outside matches nothing
-    lo, hi = max(low, 0), min(low + n + width, len(data))
-    text[lo - low : hi - low] = data[lo:hi]
-    steps = np.arange(width)
-    cost = np.zeros(width, dtype=np.int64)
-    for i, c in enumerate(window):
-        stay = cost + (text[i : i + width] != c)
-        skip = np.append(cost[1:], most + n) + 1
-        best = np.minimum(stay, skip)
-        cost = np.minimum.accumulate(best - steps) + steps
-        if cost.min() > most:
-            return most + 1, -1
-    end = int(cost.argmin())
-    return int(cost[end]), low + n + end
+    rows, n = windows.shape
+    at = low[:, None] + np.arange(n + width)
+    inside = (at >= 0) & (at < len(data))
+    text = np.where(inside, data[np.clip(at, 0, len(data) - 1)], 256).astype(np.int16)  # 256 is in no text: what lies outside matches nothing
+    steps = np.arange(width, dtype=np.int16)
+    cost = np.zeros((rows, width), dtype=np.int16)
+    skip = np.full((rows, width), most + n + 1, dtype=np.int16)
+    for i in range(n):
+        stay = cost + (text[:, i : i + width] != windows[:, i : i + 1])
+        skip[:, :-1] = cost[:, 1:] + 1
+        cost = np.minimum.accumulate(np.minimum(stay, skip) - steps, axis=1) + steps
+        if i % 16 == 15 and cost.min() > most:
+            break
+    end = cost.argmin(1)
+    return cost[np.arange(rows), end].astype(np.int64), low + n + end
 
 
 def matches(index: Index, data: bytes) -> list[tuple[int, int, int, int]]:
     """(item, start, end, edits) of the verified windows in one normalised text."""
+    found = set()
+    for piece in range(0, max(len(data) - 2 * WINDOW, 1), PIECE):  # pieces overlap by more than a window and its edits
+        found.update((k, piece + a, piece + b, e) for k, a, b, e in _matches(index, data[piece : piece + PIECE + 2 * WINDOW]))
+    return sorted(found)
+
+
+def _matches(index: Index, data: bytes) -> list[tuple[int, int, int, int]]:
     text = np.frombuffer(data, dtype=np.uint8)
-    found = []
+    found, open_ = [], {}
     for window, low, diagonals in zip(*(x.tolist() for x in index.regions(text))):
-        most, pattern = int(index.edits[window]), index.windows[window]
-        start = max(0, low)
-        at = data.find(pattern, start, max(0, low + diagonals) + len(pattern))
-        edits, end = (0, at + len(pattern)) if at >= 0 else band_edits(pattern, text, low, diagonals, most)
-        if edits <= most:
-            found.append((index.item[window], max(0, end - len(pattern)), min(end, len(data)), edits))
+        pattern = index.window(window)
+        at = data.find(pattern, max(0, low), max(0, low + diagonals) + len(pattern))
+        if at >= 0:
+            found.append((index.item[window], at, at + len(pattern), 0))
+        else:
+            open_.setdefault((len(pattern), diagonals), []).append((window, low))
+    for (length, diagonals), regions in open_.items():
+        for part in (regions[k : k + 500] for k in range(0, len(regions), 500)):
+            which, most = [w for w, _ in part], int(index.edits[part[0][0]])
+            patterns = np.frombuffer(b"".join(map(index.window, which)), dtype=np.uint8).reshape(-1, length)
+            for window, edits, end in zip(which, *(x.tolist() for x in band_edits(patterns, text, np.array([b for _, b in part]), diagonals, most))):
+                if edits <= most:
+                    found.append((index.item[window], max(0, end - length), min(end, len(data)), edits))
     return found
 
 

@@ -238,3 +238,28 @@ def test_decontamination_of_odd_rows(spark, odd, items):
     assert decontamination.find(odd, bench.where("false")).count() == 0 and decontamination.clean(odd.where("false"), bench).count() == 0
     twice = spark.createDataFrame([(1, items[0][1]), (1, items[0][1]), (None, items[0][1].upper().replace(" ", "\n"))], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.item_id) for r in decontamination.find(twice, bench).collect()) == [(0, items[0][0]), (1, items[0][0]), (1, items[0][0])]
+
+
+def test_passages_cut_at_any_offset(spark, sf_dir):
+    """Passages of the stated length, wherever they were cut from a longer item, in plain surroundings."""
+    rng = random.Random(12)
+    made = [(k, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9))) for _ in range(130))) for k in range(4)]
+    made.append((4, " ".join(f"w{k}" for k in range(44))))  # a window and a little more
+    plain = " ".join(f"{k}.{k * k}" for k in range(60))
+    index = decontamination.Index(made)
+    rows, want = [], set()
+    for item, text in made:
+        data = decontamination.normal(text).decode()
+        for _ in range(60):
+            n = rng.randrange(decontamination.PASSAGE, min(len(data), 260) + 1)
+            at = rng.randrange(len(data) - n + 1)
+            rows.append((len(rows), f"{plain} {data[at : at + n]} {plain}"))
+            want.add((len(rows) - 1, item))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(made, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.find(df, bench).collect()} == want
+    assert decontamination.clean(df, bench).count() == 0
+    # a long text is searched in pieces that overlap
+    data = decontamination.normal(made[0][1])[301:460]
+    for at in range(decontamination.PIECE - 200, decontamination.PIECE + 400, 37):
+        assert {m[0] for m in decontamination.matches(index, b"1 " * (at // 2) + data + b" 2" * 300)} == {0}

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from . import common
 
-LABELLED = 8_000  # labelled documents, chosen by a hash of the id, that words and weights are learned from
-UNLABELLED = 2_000  # further documents whose posterior labels train the classifier
+LABELLED = 8_000  # labelled documents, chosen by a hash of the id, that words and voters' accuracies are learned from
+UNLABELLED = 8_000  # further documents; the posterior labels of all of these train the classifier
 TERMS = 2_000  # words and word beginnings that the classifier weighs
 STEMS = 32  # of them, those behind the learned pattern voters
 WORDS = 150_000  # words whose terms a worker keeps
@@ -220,7 +220,9 @@ def _sample(rows: DataFrame, labels: DataFrame, labelled: int, unlabelled: int)
     marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("label"))
     marks = marks.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
     marks = marks.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(*order).limit(labelled)
-    rest = rows.select("doc_id").where("doc_id is not null").orderBy(*order).limit(unlabelled).select("doc_id", F.lit(None).cast("int").alias("label"))
+    marks = materialize(rows.select("doc_id").distinct().join(F.broadcast(marks), "doc_id"), "toxic_marks")
+    rest = rows.select("doc_id").where("doc_id is not null").distinct().join(F.broadcast(marks), "doc_id", "left_anti")
+    rest = rest.orderBy(*order).limit(unlabelled).select("doc_id", F.lit(None).cast("int").alias("label"))
     ids = marks.union(rest).groupBy("doc_id").agg(F.max("label").alias("label"))
     return materialize(rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label"), "toxic_sample")
 
@@ -249,6 +251,7 @@ def _terms(sample: DataFrame, limit: int) -> list[tuple[str, int, int]]:
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Scorer:
     """A scorer for documents (doc_id, text); labels (doc_id, toxic) of held-out ids are not read.
 
+    Labels choose the terms and enter the label model; the classifier sees that model's posterior only, for every row.
     Without any toxic label only the fixed word lists and styles vote.
     """
     sample = _sample(docs, labels, labelled, unlabelled)
@@ -287,15 +290,12 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
         decode(np.concatenate([codes, pairs[:, 0]])), np.concatenate([n, times]), np.concatenate([np.full(len(codes), -1), pairs[:, 1]])
     )
     posterior = model.posterior(decode(np.array([r["code"] for r in rows], dtype=np.int64).reshape(-1)))
-    label = np.array([-1 if r["label"] is None else r["label"] for r in rows])
-    target = np.where(label >= 0, label, posterior) if len(rows) else np.zeros(0)
-    weight = np.where(label >= 0, 1.0, 0.5 * np.abs(2 * posterior - 1)) if len(rows) else np.zeros(0)
     style = np.array([np.frombuffer(r["style"]) for r in rows]).reshape(-1, 4)
     term = [np.frombuffer(r["term"], dtype=np.int32) for r in rows]
     at = np.repeat(np.arange(len(rows)), [len(t) for t in term])
     term = np.concatenate(term).astype(np.int64) if rows else np.zeros(0, dtype=np.int64)
     x = np.concatenate([np.frombuffer(r["n"], dtype=np.int32) for r in rows]) if rows else np.zeros(0)
-    w, b = logistic(at, term, value(x, style[at, 0]), style_features(style), target, weight, len(terms.terms))
+    w, b = logistic(at, term, value(x, style[at, 0]), style_features(style), posterior, np.ones(len(rows)), len(terms.terms))
     return Scorer(terms, groups, w, b)
 
 

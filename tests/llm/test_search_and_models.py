@@ -139,3 +139,16 @@ def test_registration():
     names = set(entry_module.queries())
     assert {*q.QUERIES, "pipeline"} <= names and {n.split("_")[0] for n in q.QUERIES} == {f"op{i}" for i in range(1, 11)}
     assert set(q.ORACLES) <= set(q.QUERIES)
+
+
+def test_classifier_is_trained_on_posteriors(spark, docs, sf_dir, monkeypatch):
+    """Every training row has the label model's posterior as its target, at full weight; unlabelled rows are further ones."""
+    seen, fitted = [], []
+    logistic, posterior = toxicity.logistic, toxicity.LabelModel.posterior
+    monkeypatch.setattr(toxicity, "logistic", lambda *a: seen.append(a) or logistic(*a))
+    monkeypatch.setattr(toxicity.LabelModel, "posterior", lambda self, v: fitted.append(posterior(self, v)) or fitted[-1])
+    labels = common.read(spark, sf_dir, "labels")
+    known = labels.where(~toxicity.held_out(labels["doc_id"]) & labels["toxic"].isin(0, 1)).join(docs, "doc_id").select("doc_id").distinct().count()
+    toxicity.train(common.texts(docs), labels, unlabelled=30)
+    *_, target, weight, _ = seen[0]
+    assert len(target) == known + 30 and np.array_equal(target, fitted[-1]) and (weight == 1).all()

@@ -105,7 +105,7 @@ def _kept(name: str, value: str) -> bool:
 def scan(docs: DataFrame, model: crf.Model | None = None, text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_tagged), one row per row of ``docs``.
 
-    ``spans`` joins kind:start:end of base spans and, where they touch no base span, of tagged ones, by kind, then start.
+    ``spans`` joins kind:start:end of base spans and, where no base span covers them, of tagged ones, by kind, then start.
     A null text is empty; ids may be null or repeated; a text of any length is scanned whole.
     """
     rows = spans.prepared(docs, text_col)
@@ -118,6 +118,7 @@ def scan(docs: DataFrame, model: crf.Model | None = None, text_col: str = "text"
             tagged = np.zeros(n, dtype=np.int64)
             sha, joined = [spans.digest([])] * n, [""] * n
             for row, own, more in spans.found(model, KINDS, batch.column(1), NAMES, _kept):
+                more = spans.beside(own, more)
                 for k, *_ in own:
                     counts[row, k] += 1
                 tagged[row] = len(more)

@@ -88,7 +88,7 @@ def train(docs: DataFrame, rows: int = spans.SAMPLE, labelled=LABELLED) -> crf.M
     examples = [(text, crf.tokens_of(text, own)) for text, own in labelled]
     for text in spans.sample(docs, KINDS, rows):
         own = spans.base(KINDS, text, [True] * len(KINDS))
-        values = {(v, w, 1) for _, _, _, v, w in own if not text[v:w].isdigit()}
+        values = {(v, w, 1) for k, _, _, v, w in own if KINDS[k].name != "hex" or not text[v:w].isdigit()}
         examples.append((text, crf.tokens_of(text, sorted(values))))
     return crf.Model(("O", "B", "I"), features, 8).fit(examples)
 
@@ -100,7 +100,7 @@ def _kept(name: str, value: str) -> bool:
 def scan(docs: DataFrame, model: crf.Model | None = None, text_col: str = "text") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_tagged), one row per row of ``docs``.
 
-    ``spans`` joins kind:start:end of base spans and, where they touch no base span, of tagged ones (kind ``secret``), by start, then
+    ``spans`` joins kind:start:end of base spans and, where no base span covers them, of tagged ones (kind ``secret``), by start, then
     kind. A null text is empty; ids may be null or repeated; a text of any length is scanned whole.
     """
     rows = spans.prepared(docs, text_col)
@@ -114,6 +114,7 @@ def scan(docs: DataFrame, model: crf.Model | None = None, text_col: str = "text"
             tagged = np.zeros(n, dtype=np.int64)
             sha, joined = [spans.digest([])] * n, [""] * n
             for row, own, more in spans.found(model, KINDS, batch.column(1), NAMES, _kept):
+                more = spans.beside(own, more)
                 for k, *_ in own:
                     counts[row, k] += 1
                 tagged[row] = len(more)
@@ -129,10 +130,19 @@ def scan(docs: DataFrame, model: crf.Model | None = None, text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_tagged long")
 
 
+def _values(text: str, own, more) -> list[tuple[int, int]]:
+    """Where the values of secrets are; they may overlap. What precedes the value in an assignment is no part of it."""
+    values = [
+        (v, w) for k, _, _, v, w in own if KINDS[k].name != "hex" or not text[v:w].isdigit() or any(s < w and e > v for s, e, _ in more)
+    ]
+    return values + [(max([s, *(v for _, b, _, v, _ in own if b <= s < v < e)]), e) for s, e, _ in more]
+
+
 def redact(docs: DataFrame, model: crf.Model | None = None, text_col: str = "text", mark: str = "[SECRET]", count_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with every secret's value replaced by ``mark``; ``count_col``, if there, counts the new characters of changed texts.
 
-    Digits alone, as in card numbers, are left to the scan for personal data.
+    Base and tagged spans that overlap are replaced as one. A run of 16 digits or more, as in card numbers, stays where
+    it is neither assigned nor touched by a tagged span.
     """
     common.small_batches(docs.sparkSession)
     model = model or train(spans.prepared(docs, text_col))
@@ -145,7 +155,7 @@ def redact(docs: DataFrame, model: crf.Model | None = None, text_col: str = "tex
             changed: dict[int, str] = {}
             for row, own, more in spans.found(model, KINDS, whole, NAMES, _kept):
                 text = whole[row].as_py()
-                values = sorted([(v, w) for _, _, _, v, w in own if not text[v:w].isdigit()] + [(s, e) for s, e, _ in more])
+                values = sorted(_values(text, own, more))
                 out, done = [], 0
                 for v, w in values:
                     if w > done:

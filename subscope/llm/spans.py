@@ -74,7 +74,7 @@ def _quoted(pattern: str) -> str:
 
 
 def found(model: crf.Model, kinds: Sequence[Kind], column: pa.Array, names: Sequence[str], keep: Callable[[str, str], bool]):
-    """For each row that has any span: (row, base spans, [(start, end, name)] of the method beside them)."""
+    """For each row that has any span: (row, base spans, [(start, end, name)] of the method, whether or not they touch base spans)."""
     may = candidates(kinds, column)
     tagged: dict[int, list[tuple[int, int, int]]] = {}
     for row, first, last, kind in model.decode(column):
@@ -91,12 +91,17 @@ def found(model: crf.Model, kinds: Sequence[Kind], column: pa.Array, names: Sequ
                     start += 1
                 while start < end and text[end - 1] in RIGHT:
                     end -= 1
-                if end > start and keep(names[kind - 1], text[start:end]) and all(end <= b[1] or start >= b[2] for b in own):
+                if end > start and keep(names[kind - 1], text[start:end]):
                     more.append((start, end, names[kind - 1]))
         if own or more:
             yield row, own, more
 
 
+def beside(own, more) -> list[tuple[int, int, str]]:
+    """The tagged spans that no single base span covers."""
+    return [m for m in more if not any(b[1] <= m[0] and m[1] <= b[2] for b in own)]
+
+
 def digest(parts: Sequence[str]) -> str:
     return hashlib.sha256(",".join(parts).encode()).hexdigest()
 

@@ -263,3 +263,29 @@ def test_passages_cut_at_any_offset(spark, sf_dir):
     data = decontamination.normal(made[0][1])[301:460]
     for at in range(decontamination.PIECE - 200, decontamination.PIECE + 400, 37):
         assert {m[0] for m in decontamination.matches(index, b"1 " * (at // 2) + data + b" 2" * 300)} == {0}
+
+
+def test_every_found_secret_is_redacted_whole(spark, docs):
+    """Assigned digits, tagged spans that reach beyond a base span, and digit runs inside a tagged span."""
+    rows = [
+        (1, "x password=123456789012 y"),
+        (2, 'then password="abcdefghijkl$rest9" z'),
+        (3, "use bearer sk_1234567890123456 in the header"),
+        (4, "card 4929348385146306 stays"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = secret_scan.train(docs.select("doc_id", "text"))
+    tags = {1: [], 2: [(1, 2)], 3: [(2, 3)], 4: []}  # (first token, end): what a field tags, fixed here
+
+    class Fixed:
+        def decode(self, column):
+            texts = column.to_pylist()
+            return [(i, a, b, 1) for i, t in enumerate(texts) for k, r in rows if r == t for a, b in tags[k]]
+    out = {r.doc_id: r.text for r in secret_scan.redact(df, Fixed()).collect()}
+    assert out == {1: "x password=[SECRET] y", 2: 'then password="[SECRET]" z', 3: "use bearer [SECRET] in the header", 4: rows[3][1]}
+    found = {r.doc_id: r.spans.split(",") for r in secret_scan.scan(df, Fixed()).collect()}
+    assert "secret:11:30" in found[3] and "hex:14:30" in found[3] and any(s.startswith("secret:") for s in found[2])
+    fitted = {r.doc_id: r.text for r in secret_scan.redact(df, model).collect()}
+    assert fitted[1] == out[1] and fitted[4] == rows[3][1]
+    text, own = "mail a.b@c.example/x9 or d@e.org", [(0, 5, 18, 5, 18), (0, 25, 32, 25, 32)]
+    assert spans.beside(own, [(5, 21, "email"), (25, 32, "email")]) == [(5, 21, "email")] and text[5:18] == "a.b@c.example"

@@ -804,12 +804,12 @@ def _(s, d):
 @query("cv_r2")
 def _(s, d):
     m = master(s, d)
-    found = clv.cv_r2(m, _features(m), trees=3, depth=3)
+    found = clv.cv_r2(m, _features(m))
     return s.range(1).select(F.lit(found).alias("cv_r2"))
 
 
 @query("score_all_models")
 def _(s, d):
     m = master(s, d)
-    models = scoring.fit_all(m, _features(m), churn_trees=5, forest_trees=5, clv_trees=5, n_init=2)
+    models = scoring.fit_all(m, _features(m))
     return scoring.score_all(models, m)

@@ -135,3 +135,17 @@ def test_score_all(master):
     assert got.count() == master.count() and got.where("ml_segment is null").count() == 0
     with pytest.raises(ValueError):
         scoring.score_all(models, master.drop(names[0]))
+
+
+def test_queries_fit_the_default_models(spark, sf_dir, monkeypatch):
+    """score_all_models and cv_r2 run the job that the operators run at their defaults."""
+    from subscope.models import clv, scoring
+    from subscope.plans import catalog
+
+    calls = []
+    monkeypatch.setattr(scoring, "fit_all", lambda m, names, *a, **k: calls.append((a, k)))
+    monkeypatch.setattr(scoring, "score_all", lambda models, m: m)
+    monkeypatch.setattr(clv, "cv_r2", lambda m, names, *a, **k: calls.append((a, k)) or 0.5)
+    for name in ("score_all_models", "cv_r2"):
+        catalog.QUERIES[name](spark, sf_dir)
+    assert calls == [((), {}), ((), {})]

@@ -99,11 +99,31 @@ def prefix_index(spark: SparkSession, freq: dict[str, int], templates=TEMPLATES,
     return spark.createDataFrame(rows, "token string, template int, label string, tokens array<string>, need int")
 
 
+def wrapped_matches(low: DataFrame, ordered: Column, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, key, label, containment) of notices set over several lines: any run of as many words as the template has.
+
+    ``low`` has doc_id, key and the lowered text; ``ordered`` is the templates' vocabulary. Runs are only tried in texts
+    that hold enough of a template's words at all.
+    """
+    texts = low.where(F.col("low").contains("\n")).select("doc_id", "key", words_of(F.col("low")).alias("words"))
+    texts = texts.withColumn("held", F.array_intersect(ordered, F.col("words")))
+    words, found = F.col("words"), []
+    for label, text in templates:
+        tokens, length = token_set(text), len("".join(c if c.isalnum() else " " for c in text).split())
+        need, own = math.ceil(threshold * len(tokens) - 1e-9), F.array(*map(F.lit, tokens))
+        starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_contains(own, F.element_at(words, i)))  # noqa: B023
+        shared = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice(words, i, length), own))))  # noqa: B023
+        one = F.struct(F.lit(label).alias("label"), shared.alias("shared"), F.lit(need).alias("need"), (shared / len(tokens)).alias("containment"))
+        found.append(F.when(F.size(F.array_intersect("held", own)) >= need, one))
+    hits = texts.select("doc_id", "key", F.explode(F.array_compact(F.array(*found))).alias("hit")).where("hit.shared >= hit.need")
+    return hits.select("doc_id", "key", "hit.label", "hit.containment")
+
+
 def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, key, line, template, label, containment) of every line and template at or over the threshold.
+    """(doc_id, key, label, containment) of every line, or run of words over lines, and template at or over the threshold.
 
     ``docs`` has doc_id, text and a ``key`` that tells rows of one doc_id apart. Containment is the
-    share of the template's distinct tokens that the line holds.
+    share of the template's distinct tokens that the line or run holds.
     """
     vocabulary = sorted(set().union(*(token_set(t) for _, t in templates)))
     freq = frequencies(docs, vocabulary)
@@ -124,7 +144,8 @@ def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = TH
     pairs = pairs.where((F.size("held") >= F.col("need")) & (left >= F.col("need") - (F.array_position("tokens", F.col("token")) - 1)))
     shared = F.size(F.array_intersect("held", "tokens"))
     verified = pairs.where(shared >= F.col("need")).withColumn("containment", shared / F.size("tokens"))
-    return verified.groupBy("doc_id", "key", "line", "template", "label").agg(F.max("containment").alias("containment"))
+    lines = verified.groupBy("doc_id", "key", "line", "template", "label").agg(F.max("containment").alias("containment"))
+    return lines.select("doc_id", "key", "label", "containment").unionAll(wrapped_matches(low, ordered, templates, threshold))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

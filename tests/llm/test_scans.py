@@ -289,3 +289,17 @@ def test_every_found_secret_is_redacted_whole(spark, docs):
     assert fitted[1] == out[1] and fitted[4] == rows[3][1]
     text, own = "mail a.b@c.example/x9 or d@e.org", [(0, 5, 18, 5, 18), (0, 25, 32, 25, 32)]
     assert spans.beside(own, [(5, 21, "email"), (25, 32, "email")]) == [(5, 21, "email")] and text[5:18] == "a.b@c.example"
+
+
+def test_wrapped_license_notices(spark):
+    """Every template set in short lines, as in source files, is found with its label and score."""
+    rows = []
+    for i, (_, text) in enumerate(licenses.TEMPLATES):
+        words = text.split()
+        lines = [" * " + " ".join(words[k : k + 3]) for k in range(0, len(words), 3)]
+        rows.append((i, "\n".join(["some words before", *lines, " * and after it"])))
+    rows.append((99, "\n".join(w + " word" * 9 for w in licenses.TEMPLATES[3][1].split())))  # the same words, far apart
+    out = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, _) in enumerate(licenses.TEMPLATES):
+        assert label in out[i].labels.split(",") and out[i].score == 1.0
+    assert out[99].labels == "" and out[99].score == 0.0

@@ -81,3 +81,83 @@ SELECT page_id, host, path, rule, coalesce(own, CASE WHEN s THEN 'block' END, 'a
   CASE WHEN own IS NOT NULL THEN 'rule' WHEN s THEN 'alias' ELSE 'default' END AS decided_by
 FROM own LEFT JOIN spread USING (address)
 """
+
+
+def prefix_trie(group: int = 100, borrowed: int = 6) -> str:
+    """Prefixes as joined digests of turns; every node is counted for each of its own prefixes."""
+    step = "list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))"
+    crc = (
+        "xor(list_reduce(list_concat([4294967295], list_transform(string_split(cast(conv_id AS VARCHAR), ''), "
+        f"lambda s: cast(ascii(s) AS BIGINT))), lambda a, b: {step}), 4294967295)"
+    )
+    return f"""
+WITH t AS (
+  SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS n
+  FROM conversations WHERE conv_id IS NOT NULL
+), o AS (SELECT conv_id, list({{'k': k, 'n': n}} ORDER BY turn NULLS FIRST, k) AS own FROM t GROUP BY 1),
+h AS (SELECT *, {crc} % {borrowed} AS h FROM o),
+r AS (
+  SELECT h.conv_id, list_concat(coalesce(list_slice(b.own, 1, h.h), []), list_slice(h.own, h.h + 1, len(h.own))) AS s
+  FROM h LEFT JOIN o AS b ON b.conv_id = h.conv_id - h.conv_id % {group}
+), p AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS depth FROM r),
+q AS (
+  SELECT *, list_transform(list_slice(s, 1, depth), lambda x: x.k) AS ks, CASE WHEN depth > 0 THEN s[depth].n ELSE 0 END AS n FROM p
+), node AS (
+  SELECT depth, array_to_string(ks, ',') AS key, any_value(ks) AS ks, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n,
+    sha256(coalesce(string_agg(cast(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(s) = depth), '')) AS ends_sha256
+  FROM q GROUP BY 1, 2
+), up AS (SELECT *, CASE WHEN depth > 0 THEN array_to_string(list_slice(ks, 1, depth - 1), ',') END AS parent FROM node),
+child AS (SELECT depth - 1 AS depth, parent AS key, count(*) AS n_children FROM up WHERE depth > 0 GROUP BY 1, 2),
+wide AS (SELECT up.*, coalesce(child.n_children, 0) AS n_children FROM up LEFT JOIN child USING (depth, key)),
+above AS (SELECT unnest(range(0, depth + 1)) AS d, ks, n_children, (n_convs - 1) * n AS saved FROM wide),
+tree AS (
+  SELECT d AS depth, array_to_string(list_slice(ks, 1, d), ',') AS key, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved
+  FROM above GROUP BY 1, 2
+)
+SELECT wide.conv_id, wide.depth, p.conv_id AS parent_conv_id, wide.n_convs, wide.n_children, tree.n_leaves,
+  cast(tree.saved AS BIGINT) AS saved_tokens, wide.ends_sha256
+FROM wide JOIN tree USING (depth, key) LEFT JOIN node AS p ON p.depth = wide.depth - 1 AND p.key = wide.parent
+"""
+
+
+def source_divergence(least_docs: int = 30, top: int = 50) -> str:
+    """Every kept term for every group, and all pairs of sources over all kept terms."""
+    share = lambda n, size, v: f"1 + cast(1000000000 AS HUGEINT) * ({n} + 5) // ({size} + 5 * {v})"
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), {_LOWER}) AS t
+  FROM documents
+), w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= {least_docs}),
+whole AS (SELECT lang, sum(total) AS big, count(*) AS v FROM kept GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY 1, 2, 3),
+cell AS (SELECT lang, source, term, total, coalesce(n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+size AS (SELECT lang, source, sum(n) AS size FROM cell GROUP BY 1, 2),
+p AS (
+  SELECT lang, source, term, n, {share("n", "size", "v")} AS p, {share("total", "big", "v")} AS q
+  FROM cell JOIN size USING (lang, source) JOIN whole USING (lang)
+), gap AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p AS a JOIN p AS b USING (lang, term) WHERE a.source <> b.source GROUP BY 1, 2, 3
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(gap.value, 0) AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN gap ON gap.lang = a.lang AND gap.source = a.source AND gap.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+SELECT lang, source, part, item, cast(value AS BIGINT) AS value, cast(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= {top}
+"""
+
+
+def top_products(k: int) -> str:
+    """The inner products of each query with all other vectors."""
+    return f"""
+WITH u AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * cast(x AS double))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, u.vec_id, max(cast(list_inner_product(q.v, u.v) AS BIGINT)) AS score
+  FROM u AS q JOIN u ON q.vec_id <> u.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2
+)
+SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= {k}
+"""

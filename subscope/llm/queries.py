@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, decontamination, encoding, licenses, packing, permutation_index, pii, secret_scan, setsketch, token_counts, toxicity, url_filter
+from . import (
+    ball_tree, checks, decontamination, divergence, encoding, licenses, packing, permutation_index, pii, prefix_trie, secret_scan, setsketch,
+    token_counts, toxicity, url_filter,
+)
 from .common import read, texts
 
 
@@ -53,6 +56,19 @@ def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(read(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.rebuilt(prefix_trie.ordered(read(spark, sf_dir, "conversations"))))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op13_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return ball_tree.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_permutation_index": op1_permutation_index,
     "op2_secret_scan": op2_secret_scan,
@@ -64,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_pii": op9_pii,
     "op10_setsketch_near_dedup": op10_setsketch_near_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_ball_tree_topk": op13_ball_tree_topk,
 }
 
 # the others hold models, a tokenizer, an approximate index or a packing; their tests compare with brute force
@@ -71,4 +90,7 @@ ORACLES: dict[str, str] = {
     "op3_redirect_equivalence": checks.url_verdicts(),
     "op7_license_scan": checks.license_scan(),
     "op10_setsketch_near_dedup": checks.near_duplicates(size=2, percent=80),
+    "op11_prefix_trie": checks.prefix_trie(),
+    "op12_source_divergence": checks.source_divergence(),
+    "op13_ball_tree_topk": checks.top_products(k=5),
 }

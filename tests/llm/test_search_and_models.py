@@ -137,7 +137,7 @@ def test_pipeline(spark, sf_dir, texts):
 
 def test_registration():
     names = set(entry_module.queries())
-    assert {*q.QUERIES, "pipeline"} <= names and {n.split("_")[0] for n in q.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {*q.QUERIES, "pipeline"} <= names and {n.split("_")[0] for n in q.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(q.ORACLES) <= set(q.QUERIES)
 
 

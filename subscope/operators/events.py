@@ -1,10 +1,11 @@
 """Per-customer features of the event log.
 
-Everything rests on one daily rollup: (customer, day) sums are additive, and day offsets
-are constant inside a day, so counts, windows, last dates, distinct days and both
-least-squares trends follow from it. The first aggregation combines map-side on
-(customer, day), so a customer with a third of the log is spread by day and reaches the
-second aggregation with one row per day.
+Everything rests on one rollup: (customer, day, channel) sums are additive, and day offsets
+are constant inside a day, so counts, windows, last dates, distinct days, both least-squares
+trends, the most used channel and the reference day all follow from it. The first aggregation
+combines map-side, so a customer with a third of the log is spread by day and reaches the
+later ones with a few rows per day. A function takes the log, or a rollup of it: rollups of
+disjoint parts of a log, put one under the other, are a rollup of the whole.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from subscope import constants as K
 from subscope.functions.cleaning import has_offer, is_accepted
 from subscope.functions.stats import slope
 from subscope.operators.ordering import running_sums
+from subscope.session import materialize
+
+ORIGIN = "2000-01-01"  # days of a trend are counted from here; a slope does not depend on it
 
 
 def _is(kind: str) -> Column:
@@ -40,7 +44,7 @@ def filter_events(
     events: DataFrame, kind: str | None = None, ref: date | str | None = None, days: int | None = None
 ) -> DataFrame:
     """Events of one type and/or of the last ``days`` days, the cutoff day included."""
-    out = events if kind is None else events.where(_is(kind))
+    out = events if kind is None else events.where(_ROLLED_KIND[kind] if is_rollup(events) else _is(kind))
     if days is not None:
         out = out.where(F.col("event_date") >= F.date_sub(_ref(events, ref), days))
     return out
@@ -50,21 +54,50 @@ def offer_flags(events: DataFrame) -> DataFrame:
     return events.withColumns({"has_offer": has_offer(), "is_accepted": is_accepted()})
 
 
-def daily_rollup(events: DataFrame) -> DataFrame:
-    """One row per customer and day. Columns nobody asks for are pruned by the optimizer."""
+SUMS = [
+    "n_events", "n_offers", "n_accepted", "n_app", "recharge_rows", "recharge_n", "recharge_sum",
+    "session_rows", "session_n", "session_sum",
+]
+_ROLLED_KIND = {"RECHARGE": "recharge_rows > 0", "DATA_SESSION": "session_rows > 0"}
+
+
+def is_rollup(events: DataFrame) -> bool:
+    return "n_events" in events.columns
+
+
+def _rolled_by(events: DataFrame, *keys: str) -> DataFrame:
+    """Sums by the given keys. Columns nobody asks for are pruned by the optimizer."""
+    if is_rollup(events):
+        return events.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMS])
     recharge, session = _is("RECHARGE"), _is("DATA_SESSION")
-    return events.groupBy("customer_id", "event_date").agg(
-        F.count(F.lit(1)).alias("n_events"),
-        F.count_if(has_offer()).alias("n_offers"),
-        F.count_if(is_accepted()).alias("n_accepted"),
-        F.count_if(F.col("channel") == "APP").alias("n_app"),
-        F.count_if(recharge).alias("recharge_rows"),
-        F.count(F.when(recharge, F.col("recharge_amount"))).alias("recharge_n"),
-        F.sum(F.when(recharge, F.col("recharge_amount"))).alias("recharge_sum"),
-        F.count_if(session).alias("session_rows"),
-        F.count(F.when(session, F.col("data_mb_used"))).alias("session_n"),
-        F.sum(F.when(session, F.col("data_mb_used"))).alias("session_sum"),
+    sums = (
+        F.count(F.lit(1)),
+        F.count_if(has_offer()),
+        F.count_if(is_accepted()),
+        F.count_if(F.col("channel") == "APP"),
+        F.count_if(recharge),
+        F.count(F.when(recharge, F.col("recharge_amount"))),
+        F.sum(F.when(recharge, F.col("recharge_amount"))),
+        F.count_if(session),
+        F.count(F.when(session, F.col("data_mb_used"))),
+        F.sum(F.when(session, F.col("data_mb_used"))),
     )
+    return events.groupBy(*keys).agg(*[c.alias(name) for name, c in zip(SUMS, sums)])
+
+
+def channel_rollup(events: DataFrame) -> DataFrame:
+    """One row per customer, day and channel: all that the event features need of the log."""
+    return _rolled_by(events, "customer_id", "event_date", "channel")
+
+
+def daily_rollup(events: DataFrame) -> DataFrame:
+    """One row per customer and day."""
+    return _rolled_by(events, "customer_id", "event_date")
+
+
+def stored_rollup(events: DataFrame) -> DataFrame:
+    """The rollup as a table, so that the log is joined and scanned once; a rollup is taken as it is."""
+    return events if is_rollup(events) else materialize(channel_rollup(events), "rollup")
 
 
 def _dated(daily: DataFrame, ref_day: Column) -> DataFrame:
@@ -78,7 +111,8 @@ def _total(name: str, only: Column | None = None) -> Column:
 
 def _day_slope(weight: Column, amount: str) -> Column:
     """Trend over days of points given by daily weights and daily sums; rows without a date are no points."""
-    x, dated = -F.col("ago"), F.col("ago").isNotNull()
+    x = F.datediff(F.col("event_date"), F.lit(ORIGIN).cast("date")).cast("bigint")
+    dated = F.col("event_date").isNotNull()
     y = F.when(dated, F.coalesce(F.col(amount), F.lit(0)))
     return slope(F.sum(F.when(dated, weight)), F.sum(weight * x), F.sum(y), F.sum(x * y), F.sum(weight * x * x))
 
@@ -114,9 +148,10 @@ def recharge_agg(
 
 
 def ordinal_block(events: DataFrame, ref: date | str | None = None) -> DataFrame:
-    """Features of the smaller store: one pass for all sums, which count recharge rows with or
+    """Features of the smaller store: one pass over the log for all sums, which count recharge rows with or
     without an amount, and one over the recharges for the trend."""
-    daily = _dated(daily_rollup(events), _ref(events, ref))
+    rolled = stored_rollup(events)
+    daily = _dated(daily_rollup(rolled), _ref(rolled, ref))
     had_recharge = F.col("recharge_rows") > 0
     block = daily.groupBy("customer_id").agg(
         F.count("event_date").alias("active_days_90d"),
@@ -160,26 +195,23 @@ def app_usage_rate(events: DataFrame) -> DataFrame:
 
 def preferred_channel(events: DataFrame) -> DataFrame:
     """Most used channel; ties go to the first name, nulls do not count."""
-    per_channel = (
-        events.where(F.col("channel").isNotNull())
-        .groupBy("customer_id", "channel")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    n = F.sum("n_events") if is_rollup(events) else F.count(F.lit(1))
+    per_channel = events.where(F.col("channel").isNotNull()).groupBy("customer_id", "channel").agg(n.alias("n"))
     best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("channel")))
     return per_channel.groupBy("customer_id").agg(best["channel"].alias("preferred_channel"))
 
 
-def recharge_trend(events: DataFrame, ref: date | str | None = None) -> DataFrame:
+def recharge_trend(events: DataFrame) -> DataFrame:
     """Slope of recharge amount over days, each recharge one point."""
-    daily = _dated(daily_rollup(filter_events(events, "RECHARGE")), _ref(events, ref))
+    daily = daily_rollup(filter_events(events, "RECHARGE"))
     return daily.groupBy("customer_id").agg(
         _day_slope(F.col("recharge_n"), "recharge_sum").alias("recharge_trend")
     )
 
 
-def data_usage_trend(events: DataFrame, ref: date | str | None = None) -> DataFrame:
+def data_usage_trend(events: DataFrame) -> DataFrame:
     """Slope of daily data volume over days, each active day one point."""
-    daily = _dated(daily_rollup(filter_events(events, "DATA_SESSION")), _ref(events, ref))
+    daily = daily_rollup(filter_events(events, "DATA_SESSION"))
     return daily.groupBy("customer_id").agg(
         _day_slope(F.lit(1).cast("bigint"), "session_sum").alias("data_usage_trend")
     )
@@ -212,11 +244,12 @@ def trend_ordinal(events: DataFrame) -> DataFrame:
 def event_block(
     events: DataFrame, ref: date | str | None = None, short: int = 30, long: int | None = None
 ) -> DataFrame:
-    """All event features before defaults: one pass over the log for everything but the channel.
+    """All event features before defaults, from one pass over the log.
 
-    The channel mode has another grain, so it is a second, two-column scan; both sides come
-    out partitioned by customer and join without a further shuffle.
+    Its rollup is a table, which the reference day, the sums and the channel mode are read from; the last two
+    come out partitioned by customer and join without a further shuffle.
     """
+    events = stored_rollup(events)
     log = filter_events(events, None, ref, long)
     recent = F.col("ago") <= short
     had_recharge, had_session = F.col("recharge_rows") > 0, F.col("session_rows") > 0

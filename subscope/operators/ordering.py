@@ -126,7 +126,6 @@ def select_ranks(
     share each pass. Nothing is ranked in full: ranges are counted, and only the rows of the
     few ranges that hold a wanted rank are ordered.
     """
-    spark = df.sparkSession
     cells = [F.struct(F.lit(g).alias("_g"), v.alias("_v")) for g, v in values.items()]
     long = (
         df.select(F.col(id_col).alias("_id"), F.inline(F.array(*cells)))
@@ -134,8 +133,20 @@ def select_ranks(
         .select("_g", "_v", "_id")
     )
     # the row count of a stored table comes from its file footers
-    ranged = with_range(long, ["_g", "_v", "_id"], parts, df.count() * len(values))
-    counts: dict[str, list[tuple[int, int]]] = {g: [] for g in values}
+    return select_long(long, list(values), ranks, parts, df.count() * len(values))
+
+
+def select_long(
+    long: DataFrame,
+    groups: Sequence[str],
+    ranks: Callable[[str, int], Sequence[int]],
+    parts: int | None = None,
+    rows: int | None = None,
+) -> dict[str, Picked]:
+    """``select_ranks`` over rows (_g, _v, _id) of the listed groups, whatever made them; ``long`` is read several times."""
+    spark = long.sparkSession
+    ranged = with_range(long, ["_g", "_v", "_id"], parts, rows)
+    counts: dict[str, list[tuple[int, int]]] = {g: [] for g in groups}
     for g, r, c in ranged.groupBy("_g", "_range").count().collect():
         counts[g].append((r, c))
     totals = {g: sum(c for _, c in rs) for g, rs in counts.items()}
@@ -157,7 +168,7 @@ def select_ranks(
         )
         rows = placed.join(F.broadcast(place), ["_g", "_range", "_place"])
         found = {(x._g, x._rank): (x._v, x._id) for x in rows.collect()}
-    return {g: Picked(totals[g], [found[g, t] for t in asked[g]]) for g in values}
+    return {g: Picked(totals[g], [found[g, t] for t in asked[g]]) for g in groups}
 
 
 def cut_ranks(n: int, q: int) -> list[int]:

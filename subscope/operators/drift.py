@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subscope import constants as K
-from subscope.functions.stats import bin_index, ks_p_value
+from subscope.functions.stats import bin_index, ks_log10_p_value, ks_p_value
 from subscope.operators.ordering import running_sums
 
 EPS = 1e-4
@@ -129,8 +129,10 @@ def _p_value() -> Column:
 
 
 def ks_test(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Statistic, p-value and its decimal logarithm, which tells small p-values apart where the value itself has run out."""
+    log_p = ks_log10_p_value(F.col("ks_statistic"), F.col("n_ref"), F.col("n_cur"))
     return ks_statistic(ref, cur, features).select(
-        "feature_name", "ks_statistic", _p_value().alias("ks_p_value")
+        "feature_name", "ks_statistic", _p_value().alias("ks_p_value"), log_p.alias("ks_log10_p_value")
     )
 
 

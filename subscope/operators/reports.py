@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,27 +75,32 @@ def rfm_heatmap(df: DataFrame) -> DataFrame:
     )
 
 
-def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """Equal-width histogram between the smallest and largest value, empty bins as 0.
+def histograms(df: DataFrame, bins: Mapping[str, int], name: str = "column") -> DataFrame:
+    """Equal-width histograms of several columns between their smallest and largest values, empty bins as 0.
 
-    A constant column is put in the middle of a range of width one.
+    Two passes whatever the number of columns: one aggregate finds all ranges, one counts the bins of all columns. A
+    constant column is put in the middle of a range of width one; one without values has bins without bounds.
     """
-    rows = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    span = tuple(rows.agg(F.min("v"), F.max("v")).first())
-    if span[0] is not None and span[0] == span[1]:
-        span = span[0] - 0.5, span[1] + 0.5
-    lo, hi = (F.lit(v).cast("double") for v in span)
-    edges = ("cast(NULL AS double)" if v is None else f"cast('{v!r}' AS double)" for v in span)
-    found = rows.groupBy(bin_index("v", *edges, bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return (
-        _rows(df, "bin", list(range(bins)))
-        .join(found, "bin", "left")
-        .select(
-            "bin",
-            (lo + F.col("bin") * (hi - lo) / bins).alias("bin_start"),
-            F.coalesce("n", F.lit(0)).alias("n"),
-        )
-    )
+    v = {c: F.col(c).cast("double") for c in bins}
+    spans = df.agg(*[F.min(x).alias(f"lo_{i}") for i, x in enumerate(v.values())], *[F.max(x).alias(f"hi_{i}") for i, x in enumerate(v.values())]).first()
+    cells, grid = [], []
+    for i, (c, n) in enumerate(bins.items()):
+        span = spans[f"lo_{i}"], spans[f"hi_{i}"]
+        if span[0] is not None and span[0] == span[1]:
+            span = span[0] - 0.5, span[1] + 0.5
+        edges = ("cast(NULL AS double)" if x is None else f"cast('{x!r}' AS double)" for x in span)
+        at = bin_index(f"cast(`{c}` AS double)", *edges, n)
+        cells.append(F.when(v[c].isNotNull(), F.struct(F.lit(c).alias(name), at.alias("bin"))))
+        lo, hi = (F.lit(x).cast("double") for x in span)
+        grid += [F.struct(F.lit(c).alias(name), F.lit(k).alias("bin"), (lo + F.lit(k) * (hi - lo) / n).alias("bin_start")) for k in range(n)]
+    found = df.select(F.inline(F.filter(F.array(*cells), lambda x: x.isNotNull()))).groupBy(name, "bin").agg(F.count(F.lit(1)).alias("n"))
+    shown = df.sparkSession.range(1).select(F.inline(F.array(*grid)))
+    return shown.join(found, [name, "bin"], "left").select(name, "bin", "bin_start", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
+    """The histogram of one column."""
+    return histograms(df, {column: bins}).drop("column")
 
 
 def kpi_summary(master: DataFrame, suppression: DataFrame | None = None) -> DataFrame:

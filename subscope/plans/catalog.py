@@ -289,7 +289,7 @@ def _(s, d):
 
 @query("feature_block_joins")
 def _(s, d):
-    log = event_log(s, d)
+    log = events.stored_rollup(event_log(s, d))
     act = events.activity_agg(log).select("customer_id", "total_events_count", "active_days_90d")
     rec = events.recharge_agg(log).select("customer_id", F.col("recharge_count").cast("double").alias("recharge_count"), "total_recharge")
     return act.join(rec, "customer_id", "left").join(events.preferred_channel(log), "customer_id", "left")
@@ -428,8 +428,7 @@ def _(s, d):
     bins = {
         "churn_risk_score": 20, "propensity_bundle": 15, "propensity_topup": 15, "propensity_reactivation": 15,
     }
-    parts = [reports.histogram(m, c, n).withColumn("score", F.lit(c)) for c, n in bins.items()]
-    return reduce(DataFrame.unionByName, parts)
+    return reports.histograms(m, bins, "score")
 
 
 @query("kpi_summary")

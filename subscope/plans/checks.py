@@ -297,6 +297,7 @@ def _drift(features: list[str]) -> list[str]:
     series = " ".join(
         f"{'+' if k % 2 else '-'} 2e0 * exp({-2 * k * k}e0 * lam * lam)" for k in range(1, 51)
     )
+    ratios = " ".join(f"{'+' if k % 2 else '-'} exp({-2 * (k * k - 1)}e0 * lam * lam)" for k in range(2, 51))
     return [
         f"lr AS ({_unpivot('prev', features)})",
         f"lc AS ({_unpivot('cur', features)})",
@@ -314,7 +315,8 @@ def _drift(features: list[str]) -> list[str]:
         "WINDOW w AS (PARTITION BY feature_name ORDER BY value))",
         "ks AS (SELECT feature_name, max(abs(cast(r AS double) / n_ref - cast(c AS double) / n_cur)) AS ks_statistic, "
         "any_value(n_ref) AS n_ref, any_value(n_cur) AS n_cur FROM ecdf JOIN sr USING (feature_name) JOIN sc USING (feature_name) GROUP BY 1)",
-        f"pv AS (SELECT feature_name, ks_statistic, n_ref, n_cur, CASE WHEN lam < 2e-1 THEN 1e0 ELSE least(1e0, greatest(0e0, 0e0 {series})) END AS ks_p_value "
+        f"pv AS (SELECT feature_name, ks_statistic, n_ref, n_cur, CASE WHEN lam < 2e-1 THEN 1e0 ELSE least(1e0, greatest(0e0, 0e0 {series})) END AS ks_p_value, "
+        f"CASE WHEN lam < 2e-1 THEN 0e0 WHEN lam < 1e0 THEN log10(0e0 {series}) ELSE (ln(2e0) - 2e0 * lam * lam + ln(1e0 {ratios})) / ln(1e1) END AS ks_log10_p_value "
         "FROM (SELECT *, sqrt(cast(n_ref AS double) * n_cur / (n_ref + n_cur)) * ks_statistic AS lam FROM ks))",
         "report AS (SELECT feature_name, psi, ks_statistic, ks_p_value, psi > 2e-1 OR ks_p_value < 5e-2 AS drift_detected, "
         "CASE WHEN psi >= 2e-1 THEN 'severe' WHEN psi >= 1e-1 THEN 'moderate' ELSE 'none' END AS severity, "
@@ -672,7 +674,7 @@ def build() -> dict[str, str]:
             ["mean", "std", "min", "max"], BATCHES),
         "psi": r("SELECT * FROM psi", ["psi"], DRIFT),
         "ks_statistic": r("SELECT feature_name, ks_statistic, n_ref, n_cur FROM pv", ["ks_statistic"], DRIFT),
-        "ks_p_value": r("SELECT feature_name, ks_statistic, ks_p_value FROM pv", ["ks_statistic", "ks_p_value"], DRIFT),
+        "ks_p_value": r("SELECT feature_name, ks_statistic, ks_p_value, ks_log10_p_value FROM pv", ["ks_statistic", "ks_p_value", "ks_log10_p_value"], DRIFT),
         "drift_report": r("SELECT * FROM report", REPORT_DOUBLES, DRIFT),
         "prediction_drift": r("SELECT * REPLACE ('prediction_scores' AS feature_name) FROM report", REPORT_DOUBLES, SCORE_DRIFT),
         "feature_drift_alerts": r(FEATURE_ALERTS, ["metric_value"], DRIFT),

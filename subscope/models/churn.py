@@ -3,51 +3,80 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subscope import constants as K
 from subscope.functions.rules import risk_action, risk_tier
-from subscope.models.matrix import assembler, class_weights, fit_pipeline
+from subscope.models.matrix import assembler, class_weights, training_rows
+from subscope.models.rounds import PATIENCE, best_round, round_aucs
 from subscope.operators.metrics import best_threshold
 from subscope.session import checkpoint_root, materialize
 
 
-def fit_churn(
+class Fit(NamedTuple):
+    """A model of the best rounds, and the held-out AUC after each round that was looked at."""
+
+    model: PipelineModel
+    quality: list[float | None]
+
+
+def fit_rounds(
     marked: DataFrame,
     features: Sequence[str],
     label: str = "churn_label",
     trees: int = 300,
     depth: int = 5,
     step: float = 0.05,
-    early_stop: float = 0.001,
-) -> PipelineModel:
-    """Fit on the rows with ``is_test`` false; the others stop the boosting when they no longer improve.
+    patience: int = PATIENCE,
+) -> Fit:
+    """Boost on the rows with ``is_test`` false until the AUC on the others has not improved for ``patience`` rounds.
 
-    The rarer class is weighted up by the class ratio.
+    Rounds are looked at in growing batches: the first ones of a longer run are those of a shorter one. The model keeps
+    the rounds up to the best. The rarer class is weighted up by the class ratio. Without rows of both classes held out,
+    all rounds are kept.
     """
     checkpoint_root(marked.sparkSession)  # boosting cuts its lineage there
     neg, pos = class_weights(marked, label)
     weight = float(neg) / pos if pos else 1.0
-    rows = materialize(
-        marked.select(
-            *features,
+    vectors = assembler(features)
+    rows = training_rows(
+        vectors.transform(marked).select(
+            "features",
             F.col(label).cast("double").alias("label"),
             "is_test",
             F.when(F.col(label) == 1, weight).otherwise(1.0).alias("row_weight"),
         ),
         "churn-rows",
     )
-    booster = GBTClassifier(
-        featuresCol="features", labelCol="label", weightCol="row_weight",
-        validationIndicatorCol="is_test", validationTol=early_stop,
-        maxIter=trees, maxDepth=depth, stepSize=step, seed=K.SEED,
-    )
-    return fit_pipeline(rows, assembler(features), booster)
+    train, held_out = rows.where("not is_test"), rows.where("is_test")
+
+    def boosted(rounds: int) -> GBTClassificationModel:
+        booster = GBTClassifier(
+            featuresCol="features", labelCol="label", weightCol="row_weight",
+            maxIter=rounds, maxDepth=depth, stepSize=step, seed=K.SEED,
+        )
+        return booster.fit(train)
+
+    rounds = max(1, min(trees, max(2 * patience, trees // 4)))
+    while True:
+        model = boosted(rounds)
+        quality = round_aucs(model, held_out)
+        best = best_round(quality, patience)
+        if rounds >= trees or best + patience <= rounds:
+            break
+        rounds = min(trees, 2 * rounds)
+    return Fit(PipelineModel(stages=[vectors, model if best >= rounds else boosted(best)]), quality)
+
+
+def fit_churn(marked: DataFrame, features: Sequence[str], label: str = "churn_label", **options) -> PipelineModel:
+    """The model of ``fit_rounds``."""
+    return fit_rounds(marked, features, label, **options).model
 
 
 def churn_probability(model: PipelineModel, df: DataFrame, out: str = "churn_risk_score") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -11,8 +12,11 @@ from pyspark.sql import functions as F
 
 from subscope import constants as K
 from subscope.operators.ordering import bin_of, select_ranks
+from subscope.session import materialize
 from subscope.sources.contracts import require_columns
 
+ROWS_PER_TASK = 20_000
+
 
 def assembler(features: Sequence[str], out: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="error")
@@ -24,6 +28,16 @@ def feature_vector(df: DataFrame, features: Sequence[str], out: str = "features"
     return assembler(features, out).transform(df)
 
 
+def training_rows(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table, read in no more tasks than its rows need.
+
+    Boosting runs a job for every level of every tree; over a small table such a job takes as long as its tasks take to
+    be scheduled. A table of many rows keeps its partitions.
+    """
+    stored = materialize(df, name)
+    return stored.coalesce(max(1, math.ceil(stored.count() / ROWS_PER_TASK)))
+
+
 def mark_split(
     df: DataFrame, label: str, fraction: float = K.TEST_FRACTION, seed: int = K.SEED,
     id_col: str = "customer_id",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from subscope.functions.rules import lookup
 from subscope.operators.ordering import running_sums
+from subscope.session import materialize
 
 F1_GRID = [0.3 + 0.05 * i for i in range(11)]
 
@@ -80,6 +82,34 @@ def auc_roc_each(df: DataFrame, scores: Sequence[str], label: str) -> DataFrame:
     return ranked.groupBy("score_name").agg(F.try_divide(F.sum(F.col("pos") * below), pairs).alias("auc_roc"))
 
 
+def quality_each(long: DataFrame, thresholds: Mapping[str, float]) -> DataFrame:
+    """All classification metrics of several models from one table of (model, score, label), one row per model.
+
+    Scores are counted once per (model, score) and ranked together, models side by side.
+    """
+    positive, negative = F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)
+    counted = long.where(F.col("score").isNotNull()).groupBy("model", F.col("score").cast("double").alias("s"))
+    counted = materialize(counted.agg(positive.alias("pos"), negative.alias("neg")), "score-counts")
+    hit = F.col("s") >= lookup(F.col("model"), thresholds, None)
+    totals = counted.groupBy("model").agg(
+        F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.coalesce(F.sum(F.when(hit, F.col("pos"))), F.lit(0)).alias("tp"),
+        F.coalesce(F.sum(F.when(hit, F.col("neg"))), F.lit(0)).alias("fp"),
+    )
+    ranked = running_sums(counted, ["s"], {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}, by=["model"])
+    ranked = ranked.join(F.broadcast(totals), "model")  # one row per model
+    above = F.col("p") - F.col("cum_pos") + F.col("pos")
+    wrong = F.col("q") - F.col("cum_neg") + F.col("neg")
+    won = F.sum(F.col("pos") * (F.col("cum_neg").cast("double") - F.col("neg") / 2.0))
+    p, q, tp, fp = (F.max(c) for c in ("p", "q", "tp", "fp"))
+    names = ("precision", "recall", "f1_score")
+    return ranked.groupBy("model").agg(
+        (p + q).alias("rows"),
+        F.try_divide(won, p.cast("double") * q.cast("double")).alias("auc_roc"),
+        F.try_divide(F.sum(F.col("pos") * F.try_divide(above, above + wrong)), p).alias("average_precision"),
+        *[m.alias(n) for n, m in zip(names, _quality(tp, fp, p - tp))],
+    )
+
+
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """Step-wise average precision over distinct scores from high to low."""
     ranked = _by_score(df, score, label)

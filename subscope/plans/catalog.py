@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from subscope import constants as K
 from subscope.functions import cleaning, rules
-from subscope.models import attribution, churn, clv, matrix, persist, propensity, scoring, segments
+from subscope.models import attribution, churn, clv, evaluation, matrix, persist, propensity, rounds, scoring, segments
 from subscope.operators import (
     alerts, campaigns, drift, encoding, events, explain, metrics, ordering, profiles, reports, value,
 )
@@ -22,9 +22,9 @@ from subscope.plans.fixtures import (
     AMOUNT_COLUMNS, BATCH_FEATURES, DIGITS, PERFORMANCE, QUERY_CUSTOMER, STAMP, UNROUNDED, ZCOLS, batch, event_log, master,
     store,
 )
-from subscope.session import materialize, scratch_path
+from subscope.session import materialize, scratch_path, side_by_side
 from subscope.sources import adapters as A
-from subscope.sources import contracts, readers, sinks
+from subscope.sources import contracts, readers, rollups, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -677,6 +677,16 @@ def _(s, d):
     return flows.feature_store(_raw(s, d), event_log(s, d))
 
 
+@query("feature_store_incremental")
+def _(s, d):
+    """The store from two increments of the log, the later one of its last year."""
+    log, path = event_log(s, d), scratch_path(s, "rollups")
+    late = F.coalesce(F.col("event_date") > F.date_sub(events.reference_dates(log).select("max_date").scalar(), 365), F.lit(False))
+    rollups.add_increment(log.where(~late), path, "first")
+    rollups.add_increment(log.where(late), path, "second")
+    return flows.feature_store(_raw(s, d), rollups.read_rollup(s, path))
+
+
 @query("feature_store_ordinal")
 def _(s, d):
     wide = flows.feature_store_ordinal(_raw(s, d), event_log(s, d))
@@ -702,21 +712,57 @@ def _(s, d):
     return matrix.mark_split(_prof(s, d), "churn_label").select("customer_id", "churn_label", "is_test")
 
 
-_fitted: dict[tuple[str, str], PipelineModel] = {}
+_fitted: dict[tuple[str, str, str], object] = {}
+
+
+def _shared(s: SparkSession, d: str, name: str, fit: Callable[[], object]) -> object:
+    """A model is fitted once per application and folder; its queries share it."""
+    key = (s.sparkContext.applicationId, d, name)
+    found = _fitted.get(key)
+    if found is None:
+        found = _fitted[key] = fit()
+    return found
+
+
+def _churn_fit(s: SparkSession, d: str) -> churn.Fit:
+    m = master(s, d)
+    return _shared(s, d, "churn", lambda: churn.fit_rounds(matrix.mark_split(m, "churn_label"), _features(m)))
 
 
 def _churn_model(s: SparkSession, d: str) -> tuple[PipelineModel, DataFrame, list[str]]:
-    """The model is fitted once per application and folder; its queries share it."""
     m = master(s, d)
-    names = _features(m)
-    key = (s.sparkContext.applicationId, d)
-    if key not in _fitted:
-        _fitted[key] = churn.fit_churn(matrix.mark_split(m, "churn_label"), names)
-    return _fitted[key], m.drop("churn_risk_score"), names
+    return _churn_fit(s, d).model, m.drop("churn_risk_score"), _features(m)
 
 
-@query("churn_model_scores")
-def _(s, d):
+def _segment_model(s: SparkSession, d: str) -> PipelineModel:
+    m = master(s, d)
+    return _shared(s, d, "segments", lambda: segments.fit_segments(m, _features(m)))
+
+
+def _propensity_models(s: SparkSession, d: str) -> dict[str, PipelineModel]:
+    def fit() -> dict[str, PipelineModel]:
+        m = master(s, d)
+        labelled = materialize(value.propensity_labels(m), "labelled")
+
+        def one(offer: str) -> PipelineModel:
+            return propensity.fit_propensity(matrix.stratified_split(labelled, propensity.OFFERS[offer][0])[0], offer, _features(m))
+
+        return dict(zip(propensity.OFFERS, side_by_side([partial(one, offer) for offer in propensity.OFFERS])))
+
+    return _shared(s, d, "propensity", fit)
+
+
+def _clv_model(s: SparkSession, d: str) -> PipelineModel:
+    m = master(s, d)
+    return _shared(s, d, "clv", lambda: clv.fit_clv(m, _features(m)))
+
+
+def _all_models(s: SparkSession, d: str) -> scoring.Models:
+    m = master(s, d)
+    return _shared(s, d, "all", lambda: scoring.fit_all(m, _features(m)))
+
+
+def _churn_scores(s: SparkSession, d: str) -> DataFrame:
     model, m, names = _churn_model(s, d)
     held_out = matrix.mark_split(m, "churn_label").where("is_test")
     factors = explain.top_factor_names(attribution.contribution_columns(names)).alias("top_risk_factors")
@@ -724,6 +770,33 @@ def _(s, d):
     return churn.score_churn(model, m, churn.tuned_threshold(model, held_out)).join(found, "customer_id")
 
 
+def _propensity_scores(s: SparkSession, d: str) -> DataFrame:
+    m = master(s, d)
+    parts = [
+        propensity.score_propensity(model, m).withColumn("offer_type", F.lit(offer)) for offer, model in _propensity_models(s, d).items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _clv_scores(s: SparkSession, d: str) -> DataFrame:
+    m = master(s, d)
+    return clv.score_clv(_clv_model(s, d), m.drop("clv_90d"), value.clv_thresholds(m))
+
+
+def _fold_r2(s: SparkSession, d: str) -> list[float]:
+    m = master(s, d)
+    return _shared(s, d, "folds", lambda: clv.fold_r2(m, _features(m)))
+
+
+def _segmented(s: SparkSession, d: str) -> DataFrame:
+    return segments.assign_segments(_segment_model(s, d), master(s, d).drop("cluster"))
+
+
+@query("churn_model_scores")
+def _(s, d):
+    return _churn_scores(s, d)
+
+
 @query("churn_attribution")
 def _(s, d):
     model, m, names = _churn_model(s, d)
@@ -754,9 +827,7 @@ def _(s, d):
 
 @query("kmeans_segments")
 def _(s, d):
-    m = master(s, d)
-    model = segments.fit_segments(m, _features(m))
-    return segments.assign_segments(model, m.drop("cluster")).select(
+    return _segmented(s, d).select(
         "customer_id", "cluster", "segment_label", "description", "recommended_campaign"
     )
 
@@ -782,22 +853,12 @@ def _(s, d):
 
 @query("propensity_scores")
 def _(s, d):
-    m = master(s, d)
-    labelled = materialize(value.propensity_labels(m), "labelled")
-    names = _features(m)
-    parts = []
-    for offer, (label, _) in propensity.OFFERS.items():
-        train, _ = matrix.stratified_split(labelled, label)
-        model = propensity.fit_propensity(train, offer, names)
-        parts.append(propensity.score_propensity(model, m).withColumn("offer_type", F.lit(offer)))
-    return reduce(DataFrame.unionByName, parts)
+    return _propensity_scores(s, d)
 
 
 @query("clv_scores")
 def _(s, d):
-    m = master(s, d)
-    model = clv.fit_clv(m, _features(m))
-    return clv.score_clv(model, m.drop("clv_90d"), value.clv_thresholds(m))
+    return _clv_scores(s, d)
 
 
 @query("cv_r2")
@@ -808,7 +869,132 @@ def _(s, d):
 
 
 @query("score_all_models")
+def _(s, d):
+    return scoring.score_all(_all_models(s, d), master(s, d))
+
+
+@query("model_evaluation")
+def _(s, d):
+    return evaluation.evaluate(_all_models(s, d), master(s, d))
+
+
+# what must hold for fitted models, whatever they have learned: counts that another engine can work out
+
+
+def _counts(df: DataFrame, **rules: Column) -> DataFrame:
+    """Number of customers, and of those for whom each rule holds."""
+    return df.agg(F.count(F.lit(1)).alias("customers"), *[F.count_if(rule).alias(name) for name, rule in rules.items()])
+
+
+@query("model_roundtrip_check")
+def _(s, d):
+    model, m, _ = _churn_model(s, d)
+    path = scratch_path(s, "model")
+    persist.save_model(model, path)
+    before, after = churn.score_churn(model, m), churn.score_churn(persist.load_model(path), m)
+    both = before.alias("a").join(after.alias("b"), "customer_id", "full")
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in before.columns if c != "customer_id"])
+    return _counts(both, unchanged=same)
+
+
+@query("churn_model_check")
+def _(s, d):
+    fit, m = _churn_fit(s, d), master(s, d).drop("churn_risk_score")
+    kept, quality = len(fit.model.stages[-1].treeWeights), fit.quality
+    score, cut = F.col("churn_risk_score"), churn.tuned_threshold(fit.model, matrix.mark_split(m, "churn_label").where("is_test"))
+    found = _counts(
+        churn.score_churn(fit.model, m, cut), in_range=score.between(0, 1), flag_follows=F.col("churn_predicted") == (score >= cut),
+        tier_follows=F.col("risk_tier") == rules.risk_tier(score), action_follows=F.col("recommended_action") == rules.risk_action(score),
+    )
+    upto, after = quality[:kept], quality[kept : kept + rounds.PATIENCE]
+    patient = len(after) == rounds.PATIENCE or len(quality) == 300
+    return found.withColumns(
+        {
+            "no_better_round": F.lit(all(q < upto[-1] for q in upto[:-1]) and all(q <= upto[-1] for q in after)),
+            "patience_kept": F.lit(patient),
+        }
+    )
+
+
+@query("churn_attribution_check")
+def _(s, d):
+    model, m, _ = _churn_model(s, d)
+    found = attribution.attribute(model, m).join(churn.churn_probability(model, m).select("customer_id", "churn_risk_score"), "customer_id")
+    margin = F.col("base_value") + F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c)
+    return _counts(found, adds_up=F.abs(1 / (1 + F.exp(-2 * margin)) - F.col("churn_risk_score")) < 1e-9)
+
+
+@query("kmeans_segments_check")
+def _(s, d):
+    model = _segment_model(s, d)
+    rows = model.transform(master(s, d).drop("cluster")).select("cluster", vector_to_array("features").alias("x"))
+    centres = [F.array(*[F.lit(float(v)) for v in c]) for c in model.stages[-1].clusterCenters()]
+    apart = F.array(*[F.aggregate(F.zip_with("x", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v) for c in centres])
+    found = _counts(rows, at_nearest=F.element_at(apart, F.col("cluster") + 1) <= F.array_min(apart) + 1e-6)
+    texts = _segmented(s, d).agg(F.count_distinct("cluster").alias("clusters"), F.count_distinct("segment_label").alias("labels"))
+    return found.withColumns({c: texts.select(c).scalar() for c in ("clusters", "labels")})
+
+
+@query("k_selection_check")
 def _(s, d):
     m = master(s, d)
-    models = scoring.fit_all(m, _features(m))
-    return scoring.score_all(models, m)
+    names = _features(m)
+    found = segments.k_selection(m, names)
+    total = sum(m.agg(*[F.var_pop(c) * F.count(c) for c in names]).first())
+    best = F.max_by("is_best", F.struct("silhouette", -F.col("k")))
+    return found.agg(
+        F.min("k").alias("smallest"), F.max("k").alias("largest"), F.count_if("is_best").alias("best"), best.alias("best_on_top"),
+        F.count_if(F.col("inertia").between(0, total)).alias("below_total"), F.count_if(F.abs("silhouette") <= 1).alias("in_range"),
+    )
+
+
+@query("propensity_scores_check")
+def _(s, d):
+    score, rank, on = F.col("propensity_score"), F.col("priority_rank"), F.col("targetable")
+    return _propensity_scores(s, d).groupBy("offer_type").agg(
+        F.count(F.lit(1)).alias("customers"), F.count_if(score.between(0, 1)).alias("in_range"),
+        F.count_if(on == (score >= K.PROPENSITY_THRESHOLD)).alias("flag_follows"), F.count_if(on == (rank > 0)).alias("rank_follows"),
+        (F.coalesce(F.max(F.when(on, rank)), F.lit(0)) - F.count_distinct(F.when(on, rank))).alias("gaps"),
+    )
+
+
+@query("clv_scores_check")
+def _(s, d):
+    cut, v = value.clv_thresholds(master(s, d)), F.col("clv_90d")
+    return _counts(
+        _clv_scores(s, d), not_negative=v >= 0, tier_follows=F.col("clv_tier") == rules.clv_tier(v, *(cut[p] for p in (0.5, 0.75, 0.9))),
+        budget_follows=F.col("retention_budget_tier") == rules.lookup(F.col("clv_tier"), K.TIER_BUDGET, "Minimal"),
+        month_follows=F.abs(F.col("monthly_arpu_estimate") * 3 - v) < 1e-6,
+    )
+
+
+@query("cv_r2_check")
+def _(s, d):
+    found = _fold_r2(s, d)
+    folds = matrix.contiguous_folds(master(s, d)).groupBy("fold").agg(
+        F.count(F.lit(1)).alias("customers"), F.min("customer_id").alias("first_id"), F.max("customer_id").alias("last_id")
+    )
+    return folds.withColumn("r2_in_range", F.get(F.array(*[F.lit(r <= 1) for r in found]), F.col("fold")))
+
+
+@query("score_all_models_check")
+def _(s, d):
+    models, m = _all_models(s, d), master(s, d)
+    alone = churn.churn_probability(models.churn, m.drop("churn_risk_score")).select("customer_id", F.col("churn_risk_score").alias("alone"))
+    score, v = F.col("churn_risk_score"), F.col("predicted_clv_90d")
+    return _counts(
+        scoring.score_all(models, m).join(alone, "customer_id"), same_alone=score == F.col("alone"),
+        flag_follows=F.col("churn_predicted") == (score >= models.churn_threshold), has_segment=F.col("ml_segment").isNotNull(),
+        in_range=F.greatest("propensity_bundle", "propensity_topup", "propensity_reactivation") <= 1,
+        tier_follows=F.col("clv_tier") == rules.clv_tier(v, *(models.clv_thresholds[p] for p in (0.5, 0.75, 0.9))),
+    )
+
+
+@query("model_evaluation_check")
+def _(s, d):
+    found = evaluation.evaluate(_all_models(s, d), master(s, d))
+    shares = [c for c in evaluation.METRICS if c not in ("mae", "rmse", "r2", "silhouette")]
+    fits = [F.coalesce(F.col(c).between(0, 1), F.lit(True)) for c in shares]
+    fits += [F.coalesce(F.col("r2") <= 1, F.lit(True)), F.coalesce(F.abs("silhouette") <= 1, F.lit(True))]
+    fits += [F.coalesce(F.col("rmse") >= F.col("mae"), F.lit(True))]
+    return found.select("model", "rows", reduce(lambda a, b: a & b, fits).alias("in_range"))

@@ -417,6 +417,45 @@ def _silhouette() -> str:
     )
 
 
+def _components(rounds: int = 1500) -> str:
+    """Scores on the first two eigenvectors of the correlations, found by repeated multiplication, the largest loading positive."""
+    n = len(MATRIX)
+    z = ", ".join(f"CASE WHEN s{i} > 0 THEN (cast({c} AS double) - m{i}) / s{i} ELSE 0e0 END" for i, c in enumerate(MATRIX))
+    stats = ", ".join(f"avg({c}) AS m{i}, stddev_samp({c}) AS s{i}" for i, c in enumerate(MATRIX))
+
+    def power(name: str, matrix: str) -> str:
+        return (
+            f"{name} AS (SELECT 0 AS k, [1e0 + i / 7e0 FOR i IN range({n})] AS v UNION ALL "
+            "SELECT k + 1, list_transform(w, lambda x: x / size) FROM (SELECT k, w, sqrt(list_inner_product(w, w)) AS size FROM "
+            f"(SELECT k, list_transform(m, lambda r: list_inner_product(r, v)) AS w FROM {name}, {matrix} WHERE k < {rounds}))), "
+            f"{name}_end AS (SELECT list_transform(v, lambda x: x * CASE WHEN list_max(v) >= -list_min(v) THEN 1 ELSE -1 END) AS v FROM {name} WHERE k = {rounds})"
+        )
+
+    return (
+        f"WITH RECURSIVE zs AS (SELECT {stats} FROM master), zm AS (SELECT customer_id, [{z}] AS x FROM master, zs), "
+        f"ij AS (SELECT a.i, b.i AS j FROM (SELECT unnest(range(1, {n + 1})) AS i) AS a, (SELECT unnest(range(1, {n + 1})) AS i) AS b), "
+        "cov AS (SELECT i, j, sum(x[i] * x[j]) / (count(*) - 1) AS c FROM zm, ij GROUP BY 1, 2), "
+        "mat AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM cov GROUP BY 1)), "
+        f"{power('first', 'mat')}, "
+        "value AS (SELECT v, m, list_inner_product(v, list_transform(m, lambda r: list_inner_product(r, v))) AS l FROM first_end, mat), "
+        f"rest AS (SELECT [[m[i][j] - l * v[i] * v[j] FOR j IN range(1, {n + 1})] FOR i IN range(1, {n + 1})] AS m FROM value), "
+        f"{power('second', 'rest')} "
+        "SELECT customer_id, list_inner_product(x, a.v) AS pc1, list_inner_product(x, b.v) AS pc2 FROM zm, first_end AS a, second_end AS b"
+    )
+
+
+# counts of customers for whom a rule holds, and what else must be true of a fitted model
+MODEL_RULES = {
+    "model_roundtrip_check": {"unchanged": "count(*)"},
+    "churn_model_check": dict.fromkeys(["in_range", "flag_follows", "tier_follows", "action_follows"], "count(*)")
+    | dict.fromkeys(["no_better_round", "patience_kept"], "true"),
+    "churn_attribution_check": {"adds_up": "count(*)"},
+    "kmeans_segments_check": {"at_nearest": "count(*)", "clusters": "6", "labels": "6"},
+    "clv_scores_check": dict.fromkeys(["not_negative", "tier_follows", "budget_follows", "month_follows"], "count(*)"),
+    "score_all_models_check": dict.fromkeys(["same_alone", "flag_follows", "has_segment", "in_range", "tier_follows"], "count(*)"),
+}
+
+
 MATRIX = [
     c
     for c in ["tenure_months", "monthly_charges", "total_charges", *K.YES_NO_COLUMNS, *K.ADD_ON_COLUMNS, *ZERO_FILLED]
@@ -695,12 +734,33 @@ def build() -> dict[str, str]:
         "rfm_behaviour_store": r("SELECT * FROM beh", VALUE_DOUBLES, VALUE),
         "campaign_all": r(ALL_LISTS, LIST_DOUBLES, LISTS),
     }
+    out["feature_store_incremental"] = out["feature_store_batch"]
     out["feature_store_roundtrip"] = r("SELECT * FROM store", STORE_DOUBLES, STORE2Y)
     out["opportunity_export"] = r(_list_sql("bundle_upsell", 5000), LIST_DOUBLES, LISTS)
     out["numeric_feature_matrix"] = r(
         "SELECT customer_id, " + ", ".join(f"cast({c} AS double) AS {c}" for c in MATRIX) + " FROM master",
         MATRIX, MASTER)
     out["silhouette"] = r(_silhouette(), ["silhouette"], Z)
+    out["pca_2d"] = r(_components(), ["pc1", "pc2"], MASTER)
+    for name, rules in MODEL_RULES.items():
+        out[name] = f"SELECT count(*) AS customers, {', '.join(f'{v} AS {n}' for n, v in rules.items())} FROM customer"
+    out["k_selection_check"] = "SELECT 3 AS smallest, 9 AS largest, 1 AS best, true AS best_on_top, 7 AS below_total, 7 AS in_range"
+    out["propensity_scores_check"] = (
+        "SELECT offer_type, count(*) AS customers, count(*) AS in_range, count(*) AS flag_follows, count(*) AS rank_follows, 0 AS gaps "
+        "FROM customer, (SELECT unnest(['bundle_upgrade', 'voice_topup', 'reactivation']) AS offer_type) GROUP BY 1"
+    )
+    # equal blocks in the order of the ids as text, the first ones one row larger
+    out["cv_r2_check"] = (
+        "SELECT fold, count(*) AS customers, min(id) AS first_id, max(id) AS last_id, true AS r2_in_range FROM "
+        "(SELECT id, cast(CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1) ELSE (i - n % 5) // (n // 5) END AS int) AS fold FROM "
+        "(SELECT cast(c_custkey AS string) AS id, row_number() OVER (ORDER BY cast(c_custkey AS string)) - 1 AS i, count(*) OVER () AS n FROM customer)) GROUP BY 1"
+    )
+    held_out = "SELECT cast(sum(floor(n * 2e-1 + 5e-1)) AS bigint) AS k FROM (SELECT churn_label, count(*) AS n FROM prof GROUP BY 1)"
+    out["model_evaluation_check"] = (
+        f"WITH {RAW}, {PROF} SELECT model, k AS rows, true AS in_range FROM ({held_out}), "
+        "(SELECT unnest(['churn', 'bundle_upgrade', 'voice_topup', 'reactivation']) AS model) "
+        "UNION ALL SELECT unnest(['clv', 'segments']), count(*), true FROM customer"
+    )
     out["schema_contract"] = f"WITH {RAW} " + out["schema_contract"]
     for kind in K.CAMPAIGNS:
         out[f"campaign_{kind}"] = r(_list_sql(kind, 5000), LIST_DOUBLES, LISTS)

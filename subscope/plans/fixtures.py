@@ -48,11 +48,16 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.adapt(spark, sf_dir, A.EVENT_LOG)
 
 
+def rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup of the whole log, which the store and both monitoring windows are derived from."""
+    return _once(spark, sf_dir, "rollup", lambda: events.channel_rollup(event_log(spark, sf_dir)))
+
+
 def batch(spark: SparkSession, sf_dir: str, earlier: bool) -> DataFrame:
     """Features, scores and label of the last window of the log, or of the one before it."""
 
     def build() -> DataFrame:
-        log = event_log(spark, sf_dir)
+        log = rollup(spark, sf_dir)
         if earlier:
             last = events.reference_dates(log).select("max_date").scalar()
             log = log.where(F.col("event_date") < F.date_sub(last, WINDOW_DAYS))
@@ -67,7 +72,7 @@ def store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature store over the whole log."""
     return _once(
         spark, sf_dir, "store",
-        lambda: feature_store(A.adapt(spark, sf_dir, A.PROFILES), event_log(spark, sf_dir)),
+        lambda: feature_store(A.adapt(spark, sf_dir, A.PROFILES), rollup(spark, sf_dir)),
     )
 
 

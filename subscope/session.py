@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
@@ -46,3 +52,10 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """How many ranges a global ordering is cut into: as many as a shuffle has partitions."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def side_by_side(tasks: Sequence[Callable[[], T]], limit: int = 8) -> list[T]:
+    """The results of independent driver functions, such as fits over one stored table, whose jobs then share the executors."""
+    inherit = inheritable_thread_target(SparkSession.active())
+    with ThreadPool(max(1, min(limit, len(tasks)))) as pool:
+        return pool.map(lambda task: task(), [inherit(task) for task in tasks], chunksize=1)

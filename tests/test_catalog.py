@@ -9,7 +9,7 @@ from subscope.plans import catalog, checks
 QUERIES, CHECKS = catalog.QUERIES, checks.build()
 NO_CHECK = {
     "churn_model_scores", "churn_attribution", "model_roundtrip", "kmeans_segments", "k_selection",
-    "churn_attribution_summary", "churn_explanation", "pca_2d", "propensity_scores", "clv_scores", "cv_r2", "score_all_models",
+    "churn_attribution_summary", "churn_explanation", "model_evaluation", "propensity_scores", "clv_scores", "cv_r2", "score_all_models",
 }
 
 

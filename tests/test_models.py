@@ -6,9 +6,10 @@ from math import factorial
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from subscope.models import attribution, churn, clv, matrix, persist, propensity, scoring, segments
+from subscope.models import attribution, churn, clv, evaluation, matrix, persist, propensity, rounds, scoring, segments
 from subscope.operators import encoding, metrics, value
 from subscope import constants as K
 
@@ -104,6 +105,60 @@ def test_contributions_are_shapley_values(spark, planted, churn_model, tmp_path)
             assert got[r.customer_id][i] == pytest.approx(want, abs=1e-9)
 
 
+def test_patience():
+    rising = [0.5 + i / 1000 for i in range(50)]
+    assert rounds.best_round(rising) == 50
+    assert rounds.best_round([*rising, *[0.52] * 19, 0.9]) == 70  # the 20th round is better
+    assert rounds.best_round([*rising, *[0.549] * 20, 0.9]) == 50  # too late, and equal ones do not count
+    assert rounds.best_round([0.7, 0.7, 0.6]) == 1
+    assert rounds.best_round([None, None]) == 2 and rounds.best_round([None, 0.6, 0.5], patience=1) == 2
+
+
+def test_round_aucs(planted, churn_model):
+    """The AUC after each round, against the model of so many rounds."""
+    vectors, trees = churn_model.stages
+    held_out = vectors.transform(matrix.mark_split(planted, "churn_label").where("is_test")).withColumnRenamed("churn_label", "label")
+    got = rounds.round_aucs(trees, held_out.select("features", "label"), ranges=1 << 20)
+    x = np.array([r.features.toArray() for r in held_out.select("features").collect()])
+    y = np.array([r.label for r in held_out.select("label").collect()])
+    each = np.array([[w * t.predict(r) for t, w in zip(trees.trees, trees.treeWeights)] for r in map(Vectors.dense, x)])
+    assert len(got) == len(trees.treeWeights)
+    for k, auc in enumerate(got, 1):
+        s = each[:, :k].sum(axis=1).round(9)
+        wins = (s[y == 1][:, None] > s[y == 0]).sum() + 0.5 * (s[y == 1][:, None] == s[y == 0]).sum()
+        assert auc == pytest.approx(wins / ((y == 1).sum() * (y == 0).sum()), abs=1e-9)
+    assert rounds.round_aucs(trees, held_out.select("features", "label").where("label = 1")) == [None] * len(got)
+
+
+def test_boosting_stops_by_patience(planted):
+    """Every round up to the best and ``patience`` more are looked at, and the best one is kept."""
+    marked = matrix.mark_split(planted, "churn_label")
+    fit = churn.fit_rounds(marked, FEATURES, trees=24, depth=3, step=0.3, patience=4)
+    kept = fit.model.stages[-1].getNumTrees
+    assert kept == rounds.best_round(fit.quality, 4) and (len(fit.quality) == 24 or len(fit.quality) >= kept + 4)
+    whole = churn.fit_rounds(marked.where("not is_test"), FEATURES, trees=5, depth=2)
+    assert whole.model.stages[-1].getNumTrees == 5 and whole.quality == [None] * 5
+
+
+def test_evaluation(master):
+    names = encoding.numeric_columns(master, [*K.NON_FEATURES, "cluster"])
+    models = scoring.fit_all(master, names, churn_trees=2, forest_trees=2, clv_trees=2, n_init=1)
+    got = pytest.rows(evaluation.evaluate(models, master), "model")
+    assert set(got) == {"churn", *propensity.OFFERS, "clv", "segments"}
+    held_out = matrix.mark_split(master, "churn_label").where("is_test")
+    report = metrics.classification_report(
+        churn.churn_probability(models.churn, held_out.drop("churn_risk_score")), "churn_risk_score", "churn_label", models.churn_threshold
+    )
+    assert {k: got["churn"][k] for k in report.columns} == pytest.approx(report.first().asDict())
+    assert got["clv"]["rmse"] >= got["clv"]["mae"] > 0 and got["clv"]["rows"] == master.count() and -1 <= got["segments"]["silhouette"] <= 1
+
+
+def test_components_do_not_depend_on_order(master):
+    cols = ["arpu", "tenure_months", "days_since_last_recharge", "engagement_score"]
+    a, b = (pytest.frame(segments.pca_2d(df, c), "customer_id") for df, c in ((master, cols), (master.repartition(3), cols[::-1])))
+    assert np.allclose(a[["pc1", "pc2"]], b[["pc1", "pc2"]], atol=1e-9)
+
+
 def test_unknown_offer(planted):
     with pytest.raises(ValueError):
         propensity.fit_propensity(planted, "nope", FEATURES)

@@ -178,3 +178,65 @@ def test_top_factors_direction(spark):
 def test_mean_contributions(spark):
     found = spark.createDataFrame([([1.0, -2.0],), ([3.0, 0.0],)], "contributions array<double>")
     assert {r.feature_name: r.mean_abs_contribution for r in explain.mean_contributions(found, ["a", "b"]).collect()} == {"a": 2.0, "b": 1.0}
+
+
+def test_rollup_store_grows_by_increments(spark, small, tmp_path):
+    """Two increments, one written twice, with a late event of an old day and one without a date, give the features of the whole log."""
+    from subscope.sources import rollups
+
+    _, log = small
+    extra = spark.createDataFrame([("1", None, "RECHARGE", 9.0, None, None, "APP", None, "False")], log.schema)
+    log = log.union(extra)
+    old = F.coalesce(F.col("event_date") < "2026-07-10", F.lit(True)) & (F.col("customer_id") != "3")
+    path, packed = str(tmp_path / "store"), str(tmp_path / "packed")
+    for name, part in (("a", log.where(old)), ("b", log.where(~old)), ("b", log.where(~old))):
+        rollups.add_increment(part, path, name)
+    rollups.compact(spark, path, packed)
+    want = frame_of(events.event_features(log))
+    for folder in (path, packed):
+        assert frame_of(events.event_features(rollups.read_rollup(spark, folder))) == want
+    window = events.event_features(rollups.read_rollup(spark, path, since="2026-07-15"), "2026-07-28")
+    assert frame_of(window) == frame_of(events.event_features(log.where("event_date >= '2026-07-15'"), "2026-07-28"))
+
+
+def frame_of(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_metrics_of_several_models_together(spark):
+    rows = [("a" if i % 2 else "b", (i * 37 % 50) / 50, int(i * 7 % 11 < 4)) for i in range(200)]
+    long = spark.createDataFrame([*rows, ("a", None, 1), ("c", 0.5, 1)], "model string, score double, label int")
+    got = pytest.rows(metrics.quality_each(long, {"a": 0.4, "b": 0.6, "c": 0.1}), "model")
+    for model, cut in (("a", 0.4), ("b", 0.6)):
+        one = long.where(F.col("model") == model)
+        assert got[model]["rows"] == 100
+        assert got[model]["auc_roc"] == pytest.approx(metrics.auc_roc(one, "score", "label").first()[0])
+        assert got[model]["average_precision"] == pytest.approx(metrics.average_precision(one, "score", "label").first()[0])
+        report = metrics.classification_report(one.where("score is not null"), "score", "label", cut).first().asDict()
+        assert {k: got[model][k] for k in report} == pytest.approx(report)
+    assert got["c"]["auc_roc"] is None and got["c"]["recall"] == 1.0
+
+
+def test_small_p_values_stay_apart(spark):
+    from subscope.functions.stats import ks_log10_p_value, ks_p_value
+
+    df = spark.createDataFrame([(0.0, 100, 100), (0.05, 100, 100), (0.15, 100, 100), (0.3, 10_000, 10_000), (0.31, 10_000, 10_000), (0.9, 10**6, 10**6)], "s double, n long, m long")
+    got = df.select(ks_p_value(F.col("s"), F.col("n"), F.col("m")).alias("p"), ks_log10_p_value(F.col("s"), F.col("n"), F.col("m")).alias("l")).collect()
+    assert [r.l for r in got] == sorted((r.l for r in got), reverse=True) and got[3].l > got[4].l > got[5].l < -300_000
+    for r in got[:4]:
+        assert 10**r.l == pytest.approx(r.p, rel=1e-9)
+    assert got[5].p == 0.0
+
+
+def test_histograms_of_several_columns(spark):
+    df = spark.createDataFrame([(1.0, 5, None), (2.0, 5, None), (4.0, None, None)], "a double, b int, c double")
+    got = {(r.column, r.bin): (r.bin_start, r.n) for r in reports.histograms(df, {"a": 3, "b": 2, "c": 1}).collect()}
+    assert got == {("a", 0): (1.0, 1), ("a", 1): (2.0, 1), ("a", 2): (3.0, 1), ("b", 0): (4.5, 0), ("b", 1): (5.0, 2), ("c", 0): (None, 0)}
+
+
+@pytest.mark.parametrize("size", [0, 3, 60])
+def test_lists_together_and_alone(master, size):
+    """A list is the same alone and among the others, cut or whole."""
+    together = campaigns.all_campaigns(master, max_size=size).collect()
+    alone = [r for k in K.CAMPAIGNS for r in campaigns.campaign(master, k, max_size=size).collect()]
+    assert together == alone

@@ -53,6 +53,22 @@ def test_log_is_aggregated_before_it_moves(spark, sf_dir):
     assert "rangepartitioning" not in text and "SinglePartition" not in text
 
 
+def test_log_is_joined_and_scanned_once(spark, sf_dir):
+    """Features of the log as it comes: its rollup scans each table once (orders twice, as both kinds of events have them),
+    and all else reads the rollup."""
+    log = fixtures.event_log(spark, sf_dir)
+    assert plan(events.channel_rollup(log)).count("Scan parquet") == 3
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    text = plan(events.event_features(log))
+    assert "Scan parquet" in text and "orders.parquet" not in text and "lineitem.parquet" not in text
+    assert plan(events.recharge_trend(log)).count("Scan parquet") == 1
+
+
+def test_lists_share_one_scan(spark, master):
+    text = plan(campaigns.all_campaigns(master))
+    assert text.count("Scan parquet") == 1
+
+
 def test_long_list_has_no_single_task_limit(master):
     text = plan(campaigns.top_n(master, "clv_90d", 20))
     assert "TakeOrderedAndProject" not in text and "GlobalLimit" not in text

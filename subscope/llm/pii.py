@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame
 from . import common, crf, spans
 
 
+LEAST = 5  # characters of a tagged span
+
+
 def _digits(text: str) -> str:
     return re.sub("[^0-9]", "", text)
 
@@ -29,13 +32,41 @@ def luhn(digits: str) -> bool:
 
 
 # fixed values: the base patterns
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+ADDRESS = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+
+
+def emails(text: str) -> Iterator[re.Match]:
+    """The matches of EMAIL: what stands before an @ is taken back to its beginning, so a long run without one is passed once."""
+    whole, inside = re.compile(EMAIL), re.compile("[A-Za-z0-9._%+-]").match
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and inside(text[start - 1]):
+            start -= 1
+        m = whole.match(text, start) if start < at else None
+        if m:
+            yield m
+            done = m.end()
+        at = text.find("@", max(done, at + 1))
+
+
+def addresses(text: str) -> Iterator[re.Match]:
+    """The matches of ADDRESS: a chain of numbers joined by dots is read once and holds one match for each four of them."""
+    whole, number = re.compile(ADDRESS), re.compile("[0-9]++")
+    for chain in re.finditer(r"[0-9]++(?:\.[0-9]++)*+", text):
+        starts = [m.start() for m in number.finditer(text, *chain.span())] if chain[0].count(".") >= 3 else []
+        for k in range(0, len(starts) - 3, 4):
+            yield whole.match(text, starts[k])
+
+
 KINDS = (
-    spans.Kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]", lambda m: True),
+    spans.Kind("email", EMAIL, r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]", lambda m: True, find=emails),
     spans.Kind(
-        "ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]",
-        lambda m: all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split("."))),
+        "ip", ADDRESS, r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]",
+        lambda m: all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split("."))), find=addresses,
     ),
-    spans.Kind("card", r"[0-9]([\x20-]?[0-9])+", r"[0-9]([\x20-]?[0-9]){12}", lambda m: 13 <= len(_digits(m[0])) <= 19 and luhn(_digits(m[0]))),
+    spans.Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9]([\x20-]?[0-9]){12}", lambda m: 13 <= len(_digits(m[0])) <= 19 and luhn(_digits(m[0]))),
     spans.Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(_digits(m[0])) <= 15),
 )
 NAMES = tuple(k.name for k in KINDS)
@@ -98,18 +129,16 @@ def train(docs: DataFrame, rows: int = spans.SAMPLE, labelled=LABELLED) -> crf.M
     return crf.Model(labels, features, 8).fit(examples)
 
 
-def _kept(name: str, value: str) -> bool:
-    return len(value) >= 5
-
-
-def scan(docs: DataFrame, model: crf.Model | None = None, text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, model: crf.Model | None = None, text_col: str = "text", least: int = LEAST) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_tagged), one row per row of ``docs``.
 
     ``spans`` joins kind:start:end of base spans and, where no base span covers them, of tagged ones, by kind, then start.
-    A null text is empty; ids may be null or repeated; a text of any length is scanned whole.
+    Tagged spans of fewer than ``least`` characters are left out. A null text is empty; ids may be null or repeated; a text of
+    any length is scanned whole, in time linear in it.
     """
     rows = spans.prepared(docs, text_col)
     model = model or train(rows)
+    kept = lambda _, value: len(value) >= least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.bounded(batches):
@@ -117,7 +146,7 @@ def scan(docs: DataFrame, model: crf.Model | None = None, text_col: str = "text"
             counts = np.zeros((n, len(KINDS)), dtype=np.int64)
             tagged = np.zeros(n, dtype=np.int64)
             sha, joined = [spans.digest([])] * n, [""] * n
-            for row, own, more in spans.found(model, KINDS, batch.column(1), NAMES, _kept):
+            for row, own, more in spans.found(model, KINDS, batch.column(1), NAMES, kept):
                 more = spans.beside(own, more)
                 for k, *_ in own:
                     counts[row, k] += 1

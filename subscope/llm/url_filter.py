@@ -50,21 +50,61 @@ def address(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host(url), F.regexp_replace(path(url), "/+$", ""), query))
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """(from_url, to_url): canonical links and immediate refreshes in the html, absolute or relative to the page."""
-    tag = F.regexp_extract(F.col("html"), r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    tag2 = F.regexp_extract(F.col("html"), r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
-    target = F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1)
-    target2 = F.regexp_extract(tag2, r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)""", 1)
-    found = pages.where(F.col("html").rlike("(?i)canonical|http-equiv")).select("url", F.explode(F.array(target, target2)).alias("to"))
-    origin = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    scheme = F.regexp_extract("url", r"(?s)^(.*?:)//", 1)
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, quoted or not; empty where there is none."""
+    pattern = r"""(?is)[\s"'/]""" + name + r"""\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))"""
+    return F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
+
+
+def resolved(base: Column, to: Column) -> Column:
+    """A link's target as an address: absolute, or relative to scheme, host, folder or query of the page it stands on.
+
+    Null for fragments of the page itself and for schemes without an authority, such as mailto.
+    """
+    authority = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    own = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    folder = F.concat(F.regexp_extract(own, r"(?s)^(.*)/", 1), F.lit("/"))
     absolute = (
-        F.when(F.col("to").contains("://"), F.col("to"))
-        .when(F.col("to").startswith("//"), F.concat(scheme, "to"))
-        .when(F.col("to").startswith("/"), F.concat(origin, "to"))
+        F.when(to.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*+://"), to)
+        .when(to.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*+:"), F.lit(None))
+        .when(to.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), to))
+        .when(to.startswith("/"), F.concat(authority, to))
+        .when(to.startswith("?"), F.concat(authority, own, to))
+        .when(to.startswith("#"), F.lit(None))
+        .otherwise(F.concat(authority, folder, to))
     )
-    return found.where(F.col("to") != "").select(F.col("url").alias("from_url"), absolute.alias("to_url")).where(F.col("to_url").isNotNull())
+    return _without_dots(absolute)
+
+
+def _without_dots(url: Column) -> Column:
+    """``.`` and ``..`` steps of the path taken."""
+    own = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*+/?+([^?#]*)", 1)
+    steps = F.aggregate(
+        F.split(own, "/"), F.array().cast("array<string>"),
+        lambda done, step: F.when(step == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+        .when(step == ".", done).otherwise(F.concat(done, F.array(step))),
+    )
+    rest = F.regexp_extract(url, r"(?s)^[^?#]*+(.*)", 1)
+    short = F.concat(F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), F.lit("/"), F.array_join(steps, "/"), rest)
+    return F.when(own.rlike(r"(?s)(^|/)\.\.?(/|$)"), short).otherwise(url)
+
+
+def links(pages: DataFrame) -> DataFrame:
+    """(from_url, to_url): every canonical link and refresh in the html, resolved against the page's address.
+
+    A canonical link is a link tag with ``canonical`` among the words of its rel, a refresh a meta tag with the target in its
+    content. The entity for & is decoded; base tags are not looked at. Pages without an address have no links.
+    """
+    html = F.col("html")
+    tags = lambda name: F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b[^>]*+>"), F.lit(0))
+    canonical = F.filter(tags("link"), lambda t: _attribute(t, "rel").rlike(r"(?is)(^|\s)canonical(\s|$)"))
+    refresh = F.filter(tags("meta"), lambda t: F.lower(F.trim(_attribute(t, "http-equiv"))) == "refresh")
+    target = lambda t: F.regexp_extract(_attribute(t, "content"), r"""(?is)\burl\s*=\s*["']?\s*([^"'\s]++)""", 1)
+    targets = F.concat(F.transform(canonical, lambda t: F.trim(_attribute(t, "href"))), F.transform(refresh, target))
+    found = pages.where(html.rlike("(?i)canonical|http-equiv") & F.col("url").contains("://"))
+    found = found.select("url", F.explode(targets).alias("to")).where(F.col("to") != "")
+    to = F.regexp_replace("to", r"(?i)&(?:amp|#38|#x26);", "&")
+    return found.select(F.col("url").alias("from_url"), resolved(F.col("url"), to).alias("to_url")).where(F.col("to_url").isNotNull())
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+from urllib.parse import urljoin
 
 import pytest
 
@@ -113,6 +115,21 @@ def test_address_parts_of_any_length():
     assert [s for k, s, *_ in spans.base(pii.KINDS, text, [True] * 4) if k == 1] == [0, text.index("10.0.0.255")]
 
 
+def test_personal_data_in_long_runs():
+    """The linear searches find what the patterns find, on text made of their letters, and pass runs of a million in a second."""
+    rng = random.Random(8)
+    for letters in ("a1@..-_%+ ", "12.. -+(", "a@b.@.", "0.1.2.3.4"):
+        for _ in range(400):
+            text = "".join(rng.choices(letters, k=rng.randrange(1, 60)))
+            for kind in pii.KINDS:
+                assert [m.span() for m in kind.matches(text)] == [m.span() for m in re.finditer(kind.pattern, text)], text
+    long = " ".join(["x" * 10**6, "a.b@c.example", "7" * 10**6, "10.0.0.255", "1." * 500_000, "+1((" + "(" * 10**6, "-" * 10**6])
+    began = time.process_time()
+    found = spans.base(pii.KINDS, long, [True] * 4)
+    assert time.process_time() - began < 5
+    assert [k for k, *_ in found if k < 2][:2] == [0, 1] and long[found[0][1] : found[0][2]] == "a.b@c.example"
+
+
 def test_redaction(spark, docs, odd):
     rows = [(1, 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y', 9), (2, "card 4929348385146306 stays", 9), (3, None, None), (4, "clean", 77)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
@@ -190,6 +207,24 @@ def test_urls(spark):
     assert url_filter.judge(df.where("false")).count() == 0
 
 
+def test_links(spark):
+    """Targets of every kind against the standard library, several links of a page, escaped and oddly written tags."""
+    base = "http://Shop.test/a/b/c.html?x=1#f"
+    targets = ["page2.html", "../x", "../../../y/./z?q=../w", "?id=1", "/root", "//other.test/p", "https://abs.test/q?u=http://in.test/", "./", "sub/dir/", "..", "e;p=1?a&b"]
+    rows = [(base, f"<LINK class=x href='{t}' REL='nofollow Canonical'>") for t in targets]
+    rows += [("http://bare.test", '<link rel=canonical href="x/y">'), ("https://q.test?z", "<link rel=canonical href=/n><link rel='canonical' href='m'/>")]
+    rows += [(base, '<meta content="5; URL=go.html?a=1&amp;b=2" http-equiv=Refresh><link href="c&#38;d" rel="canonical">')]
+    rows += [(base, f'<link rel="canonical" href="{t}">') for t in ("#top", "mailto:a@b.test", "", "javascript:x()")]
+    rows += [(base, "<link rel='stylesheet' href='canonical.css'><meta name=x content='url=no'>"), (None, rows[0][1]), ("nourl", rows[0][1]), (base, None), (base, "")]
+    got = sorted((r.from_url, r.to_url) for r in url_filter.links(spark.createDataFrame(rows, "url string, html string")).collect())
+    want = [(base, urljoin(base, t)) for t in targets] + [("http://bare.test", "http://bare.test/x/y"), ("https://q.test?z", "https://q.test/n"), ("https://q.test?z", "https://q.test/m")]
+    want += [(base, "http://Shop.test/a/b/go.html?a=1&b=2"), (base, "http://Shop.test/a/b/c&d")]
+    plain = lambda pairs: sorted((a, b.rstrip("/")) for a, b in pairs)
+    assert plain(got) == plain(want)
+    pages = spark.createDataFrame([(1, "http://a.net/x/y", "<link rel=canonical href='../z'>"), (2, "http://a.net/z", None), (3, "http://b.test/p", "<link rel=canonical href=q><link rel=canonical href='http://a.net/z'>"), (4, "http://b.test/q", "")], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter.judge(pages).collect()} == dict.fromkeys((1, 2, 3, 4), "block")
+
+
 @pytest.fixture(scope="module")
 def items(spark, sf_dir):
     return [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]

@@ -181,7 +181,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     stops = sorted({1, math.ceil(count / SHARE), count})
     for lo, hi in zip([0, *stops], stops):
         visits = asking.select(_visits(home(2), count, lo, hi).alias("shard"), F.lit(True).alias("asks"), "vec_id", "v", "least")
-        dealt = index.union(visits).repartition(count, "shard").sortWithinPartitions("shard", "asks", "vec_id")
+        dealt = index.union(visits).repartitionById(count, F.col("shard")).sortWithinPartitions("shard", "asks", "vec_id")
         seen = dealt.mapInArrow(answer, "query_id long, vec_id long, score long")
         if hi < count:
             seen = materialize(seen, "found")

@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
-Many voters (word lists and patterns) look at each text. A generative model of their votes, a tree of pairwise
-dependences within each class, estimates how accurate and how correlated they are by EM over the vote counts of
-all documents and the known labels. Its posterior labels train a linear classifier over words and word beginnings.
+Many voters (word lists, learned families of stems and words, and patterns of style) look at each text. A generative
+model of their votes, a tree of pairwise dependences within each class, estimates how accurate and how correlated they
+are by EM over the vote counts of all documents and the known labels. Its posterior labels train a linear classifier over words and word beginnings.
 """
 
 from __future__ import annotations
@@ -22,7 +22,11 @@ from . import common
 LABELLED = 8_000  # labelled documents, chosen by a hash of the id, that words and voters' accuracies are learned from
 UNLABELLED = 8_000  # further documents; the posterior labels of all of these train the classifier
 TERMS = 2_000  # words and word beginnings that the classifier weighs
-STEMS = 32  # of them, those behind the learned pattern voters
+FAMILIES = 8  # groups of terms behind the learned voters, each of toxic texts that the earlier ones miss
+STEMS = 60  # terms of a family at most
+LIFT = 4  # a family's terms are at least so many times as frequent in toxic texts
+EVIDENCE = 10.0  # and their occurrences are so uneven: log likelihood against chance
+QUIET = (0.97, 0.995)  # a family votes for a density that this share of the clean texts it occurs in stays below
 WORDS = 150_000  # words whose terms a worker keeps
 HELD_OUT = 2  # remainder of crc32(id) mod 4 whose labels are never read
 THRESHOLD = 0.3
@@ -34,8 +38,8 @@ LEXICON = (
     ("loser", "pathetic", "worthless", "useless", "failure", "pitiful", "coward", "weakling"),
     ("disgusting", "revolting", "vile", "repulsive", "hideous", "ugly", "nasty", "sickening"),
 )
-PATTERN_VOTERS = 4
-VOTERS = len(LEXICON) + PATTERN_VOTERS + 3  # and repeated words, shouting, exclamation marks
+LEARNED = 4  # density of stems, density of whole words, how many, how many different ones
+VOTERS = len(LEXICON) + LEARNED + 3  # and repeated words, shouting, exclamation marks
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -91,18 +95,96 @@ class Terms:
         return key // max(1, len(self.terms)), key % max(1, len(self.terms)), count, style
 
 
-def votes(terms: Terms, groups: Sequence[Sequence[int]], row, term, count, style) -> np.ndarray:
-    """(rows, VOTERS) of 0, 1, 2: nothing seen, something, much."""
-    n = len(style)
-    out = np.zeros((n, VOTERS), dtype=np.int64)
-    for v, group in enumerate(groups):
-        mine = np.isin(term, group)
-        seen = np.bincount(row[mine], weights=count[mine], minlength=n)
-        out[:, v] = np.digitize(seen, [1, 3])
-    words = np.maximum(style[:, 0], 1)
-    for v, (what, cuts) in enumerate(((style[:, 2], (0.05, 0.3)), (style[:, 1], (0.1, 0.5)), (style[:, 3], (0.02, 0.2)))):
-        out[:, len(groups) + v] = np.digitize(what / words, cuts)
-    return out
+class Voters:
+    """What the voters look for: the word lists, and families of terms with the densities from which they vote."""
+
+    def __init__(self, terms: Terms, families: Sequence[Sequence[int]] = (), words: Sequence[Sequence[int]] = ()):
+        self.lexicon = [[terms.ids[w] for w in group] for group in LEXICON]
+        self.learned = [[(np.array(f, dtype=np.int64), (0.0, 0.0)) for f in kind if len(f)] for kind in (families, words)]
+        self.all = np.unique(np.concatenate([[], *(f for kind in self.learned for f, _ in kind)])).astype(np.int64)
+
+    @staticmethod
+    def density(family: np.ndarray, row, term, count, style) -> np.ndarray:
+        """Occurrences per word; a few words more are added, lest one occurrence decides a very short text."""
+        mine = np.isin(term, family)
+        return np.bincount(row[mine], weights=count[mine], minlength=len(style)) / (np.maximum(style[:, 0], 1) + 10)
+
+    def calibrate(self, clean: np.ndarray, row, term, count, style) -> "Voters":
+        """Set each family's densities by the known clean texts that it occurs in, so that those of its own language count."""
+        for kind in self.learned:
+            for i, (family, _) in enumerate(kind):
+                seen = self.density(family, row, term, count, style)
+                seen = seen[clean & (seen > 0)]
+                kind[i] = (family, tuple(np.quantile(seen, QUIET)) if len(seen) else (0.0, 0.0))
+        return self
+
+    def votes(self, row, term, count, style) -> np.ndarray:
+        """(rows, VOTERS) of 0, 1, 2: nothing seen, something, much."""
+        n = len(style)
+        out = np.zeros((n, VOTERS), dtype=np.int64)
+        for v, group in enumerate(self.lexicon):
+            mine = np.isin(term, group)
+            out[:, v] = np.digitize(np.bincount(row[mine], weights=count[mine], minlength=n), [1, 3])
+        for v, kind in enumerate(self.learned, len(LEXICON)):
+            for family, cuts in kind:  # a text is in one language: the family that it matches best votes
+                seen = self.density(family, row, term, count, style)
+                out[:, v] = np.maximum(out[:, v], np.digitize(seen, cuts, right=True) * (seen > 0))
+        mine = np.isin(term, self.all)
+        out[:, len(LEXICON) + 2] = np.digitize(np.bincount(row[mine], weights=count[mine], minlength=n), [3, 8])
+        out[:, len(LEXICON) + 3] = np.digitize(np.bincount(row[mine], minlength=n), [2, 5])
+        words = np.maximum(style[:, 0], 1)
+        for v, (what, cuts) in enumerate(((style[:, 2], (0.05, 0.3)), (style[:, 1], (0.1, 0.5)), (style[:, 3], (0.02, 0.2)))):
+            out[:, len(LEXICON) + LEARNED + v] = np.digitize(what / words, cuts)
+        return out
+
+
+def related(a: str, b: str) -> bool:
+    """Whether one of two terms is the beginning of the other."""
+    a, b = a.rstrip("-"), b.rstrip("-")
+    return a.startswith(b) or b.startswith(a)
+
+
+def learn_voters(terms: Terms, chosen: Sequence[str], label: np.ndarray, row, term, count, style) -> Voters:
+    """Families of terms from the known rows of the sample (``label`` 1, 0, or -1 where it is not known).
+
+    Terms come strongest first. One that mostly occurs in toxic texts that a family already covers joins it, others open a
+    new family; what the word lists cover needs none. Languages come out as families, without being read. No term of a
+    family begins with another one, so a word counts once; the words that begin with its first terms are its second kind.
+    """
+    width = len(terms.terms)
+    toxic, clean = label == 1, label == 0
+    sides = (toxic, clean)
+    times = np.stack([np.bincount(term[s[row]], weights=count[s[row]], minlength=width) for s in sides])
+    size = np.array([[max(style[s, 0].sum(), 1.0)] for s in sides])
+    lift = times[0] / size[0] / ((times[1] + 1) / size[1])
+    chance = times.sum(axis=0) * size / size.sum()
+    evidence = (times * np.log(np.maximum(times, 1e-9) / np.maximum(chance, 1e-9))).sum(axis=0)
+    mine = toxic[row]
+    order = np.argsort(term[mine], kind="stable")
+    texts, starts = row[mine][order], np.searchsorted(term[mine][order], np.arange(width + 1))
+    lexicon = [w for group in LEXICON for w in group]
+    covered = [set(row[mine & np.isin(term, [terms.ids[w] for w in lexicon])].tolist())]
+    families: list[list[int]] = [[]]
+    for t in chosen:
+        i = terms.ids[t]
+        if lift[i] < LIFT or evidence[i] < EVIDENCE or any(related(t, w) for w in lexicon):
+            continue
+        holds = set(texts[starts[i] : starts[i + 1]].tolist())
+        best = max(range(len(covered)), key=lambda f: len(holds & covered[f]))
+        if 2 * len(holds & covered[best]) < len(holds):
+            if len(families) > FAMILIES:
+                continue
+            best = len(families)
+            families.append([])
+            covered.append(set())
+        if best and len(families[best]) < STEMS and not any(related(t, terms.terms[j]) for j in families[best]):
+            families[best].append(i)
+            covered[best] |= holds
+    families = families[1:]
+    heads = [[terms.terms[i].rstrip("-") for i in f[:2]] for f in families]
+    whole = [t for t in chosen if not t.endswith("-") and lift[terms.ids[t]] > 2 * LIFT]
+    words = [[terms.ids[t] for t in whole if any(t.startswith(h) for h in head)] for head in heads]
+    return Voters(terms, families, words).calibrate(clean, row, term, count, style)
 
 
 def encode(votes_: np.ndarray) -> np.ndarray:
@@ -119,7 +201,7 @@ class LabelModel:
     def fit(self, votes_: np.ndarray, counts: np.ndarray, label: np.ndarray, rounds: int = 40) -> "LabelModel":
         """``label``: 1, 0 or -1 (unknown) of each counted pattern. Known labels stay as they are."""
         known = label >= 0
-        first = (votes_[:, : len(LEXICON) + PATTERN_VOTERS] > 0).any(1)
+        first = (votes_[:, : len(LEXICON) + LEARNED] > 0).any(1)
         post = np.where(known, label, np.where(first, 0.7, 0.02)).astype(np.float64)
         self.parent = np.full(VOTERS, -1)
         for i in range(rounds):
@@ -152,7 +234,7 @@ class LabelModel:
         return parent
 
     def _estimate(self, votes_, counts, post) -> None:
-        self.prior = float(np.clip((counts * post).sum() / counts.sum(), 1e-4, 0.9999))
+        self.prior = float(np.clip((counts * post).sum() / max(counts.sum(), 1), 1e-4, 0.9999))
         self.tables = []
         for v in range(VOTERS):
             sides = []
@@ -172,8 +254,8 @@ class LabelModel:
 class Scorer:
     """The fitted classifier: terms, their weights, and what the style of a text adds."""
 
-    def __init__(self, terms: Terms, groups, weights: np.ndarray, bias: float):
-        self.terms, self.groups, self.weights, self.bias = terms, groups, weights, bias
+    def __init__(self, terms: Terms, weights: np.ndarray, bias: float):
+        self.terms, self.weights, self.bias = terms, weights, bias
 
     def score(self, column: pa.Array) -> np.ndarray:
         row, term, count, style = self.terms.count(column)
@@ -255,48 +337,45 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
     Without any toxic label only the fixed word lists and styles vote.
     """
     sample = _sample(docs, labels, labelled, unlabelled)
-    chosen = _terms(sample, TERMS)
-    lexicon = [w for group in LEXICON for w in group]
-    terms = Terms(list(dict.fromkeys(lexicon + [t for t, _, _ in chosen])))
-    fixed = set(lexicon)
-    stems = [terms.ids[t] for t, _, _ in chosen if t not in fixed and t.endswith("-") and t[:-1] not in fixed][:STEMS]
-    groups = [[terms.ids[w] for w in group] for group in LEXICON] + [stems[i::PATTERN_VOTERS] for i in range(PATTERN_VOTERS)]
-
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.bounded(batches):
-            code, n = np.unique(encode(votes(terms, groups, *terms.count(batch.column(0)))), return_counts=True)
-            yield common.batch_of(code=code, n=n)
-
-    # patterns of votes over all documents; there are 3 ** VOTERS of them at most
-    seen = docs.select("text").mapInArrow(vote, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    chosen = [t for t, _, _ in _terms(sample, TERMS)]
+    terms = Terms(list(dict.fromkeys([w for group in LEXICON for w in group] + chosen)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.bounded(batches):
             row, term, n, style = terms.count(batch.column(0))
-            code = encode(votes(terms, groups, row, term, n, style))
             starts = np.searchsorted(row, np.arange(batch.num_rows + 1))
             yield common.batch_of(
-                label=batch.column(1), code=code, style=common.fixed_binary(style.astype(np.float64)),
+                label=batch.column(1), style=common.fixed_binary(style.astype(np.float64)),
                 term=common.ragged_binary(term.astype(np.int32), starts), n=common.ragged_binary(n.astype(np.int32), starts),
             )
 
-    rows = sample.orderBy("doc_id").select("text", "label").mapInArrow(count, "label int, code long, style binary, term binary, n binary").collect()
-    known = [(r["code"], r["label"]) for r in rows if r["label"] is not None]
-    pairs, times = np.unique(np.array(known, dtype=np.int64).reshape(-1, 2), axis=0, return_counts=True)
+    rows = sample.orderBy("doc_id").select("text", "label").mapInArrow(count, "label int, style binary, term binary, n binary").collect()
+    label = np.array([-1 if r["label"] is None else r["label"] for r in rows], dtype=np.int64)
+    style = np.array([np.frombuffer(r["style"]) for r in rows]).reshape(-1, 4)
+    each = [np.frombuffer(r["term"], dtype=np.int32) for r in rows]
+    row = np.repeat(np.arange(len(rows)), [len(t) for t in each])
+    term = np.concatenate(each).astype(np.int64) if rows else np.zeros(0, dtype=np.int64)
+    times = np.concatenate([np.frombuffer(r["n"], dtype=np.int32) for r in rows]) if rows else np.zeros(0)
+    voters = learn_voters(terms, chosen, label, row, term, times, style)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.bounded(batches):
+            code, n = np.unique(encode(voters.votes(*terms.count(batch.column(0)))), return_counts=True)
+            yield common.batch_of(code=code, n=n)
+
+    # patterns of votes over all documents; there are 3 ** VOTERS of them at most
+    seen = docs.select("text").mapInArrow(vote, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    own = encode(voters.votes(row, term, times, style))
+    pairs, held = np.unique(np.stack([own, label], axis=1)[label >= 0], axis=0, return_counts=True)
     codes = np.array([r["code"] for r in seen], dtype=np.int64)
     n = np.array([r["n"] for r in seen], dtype=np.float64)
-    n *= min(1.0, 2 * max(len(known), 1) / max(n.sum(), 1))  # unlabelled documents weigh twice the labelled ones at most
+    n *= min(1.0, 2 * max(held.sum(), 1) / max(n.sum(), 1))  # unlabelled documents weigh twice the labelled ones at most
     model = LabelModel().fit(
-        decode(np.concatenate([codes, pairs[:, 0]])), np.concatenate([n, times]), np.concatenate([np.full(len(codes), -1), pairs[:, 1]])
+        decode(np.concatenate([codes, pairs[:, 0]])), np.concatenate([n, held]), np.concatenate([np.full(len(codes), -1), pairs[:, 1]])
     )
-    posterior = model.posterior(decode(np.array([r["code"] for r in rows], dtype=np.int64).reshape(-1)))
-    style = np.array([np.frombuffer(r["style"]) for r in rows]).reshape(-1, 4)
-    term = [np.frombuffer(r["term"], dtype=np.int32) for r in rows]
-    at = np.repeat(np.arange(len(rows)), [len(t) for t in term])
-    term = np.concatenate(term).astype(np.int64) if rows else np.zeros(0, dtype=np.int64)
-    x = np.concatenate([np.frombuffer(r["n"], dtype=np.int32) for r in rows]) if rows else np.zeros(0)
-    w, b = logistic(at, term, value(x, style[at, 0]), style_features(style), posterior, np.ones(len(rows)), len(terms.terms))
-    return Scorer(terms, groups, w, b)
+    posterior = model.posterior(decode(own))
+    w, b = logistic(row, term, value(times, style[row, 0]), style_features(style), posterior, np.ones(len(rows)), len(terms.terms))
+    return Scorer(terms, w, b)
 
 
 def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

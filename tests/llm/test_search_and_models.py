@@ -1,6 +1,8 @@
 """Nearest neighbours against brute force, toxicity on held-out labels, the pipeline against its plain steps."""
 
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -52,6 +54,9 @@ def test_unusable_vectors_ties_and_small_tables(spark):
     assert sorted(out) == [(0, 1, 8, 2.0), (0, 2, 9, 1.0), (0, 3, 10, 1.0), (20, 1, 0, -1.0), (20, 2, 9, -1.0), (20, 3, 10, -1.0)]
     assert permutation_index.search(df.where("false"), df.where("false")).count() == 0
     assert permutation_index.search(df.where("vec_id = 0"), df.where("vec_id = 0")).count() == 0
+    mixed = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [1.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = permutation_index.search(mixed, mixed.where("vec_id < 2")).collect()
+    assert sorted((r.query_id, r.vec_id, r.score) for r in got) == [(0, 1, 1.0), (0, 2, 2.0), (0, 3, 6.0), (1, 0, 1.0), (1, 2, 0.0), (1, 3, 1.0)]
 
 
 def auc(score, label):
@@ -73,6 +78,24 @@ def test_toxicity_on_held_out_labels(spark):
     assert clean.predicted.mean() < 0.05
 
 
+def test_scores_against_a_plain_version(spark, docs, sf_dir, odd):
+    """Each text's score word by word: terms and their counts, then the weights."""
+    scorer = toxicity.train(common.texts(docs), common.read(spark, sf_dir, "labels"))
+    rows = {r.doc_id: r.text for r in docs.limit(60).collect()} | {-1: odd.where("doc_id = 4").first().text, -2: "Idiot!! IDIOT idiot", -3: ""}
+    weight = dict(zip(scorer.terms.terms, scorer.weights))
+    scored = toxicity.score(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), scorer)
+    for r in scored.collect():
+        parts = [w for w in re.split(r"[\n\t\r| ]", rows[r.doc_id])]
+        words = [w for w in parts if w]
+        n, m = len(words), max(len(words), 1)
+        counts = Counter(t for w in parts for t in toxicity.terms_of(w) if t in weight)
+        z = scorer.bias + sum(weight[t] * np.log1p(c) / np.log(np.e + n / 400) for t, c in counts.items())
+        style = (np.log1p(n) / 8, sum(w.isupper() and len(w) > 2 for w in words) / m,
+                 sum(a == b != "" for a, b in zip(parts, parts[1:])) / m, min(rows[r.doc_id].count("!") / m, 2))
+        z += float(np.dot(style, scorer.weights[len(weight) :]))
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9, r.doc_id
+
+
 def test_held_out_labels_are_not_read(spark, docs, sf_dir):
     labels = common.read(spark, sf_dir, "labels")
     flipped = labels.withColumn("toxic", toxicity.F.when(toxicity.held_out(labels["doc_id"]), 1 - labels["toxic"]).otherwise(labels["toxic"]))

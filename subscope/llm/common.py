@@ -52,6 +52,19 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int
             start = stop
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 * BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in larger batches, each of about ``limit`` bytes in ``column``: for steps that work per distinct word."""
+    held, size = [], 0
+    for batch in bounded(batches, column, limit):
+        held.append(batch)
+        size += batch.column(batch.schema.get_field_index(column)).nbytes
+        if size >= 0.8 * limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def raw(col: pa.Array) -> tuple[bytes, np.ndarray]:
     """All bytes of a large_string column without nulls, and the start of each row in them plus the end."""
     ends = np.frombuffer(col.buffers()[1], dtype=np.int64)[col.offset : col.offset + len(col) + 1]

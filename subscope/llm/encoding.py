@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 200_000  # words whose ids a worker keeps; a full cache is emptied, which changes no result
+CACHE_WORDS = 400_000  # words whose ids a worker keeps; of a full cache the half not used lately goes, which changes no result
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -43,32 +43,44 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.by_word = suffix == "</w>"
-        self.cache: dict[str, bytes] = {"": b""}
+        self.lately: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         if self.by_word:
             size = self.tokenizer.get_vocab_size(with_added_tokens=True)
             self.ends = np.zeros(size, dtype=bool)
             for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
                 self.ends[i] = token.endswith(suffix)
 
-    def _learn(self, words: list[str]) -> None:
-        missing = [w for w in words if w not in self.cache]
-        if not missing:
-            return
-        if len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache = {"": b""}
-            missing = [w for w in words if w]
-        plain = [w for w in missing if _PLAIN(w)]
-        if plain:
-            ids = np.array(self._encode([" ".join(plain)])[0], dtype=np.uint32)
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, as bytes; words are distinct."""
+        lately, before = self.lately, self.before
+        missing = []
+        for w in words:
+            if w not in lately:
+                if w in before:
+                    lately[w] = before[w]
+                else:
+                    missing.append(w)
+        plain = {w: w.lower() for w in missing if _PLAIN(w)}  # the tokenizer does not tell cases apart, and these have one small form
+        new = [w for w in dict.fromkeys(plain.values()) if w not in lately]
+        if new:
+            ids = np.array(self._encode([" ".join(new)])[0], dtype=np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(plain):
+            if len(stops) == len(new):
                 data, prev = ids.tobytes(), 0
-                for word, stop in zip(plain, (stops * 4).tolist()):
-                    self.cache[word] = data[prev:stop]
+                for word, stop in zip(new, (stops * 4).tolist()):
+                    lately[word] = data[prev:stop]
                     prev = stop
-        rest = [w for w in missing if w not in self.cache]
+        for word, small in plain.items():
+            if small in lately:
+                lately[word] = lately[small]
+        rest = [w for w in missing if w not in lately]
         for word, ids in zip(rest, self._encode(rest)):
-            self.cache[word] = np.array(ids, dtype=np.uint32).tobytes()
+            lately[word] = np.array(ids, dtype=np.uint32).tobytes()
+        found = [lately[w] for w in words]
+        if len(lately) > CACHE_WORDS // 2:
+            self.lately, self.before = {}, lately
+        return found
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -84,13 +96,13 @@ class Encoder:
         spaced = pc.replace_substring_regex(spaced, pattern=r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?])", replacement=r"\1 \2")
         parts = pc.split_pattern(spaced, pattern=" ")
         coded = parts.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self._learn(words)
-        pieces = [self.cache[w] for w in words]
-        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
+        pieces = self._ids(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, pieces), dtype=np.int32, count=len(pieces)) // 4
         ids = np.frombuffer(b"".join(pieces), dtype=np.uint32)
         codes = coded.indices.to_numpy(zero_copy_only=False)
         each = sizes[codes]
-        at = np.concatenate(([0], np.cumsum(each)))
-        source = np.repeat((np.cumsum(sizes) - sizes)[codes] - at[:-1], each) + np.arange(at[-1])
+        at = np.concatenate(([0], np.cumsum(each, dtype=np.int64)))
+        first = np.cumsum(sizes, dtype=np.int64) - sizes
+        source = np.repeat(first[codes] - at[:-1], each)
+        source += np.arange(at[-1])
         return ids[source], at[np.asarray(parts.offsets) - parts.offsets[0].as_py()]

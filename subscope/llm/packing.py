@@ -32,7 +32,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text_col:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding.encoder(tokenizer)
-        for batch in common.bounded(batches):
+        for batch in common.gathered(batches):
             ids, starts = enc.encode(batch.column(1))
             rows, piece, start, length, crc = [], [], [], [], []
             for i in range(batch.num_rows):

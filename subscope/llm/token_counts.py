@@ -20,7 +20,7 @@ def lengths(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFram
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding.encoder(tokenizer)
-        for batch in common.bounded(batches):
+        for batch in common.gathered(batches):
             _, starts = enc.encode(batch.column(0))
             length, documents = np.unique(np.diff(starts), return_counts=True)
             yield common.batch_of(length=length.astype(np.int64), documents=documents.astype(np.int64))

@@ -39,7 +39,7 @@ def license_scan() -> str:
         places.append(here)
         labels.append(f"CASE WHEN len({here}) > 0 THEN '{label}' END")
     templates = ", ".join(
-        f"({i}, {_text(label)}, [{', '.join(_text(t) for t in licenses.token_set(text))}])" for i, (label, text) in enumerate(licenses.TEMPLATES)
+        f"({i}, {_text(label)}, [{', '.join(_text(t) for t in licenses.token_set(text))}], {licenses.STRETCH * licenses.word_count(text)})" for i, (label, text) in enumerate(licenses.TEMPLATES)
     )
     return f"""
 WITH low AS (SELECT doc_id, translate(coalesce(text, ''), {_LOWER}) AS t FROM documents),
@@ -47,11 +47,15 @@ base AS (
   SELECT doc_id, w, list_concat(list_concat({places[0]}, {places[1]}), {places[2]}) AS p,
     list_filter([{", ".join(labels)}], lambda x: x IS NOT NULL) AS own
   FROM (SELECT doc_id, {words.format("t")} AS w FROM low)
-), template(id, label, tokens) AS (VALUES {templates}),
-held AS (SELECT doc_id, list_distinct({words.format("block")}) AS h FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS block FROM low)),
-hit AS (
-  SELECT doc_id, list(DISTINCT label) AS found, max(len(list_intersect(h, tokens)) / cast(len(tokens) AS double)) AS best
-  FROM held, template WHERE len(list_intersect(h, tokens)) >= ceil({licenses.THRESHOLD!r} * len(tokens) - 1e-9) GROUP BY 1
+), template(id, label, tokens, span) AS (VALUES {templates}),
+pair AS (
+  SELECT doc_id, w, label, tokens, span, ceil({licenses.THRESHOLD!r} * len(tokens) - 1e-9) AS need FROM base, template
+  WHERE len(list_intersect(list_distinct(w), tokens)) >= ceil({licenses.THRESHOLD!r} * len(tokens) - 1e-9)
+), run AS (
+  SELECT doc_id, label, tokens, need, list_max([len(list_intersect(list_distinct(w[i : i + span - 1]), tokens)) FOR i IN range(1, len(w) + 1)]) AS shared
+  FROM pair
+), hit AS (
+  SELECT doc_id, list(DISTINCT label) AS found, max(shared / cast(len(tokens) AS double)) AS best FROM run WHERE shared >= need GROUP BY 1
 )
 SELECT doc_id, len(w) AS n_words, len(p) AS n_base, list_min(p) AS first_word, list_max(p) AS last_word,
   array_to_string(list_sort(list_distinct(own)), ',') AS base_labels,

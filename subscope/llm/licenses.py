@@ -11,9 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 THRESHOLD = 0.9
+STRETCH = 2  # a block has as many words as this many times the template
 
 # fixed values: phrases that count wherever their words stand consecutively
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -40,23 +43,28 @@ def lowered(text: Column) -> Column:
     return F.when(text.rlike("[\u0130\u212A]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
-def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, SEPARATORS + "+"), lambda w: w != "")
-
-
 def token_set(text: str) -> list[str]:
     low = "".join(c if c.isalnum() else " " for c in text.lower())
     return sorted(set(low.split()))
 
 
+def word_count(text: str) -> int:
+    return len("".join(c if c.isalnum() else " " for c in text).split())
+
+
+def need_of(tokens: Sequence[str], threshold: float) -> int:
+    """How many of a template's distinct tokens a block must hold."""
+    return math.ceil(threshold * len(tokens) - 1e-9)
+
+
 def spaced(text: Column) -> Column:
     """All words with one space before, between and after them; two spaces if there are none."""
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered(text), SEPARATORS + "+", " ")), F.lit(" "))
 
 
-def phrases(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` (doc_id, text) with n_words, n_base, first_word, last_word and base_labels (array)."""
-    s = F.col("__s")
+def phrases(docs: DataFrame, spaced_col: str) -> DataFrame:
+    """``docs`` with n_words, n_base, first_word, last_word and base_labels (array), from the column of ``spaced`` words."""
+    s = F.col(spaced_col)
     spaces = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
     counts, firsts, lasts, labels = [], [], [], []
     for phrase, label in PHRASES:
@@ -68,99 +76,97 @@ def phrases(docs: DataFrame, text_col: str = "text") -> DataFrame:
         after = F.substring_index(s, f" {phrase} ", -1)
         lasts.append(F.when(there, F.col("n_words") - spaces(after) - len(phrase.split(" ")) + 0))
         labels.append(F.when(there, F.lit(label)))
-    out = docs.withColumn("__s", spaced(F.col(text_col)))
-    out = out.withColumn("n_words", F.when(F.trim(s) == "", 0).otherwise(spaces(s) - 1).cast("long"))
-    out = out.withColumns({
+    out = docs.withColumn("n_words", F.when(F.trim(s) == "", 0).otherwise(spaces(s) - 1).cast("long"))
+    return out.withColumns({
         "n_base": sum(counts[1:], counts[0]),
         "first_word": F.array_min(F.array(*firsts)).cast("long"),
         "last_word": F.array_max(F.array(*lasts)).cast("long"),
         "base_labels": F.array_compact(F.array(*labels)),
     })
-    return out.drop("__s")
 
 
-def frequencies(docs: DataFrame, tokens: Sequence[str]) -> dict[str, int]:
-    """How many documents hold each of the templates' ``tokens``; the result is as long as ``tokens``."""
-    seen = docs.select(F.explode(F.array_intersect(F.array(*map(F.lit, tokens)), words_of(lowered(F.col("text"))))).alias("token"))
-    found = {r["token"]: r["count"] for r in seen.groupBy("token").count().collect()}
+def reduced(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """What one scan takes from each whole text: the base columns, the templates' tokens in it and its blocks.
+
+    ``docs`` has doc_id, text and key. ``held`` are the distinct tokens. ``blocks`` is null unless the text holds enough
+    tokens of some template (the length filter, on the whole text); else they are pieces of the text of twice the
+    longest run, one starting every longest run, so that each run lies whole in a piece. Words outside the templates
+    are empty in them.
+    """
+    sets = [token_set(text) for _, text in templates]
+    vocabulary = sorted(set().union(*sets))
+    widest = STRETCH * max(word_count(text) for _, text in templates)
+    words, literals = F.col("__w"), lambda tokens: F.array(*map(F.lit, tokens))
+    out = phrases(docs.withColumn("__s", spaced(F.col("text"))).drop("text"), "__s")
+    out = out.withColumn("__w", F.split(F.trim("__s"), " ")).drop("__s")
+    out = out.withColumn("held", F.array_intersect(literals(vocabulary), words))
+    enough = [F.size(F.array_intersect(literals(s), F.col("held"))) >= need_of(s, threshold) for s in sets]
+    known = F.transform(words, lambda w: F.when(w.isin(vocabulary), w).otherwise(""))
+    pieces = F.transform(F.sequence(F.lit(1), F.size("__k"), F.lit(widest)), lambda i: F.slice("__k", i, 2 * widest))
+    out = out.withColumn("__k", F.when((F.size("held") > 0) & F.greatest(F.lit(False), *enough), known)).drop("__w")
+    return out.withColumn("blocks", F.when(F.col("__k").isNotNull(), pieces)).drop("__k")
+
+
+def frequencies(seen: DataFrame, tokens: Sequence[str]) -> dict[str, int]:
+    """How many rows of ``seen`` hold each of the templates' ``tokens``; the result is as long as ``tokens``."""
+    found = {r["token"]: r["count"] for r in seen.select(F.explode("held").alias("token")).groupBy("token").count().collect()}
     return {t: found.get(t, 0) for t in tokens}
 
 
 def prefix_index(spark: SparkSession, freq: dict[str, int], templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(token, template, label, tokens, need): each template under the rarest tokens of which a match holds one.
+    """(token, template, label, tokens, need, span): each template under the rarest tokens of which a match holds one.
 
     A block that shares ``need`` of n tokens misses n - need at most, so it has one of the n - need + 1 rarest.
     """
     rows = []
     for i, (label, text) in enumerate(templates):
         tokens = sorted(token_set(text), key=lambda t: (freq[t], t))
-        need = math.ceil(threshold * len(tokens) - 1e-9)
-        rows += [(t, i, label, tokens, need) for t in tokens[: len(tokens) - need + 1]]
-    return spark.createDataFrame(rows, "token string, template int, label string, tokens array<string>, need int")
+        need = need_of(tokens, threshold)
+        rows += [(t, i, label, tokens, need, STRETCH * word_count(text)) for t in tokens[: len(tokens) - need + 1]]
+    return spark.createDataFrame(rows, "token string, template int, label string, tokens array<string>, need int, span int")
 
 
-def wrapped_matches(low: DataFrame, ordered: Column, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, key, label, containment) of notices set over several lines: any run of as many words as the template has.
+def template_matches(seen: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, key, label, containment) of every row of ``reduced`` and template at or over the threshold.
 
-    ``low`` has doc_id, key and the lowered text; ``ordered`` is the templates' vocabulary. Runs are only tried in texts
-    that hold enough of a template's words at all.
-    """
-    texts = low.where(F.col("low").contains("\n")).select("doc_id", "key", words_of(F.col("low")).alias("words"))
-    texts = texts.withColumn("held", F.array_intersect(ordered, F.col("words")))
-    words, found = F.col("words"), []
-    for label, text in templates:
-        tokens, length = token_set(text), len("".join(c if c.isalnum() else " " for c in text).split())
-        need, own = math.ceil(threshold * len(tokens) - 1e-9), F.array(*map(F.lit, tokens))
-        starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_contains(own, F.element_at(words, i)))  # noqa: B023
-        shared = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice(words, i, length), own))))  # noqa: B023
-        one = F.struct(F.lit(label).alias("label"), shared.alias("shared"), F.lit(need).alias("need"), (shared / len(tokens)).alias("containment"))
-        found.append(F.when(F.size(F.array_intersect("held", own)) >= need, one))
-    hits = texts.select("doc_id", "key", F.explode(F.array_compact(F.array(*found))).alias("hit")).where("hit.shared >= hit.need")
-    return hits.select("doc_id", "key", "hit.label", "hit.containment")
-
-
-def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, key, label, containment) of every line, or run of words over lines, and template at or over the threshold.
-
-    ``docs`` has doc_id, text and a ``key`` that tells rows of one doc_id apart. Containment is the
-    share of the template's distinct tokens that the line or run holds.
+    A block is a run of STRETCH times as many words as the template has, wherever it starts and however its lines are
+    broken. Containment is the largest share of the template's distinct tokens that a run holds.
     """
     vocabulary = sorted(set().union(*(token_set(t) for _, t in templates)))
-    freq = frequencies(docs, vocabulary)
+    freq = frequencies(seen, vocabulary)
     by_rarity = sorted(vocabulary, key=lambda t: (freq[t], t))
-    index = prefix_index(docs.sparkSession, freq, templates, threshold)
+    index = prefix_index(seen.sparkSession, freq, templates, threshold)
     heads = sorted({r["token"] for r in index.select("token").collect()})
-    ordered, head_array = F.array(*map(F.lit, by_rarity)), F.array(*map(F.lit, heads))
-    low = docs.select("doc_id", "key", lowered(F.col("text")).alias("low"))
-    low = low.where(F.col("low").rlike("(?:" + "|".join(heads) + ")"))
-    blocks = low.select("doc_id", "key", F.posexplode(F.split("low", "\n")).alias("line", "block"))
-    blocks = blocks.where(F.col("block").rlike("(?:" + "|".join(heads) + ")"))
-    # the block's template words, rarest first
-    blocks = blocks.select("doc_id", "key", "line", F.array_intersect(ordered, words_of(F.col("block"))).alias("held"))
-    probes = blocks.withColumn("token", F.explode(F.array_intersect(head_array, F.col("held"))))
+    pieces = seen.where(F.col("blocks").isNotNull()).select("doc_id", "key", F.posexplode("blocks").alias("piece", "words"))
+    # the piece's template words, rarest first
+    pieces = pieces.withColumn("held", F.array_intersect(F.array(*map(F.lit, by_rarity)), F.col("words")))
+    probes = pieces.withColumn("token", F.explode(F.array_intersect(F.array(*map(F.lit, heads)), F.col("held"))))
     pairs = probes.join(F.broadcast(index), "token")  # one row for each template and prefix token, fixed by the templates
     # length filter and positional filter: what is left from the shared token on must suffice
     left = F.size("held") - F.array_position("held", F.col("token")) + 1
     pairs = pairs.where((F.size("held") >= F.col("need")) & (left >= F.col("need") - (F.array_position("tokens", F.col("token")) - 1)))
-    shared = F.size(F.array_intersect("held", "tokens"))
-    verified = pairs.where(shared >= F.col("need")).withColumn("containment", shared / F.size("tokens"))
-    lines = verified.groupBy("doc_id", "key", "line", "template", "label").agg(F.max("containment").alias("containment"))
-    return lines.select("doc_id", "key", "label", "containment").unionAll(wrapped_matches(low, ordered, templates, threshold))
+    # a pair meets under each of its prefix tokens; the first one in the template's order speaks for it
+    first = F.filter("tokens", lambda t: F.array_contains("held", t))[0]
+    pairs = pairs.where((first == F.col("token")) & (F.size(F.array_intersect("held", "tokens")) >= F.col("need")))
+    starts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_contains("tokens", F.element_at("words", i)))
+    runs = F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("words", i, F.col("span")), F.col("tokens"))))
+    verified = pairs.withColumn("shared", F.array_max(runs)).where("shared >= need")
+    return verified.groupBy("doc_id", "key", "template", "label").agg(F.max(F.col("shared") / F.size("tokens")).alias("containment"))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: counts of base phrases, labels and the best score.
 
     The score is 1 with a base phrase, else the best containment at or over the threshold, else 0. A null text is
-    empty: no words, null places, empty labels. Rows alike in id and text get equal results.
+    empty: no words, null places, empty labels. Rows alike in id and text get equal results. ``docs`` is scanned once.
     """
     base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    keyed = base.withColumn("key", F.xxhash64("text"))
-    found = template_matches(keyed, templates, threshold)
+    seen = materialize(reduced(base.withColumn("key", F.xxhash64("text")), templates, threshold), "licenses")
+    found = template_matches(seen, templates, threshold)
     found = found.groupBy(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).agg(
         F.collect_set("label").alias("found"), F.max("containment").alias("best")  # as many labels as templates at most
     )
-    out = phrases(keyed).drop("text").join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("key") == F.col("__k")), "left")
+    out = seen.drop("held", "blocks").join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("key") == F.col("__k")), "left")
     joined = lambda c: F.array_join(F.sort_array(F.array_distinct(c)), ",")
     return out.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",

@@ -157,13 +157,13 @@ def license_of(text):
         here = [i for i in range(len(words)) if words[i : i + len(p)] == p]
         places += here
         base |= {label} if here else set()
-    for line in low.split("\n"):
-        held = set(WORD.findall(line))
-        for label, template in licenses.TEMPLATES:
-            tokens = set(licenses.token_set(template))
-            if len(held & tokens) >= licenses.THRESHOLD * len(tokens) - 1e-9:
-                found.add(label)
-                best = max(best, len(held & tokens) / len(tokens))
+    for label, template in licenses.TEMPLATES:
+        tokens, span = set(licenses.token_set(template)), 2 * len(WORD.findall(template.lower()))
+        # every run of twice the template's words; runs that lie in another one hold no more
+        shared = max((len(tokens.intersection(words[i : i + span])) for i in range(max(1, len(words) - span + 1))), default=0)
+        if shared >= licenses.THRESHOLD * len(tokens) - 1e-9:
+            found.add(label)
+            best = max(best, shared / len(tokens))
     join = lambda x: ",".join(sorted(x))
     return len(words), len(places), min(places, default=None), max(places, default=None), join(base), join(base | found), 1.0 if places else best
 
@@ -175,6 +175,12 @@ def test_licenses(spark, texts, odd, sf_dir):
     vocabulary = "cc by all rights reserved general public license the under licensed apache version 2 0 mit released K İ Straße".split()
     made = [(i, rng.choice([" ", "-", "\n", "  "]).join(rng.choices(vocabulary, k=rng.randrange(1, 30))).upper()) for i in range(200)]
     made += [(900 + i, " ".join(rng.sample(t.split(), len(t.split())))) for i, (_, t) in enumerate(licenses.TEMPLATES)]
+    for i, (_, text) in enumerate(licenses.TEMPLATES):  # wrapped, stretched and cut notices at any place of longer texts
+        for k in range(12):
+            gap = rng.choice(["\n", " ", " lo ", "\n * ", " lo mi ", " lo mi na "])
+            notice = gap.join(w for w in text.split() if rng.random() < 0.97)
+            around = [" ".join(rng.choices(["lo", "mi", "na", "the", "of"], k=rng.randrange(130))) for _ in range(2)]
+            made.append((1000 + 100 * i + k, around[0] + "\n" + notice + " " + around[1]))
     for r in licenses.scan(spark.createDataFrame(made, "doc_id long, text string")).collect():
         assert tuple(r)[1:] == license_of(dict(made)[r.doc_id]), dict(made)[r.doc_id]
     out = licenses.scan(odd).collect()

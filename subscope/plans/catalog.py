@@ -17,10 +17,10 @@ from subscope.models import attribution, churn, clv, evaluation, matrix, persist
 from subscope.operators import (
     alerts, campaigns, drift, encoding, events, explain, metrics, ordering, profiles, reports, value,
 )
-from subscope.plans import flows
+from subscope.plans import flows, monitoring
 from subscope.plans.fixtures import (
-    AMOUNT_COLUMNS, BATCH_FEATURES, DIGITS, PERFORMANCE, QUERY_CUSTOMER, STAMP, UNROUNDED, ZCOLS, batch, event_log, master,
-    store,
+    AMOUNT_COLUMNS, BATCH_FEATURES, DIGITS, PERFORMANCE, QUERY_CUSTOMER, STAMP, UNROUNDED, WINDOW_DAYS, ZCOLS, batch, event_log,
+    master, rollup, store,
 )
 from subscope.session import materialize, scratch_path, side_by_side
 from subscope.sources import adapters as A
@@ -998,3 +998,64 @@ def _(s, d):
     fits += [F.coalesce(F.col("r2") <= 1, F.lit(True)), F.coalesce(F.abs("silhouette") <= 1, F.lit(True))]
     fits += [F.coalesce(F.col("rmse") >= F.col("mae"), F.lit(True))]
     return found.select("model", "rows", reduce(lambda a, b: a & b, fits).alias("in_range"))
+
+
+# the fitted churn model over two windows of the log
+
+
+def _windows(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return _shared(s, d, "windows", lambda: monitoring.window_stores(_raw(s, d), rollup(s, d), WINDOW_DAYS))
+
+
+def _run(s: SparkSession, d: str) -> monitoring.Run:
+    model, _, names = _churn_model(s, d)
+    return _shared(s, d, "monitor", lambda: monitoring.monitor(model, *_windows(s, d), names, timestamp=STAMP))
+
+
+@query("window_feature_drift")
+def _(s, d):
+    reference, current = _windows(s, d)
+    return drift.drift_report(reference, current, _features(current))
+
+
+@query("model_prediction_drift")
+def _(s, d):
+    return _run(s, d).predictions
+
+
+@query("model_performance")
+def _(s, d):
+    return _run(s, d).quality
+
+
+@query("model_alerts")
+def _(s, d):
+    return _run(s, d).alerts
+
+
+@query("model_monitoring_check")
+def _(s, d):
+    model, _, names = _churn_model(s, d)
+    run, score = _run(s, d), F.col("churn_risk_score")
+    rows = run.reference.withColumn("side", F.lit("reference")).unionByName(run.current.withColumn("side", F.lit("current")))
+    again = churn.churn_probability(model, rows.drop("churn_risk_score")).select("customer_id", "side", F.col("churn_risk_score").alias("again"))
+    reports = run.features.unionByName(run.predictions)
+    off = (F.col("psi") > K.PSI_THRESHOLD) | (F.col("ks_p_value") < K.KS_ALPHA)
+    reports = reports.agg(
+        F.count(F.lit(1)).alias("reports"), F.count_if(F.col("drift_detected") == off).alias("flag_follows"),
+        F.count_if(F.col("drift_detected") | (F.col("psi") > K.PSI_WATCH)).alias("raised"),
+    ).first()
+    aucs, told = run.quality.first(), run.alerts.where("alert_type != 'PERFORMANCE_DROP'").count()
+    fell = aucs.reference_auc - aucs.current_auc >= K.AUC_DROP_WARNING
+    found = rows.join(again, ["customer_id", "side"]).groupBy("side").agg(
+        F.count(F.lit(1)).alias("customers"), F.count_if(score.between(0, 1)).alias("in_range"), F.count_if(score == F.col("again")).alias("same_again"),
+        F.count_if("is_test").alias("held_out"),
+    )
+    return found.withColumns(
+        {
+            "reports": F.lit(reports.reports),
+            "flag_follows": F.lit(reports.flag_follows),
+            "alerts_follow": F.lit(reports.raised == told and fell == (run.alerts.count() > told)),
+            "auc_in_range": F.lit(all(0 <= a <= 1 for a in (aucs.reference_auc, aucs.current_auc))),
+        }
+    )

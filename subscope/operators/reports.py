@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subscope import constants as K
+from subscope.functions.rules import risk_tier
 from subscope.functions.stats import bin_index
 from subscope.operators.campaigns import campaign_summary
 
@@ -116,3 +117,27 @@ def kpi_summary(master: DataFrame, suppression: DataFrame | None = None) -> Data
             F.try_divide(F.count_if(F.col("clv_tier") == "Platinum") * 100.0, n), F.lit(0.0)
         ).alias("platinum_percent"),
     ).withColumn("campaign_eligible", eligible)
+
+
+def score_summary(scored: DataFrame, segment: str = "ml_segment") -> DataFrame:
+    """(section, name, customers, mean) of scored customers: all, critical and high churn risk, segments, value tiers, offers.
+
+    Only an offer has a mean, that of its propensity, over the customers with one. Tiers and offers nobody has are listed
+    with zero customers, segments are those that occur. One pass, whatever the number of sections.
+    """
+    none = F.lit(None).cast("double")
+    offers = [score for score in ("propensity_bundle", "propensity_topup", "propensity_reactivation") if score in scored.columns]
+    shown = [("all", "customers"), ("churn_risk", "Critical"), ("churn_risk", "High")]
+    shown += [("clv_tier", t) for t in K.TIERS] + [("propensity", o) for o in offers]
+
+    def cell(section: str, name: Column, score: Column = none) -> Column:
+        return F.struct(F.lit(section).alias("section"), name.alias("name"), score.alias("score"))
+
+    cells = [cell("all", F.lit("customers")), cell("segment", F.col(segment)), cell("clv_tier", F.col("clv_tier"))]
+    cells.append(F.when(F.col("churn_risk_score") > 0.65, cell("churn_risk", risk_tier(F.col("churn_risk_score")))))
+    cells += [F.when(F.col(o).isNotNull(), cell("propensity", F.lit(o), F.col(o).cast("double"))) for o in offers]
+    found = scored.select(F.inline(F.array_compact(F.array(*cells)))).where("name is not null").groupBy("section", "name").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean")
+    )
+    fixed = scored.sparkSession.range(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("section"), F.lit(b).alias("name")) for a, b in shown])))
+    return fixed.join(found, ["section", "name"], "full").select("section", "name", F.coalesce("n", F.lit(0)).alias("customers"), "mean")

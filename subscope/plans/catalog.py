@@ -436,6 +436,11 @@ def _(s, d):
     return reports.kpi_summary(master(s, d), _suppressed(s, d))
 
 
+@query("score_summary")
+def _(s, d):
+    return reports.score_summary(master(s, d), "rfm_segment")
+
+
 @query("campaign_summary")
 def _(s, d):
     return campaigns.campaign_summary(master(s, d), _suppressed(s, d))

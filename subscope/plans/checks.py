@@ -667,6 +667,15 @@ def build() -> dict[str, str]:
             "count(*) FILTER (WHERE clv_tier = 'Platinum') * 1e2 / count(*) AS platinum_percent, "
             f"(SELECT cast(sum(eligible_customers) AS bigint) FROM ({SUMMARY})) AS campaign_eligible FROM master",
             ["avg_arpu", "platinum_percent"], LISTS),
+        "score_summary": r(
+            "SELECT 'all' AS section, 'customers' AS name, count(*) AS customers, cast(NULL AS double) AS mean FROM master "
+            "UNION ALL SELECT 'churn_risk', 'Critical', count(*), NULL FROM master WHERE churn_risk_score > 8e-1 "
+            "UNION ALL SELECT 'churn_risk', 'High', count(*), NULL FROM master WHERE churn_risk_score > 65e-2 AND churn_risk_score <= 8e-1 "
+            "UNION ALL SELECT 'segment', rfm_segment, count(*), NULL FROM master GROUP BY 2 "
+            f"UNION ALL SELECT 'clv_tier', t, count(clv_tier), NULL FROM (SELECT unnest({K.TIERS}) AS t) LEFT JOIN master ON clv_tier = t GROUP BY 2 "
+            + " ".join(f"UNION ALL SELECT 'propensity', '{c}', count({c}), avg({c}) FROM master" for c in
+                       ("propensity_bundle", "propensity_topup", "propensity_reactivation")),
+            ["mean"], MASTER),
         "campaign_summary": r(SUMMARY, ["avg_propensity_score", "avg_clv_tier_index"], LISTS),
         "channel_reach": r(
             f"SELECT campaign_name, recommended_channel, count(*) AS customers, avg(propensity_score) AS avg_propensity FROM ({ALL_LISTS}) GROUP BY 1, 2",

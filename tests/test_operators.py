@@ -240,3 +240,16 @@ def test_lists_together_and_alone(master, size):
     together = campaigns.all_campaigns(master, max_size=size).collect()
     alone = [r for k in K.CAMPAIGNS for r in campaigns.campaign(master, k, max_size=size).collect()]
     assert together == alone
+
+
+def test_score_summary_of_few_and_no_customers(spark):
+    schema = "churn_risk_score double, ml_segment string, propensity_bundle double, propensity_topup double, clv_tier string"
+    rows = [(0.9, "A", 0.2, None, "Gold"), (0.8, "A", 0.4, None, "Gold"), (0.65, None, None, None, None), (None, "B", 0.9, None, "Bronze")]
+    found = {(r.section, r.name): (r.customers, r.mean) for r in reports.score_summary(spark.createDataFrame(rows, schema)).collect()}
+    assert found == {
+        ("all", "customers"): (4, None), ("churn_risk", "Critical"): (1, None), ("churn_risk", "High"): (1, None),
+        ("segment", "A"): (2, None), ("segment", "B"): (1, None),
+        ("clv_tier", "Platinum"): (0, None), ("clv_tier", "Gold"): (2, None), ("clv_tier", "Silver"): (0, None), ("clv_tier", "Bronze"): (1, None),
+        ("propensity", "propensity_bundle"): (3, pytest.approx(0.5)), ("propensity", "propensity_topup"): (0, None),
+    }
+    assert {r.customers for r in reports.score_summary(spark.createDataFrame([], schema)).collect()} == {0}

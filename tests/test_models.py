@@ -201,6 +201,7 @@ def test_queries_fit_the_default_models(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(scoring, "fit_all", lambda m, names, *a, **k: calls.append((a, k)))
     monkeypatch.setattr(scoring, "score_all", lambda models, m: m)
     monkeypatch.setattr(clv, "cv_r2", lambda m, names, *a, **k: calls.append((a, k)) or 0.5)
+    monkeypatch.setattr(catalog, "_fitted", {})  # nothing fitted yet, whatever ran before
     for name in ("score_all_models", "cv_r2"):
         catalog.QUERIES[name](spark, sf_dir)
     assert calls == [((), {}), ((), {})]

@@ -9,8 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import parallelism
+
 BATCH_BYTES = 2_500_000  # text handled by one vectorised step inside a task
 BATCH_ROWS = 1_000  # rows that a Python worker gets at a time
+PARTS = 4  # a key is hot from a PARTS-th of an even task on
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +28,22 @@ def texts(docs: DataFrame, text_col: str = "text", *, id_col: str = "doc_id") ->
     )
 
 
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int, counted: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on ``keys``, with hot keys of ``left`` dealt over as many tasks as they need.
+
+    ``counted`` has the keys and ``n``, how many of the ``rows`` rows of ``left`` hold them. The hot keys are broadcast: each holds
+    more than a PARTS-th of an even task, so there are fewer than PARTS times the shuffle partitions. Their rows of ``right`` are
+    copied once for each such part. ``how`` is inner or left.
+    """
+    limit = max(1, rows // (PARTS * parallelism(left.sparkSession)))
+    hot = F.broadcast(counted.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).alias("__salts")))
+    none = F.lit(0).cast("long")
+    salt = F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("__salts")), none)
+    dealt = left.join(hot, keys, "left").withColumn("__salt", salt).drop("__salts")
+    copies = right.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(none, F.coalesce(F.col("__salts") - 1, none)))).drop("__salts")
+    return dealt.join(copies, [*keys, "__salt"], how).drop("__salt")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Documents are long: lower the session's Arrow batch size where it is above BATCH_ROWS, so that workers stay small."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -142,12 +142,15 @@ def _band_keys(heads: DataFrame, bands: int, rows: int) -> DataFrame:
 def _alike(pairs: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b) pairs with 100 * intersection >= percent * union; ``held`` has n_shingles, regs and text of all their documents.
 
-    The likelihood estimate of two sketches rules most other pairs out; the full sets confirm the rest.
+    ``pairs`` is a stored table. A document of very many pairs has them dealt over several tasks. The likelihood estimate of two sketches rules most other pairs out; the full sets confirm the rest.
     """
     threshold = percent / 100
     side = lambda c: held.select(*(F.col(x).alias(y) for x, y in (("doc_id", c), ("n_shingles", f"n{c}"), ("regs", f"r{c}"), ("text", f"t{c}"))))
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")  # sizes alone bound the similarity
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b", "ta", "tb", "ra", "rb", "na", "nb")
+    total = pairs.count()
+    times = lambda c: pairs.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+    joined = common.split_join(pairs, side("a"), ["a"], total, times("a"))
+    joined = common.split_join(joined, side("b"), ["b"], total, times("b")).where(fits).select("a", "b", "ta", "tb", "ra", "rb", "na", "nb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: dict[str, np.ndarray] = {}
@@ -186,8 +189,10 @@ def _across(shared: DataFrame, parts: DataFrame, held: DataFrame, size: int, per
     """
     member = shared.select("key", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     member = member.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    key = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    member = materialize(member.join(key.where("lo < hi").select("key"), "key").select("doc_id", "component").distinct(), "members")
+    key = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
+    key = key.where("lo < hi")
+    member = common.split_join(member, key.select("key"), ["key"], shared.count(), key)
+    member = materialize(member.select("doc_id", "component").distinct(), "members")
     held = held.join(member.select("doc_id"), "doc_id").select("doc_id", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,6 +226,7 @@ def _across(shared: DataFrame, parts: DataFrame, held: DataFrame, size: int, per
 
     rows = held.mapInArrow(prefix, "doc_id long, shingle long, place long, n long").join(member, "doc_id")
     rows = materialize(rows, "prefixes")
+    times = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     other = rows.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("doc_id", "component", "place", "n")))
     room = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
     fits = (
@@ -228,7 +234,7 @@ def _across(shared: DataFrame, parts: DataFrame, held: DataFrame, size: int, per
         & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
         & ((100 + percent) * room >= percent * (F.col("n") + F.col("n2")))
     )
-    pairs = rows.join(other, (rows["shingle"] == other["shingle"]) & fits)
+    pairs = common.split_join(rows, other, ["shingle"], rows.count(), times).where(fits)
     return pairs.select(F.least("doc_id", "doc_id2").alias("a"), F.greatest("doc_id", "doc_id2").alias("b")).distinct()
 
 
@@ -238,13 +244,15 @@ def near_duplicates(docs: DataFrame, size: int, percent: int = 80, text_col: str
     Equal sets are one class, so copies cost nothing further. Of each band's bucket every member is
     paired with two members chosen by hash, one of them anew in each band, so a large group is
     joined by a few links a member; what still lies in different components of one bucket is
-    then compared completely, so a link is lost only if no band proposes it. Null or word-less texts have
+    then compared completely, so a link is lost only if no band proposes it. Joins on a set, bucket, document or shingle that very
+    many rows share are dealt over several tasks. Null or word-less texts have
     no shingles and are their own component. A null doc_id takes part as a copy of others only; alone it has a null
     component and is kept. Rows that share a doc_id are one document. An empty table gives no rows.
     """
     base = common.texts(docs, text_col)
     drawn = materialize(sketch(base, size, bands, rows), "sketches")
-    classes = drawn.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("head"))
+    known = F.when(F.col("n_shingles") > 0, F.col("doc_id"))
+    classes = drawn.groupBy("k1", "k2").agg(F.min(known).alias("head"), F.count(F.lit(1)).alias("n"))
     classes = materialize(classes, "classes")
     heads = drawn.join(classes.where("head is not null").select("k1", "k2", F.col("head").alias("doc_id")), ["k1", "k2", "doc_id"])
     heads = materialize(heads.dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "n_shingles", "regs"), "heads")
@@ -256,7 +264,8 @@ def near_duplicates(docs: DataFrame, size: int, percent: int = 80, text_col: str
         F.min_by("doc_id", F.xxhash64("doc_id")).alias("c1"),
         F.min_by("doc_id", F.xxhash64("doc_id", "key")).alias("c2"),
     )
-    shared = materialize(keyed.join(bucket.where("n > 1"), "key").select("key", "doc_id", "c1", "c2"), "buckets")
+    shared = common.split_join(keyed, bucket.where("n > 1").drop("n"), ["key"], bands * heads.count(), bucket)
+    shared = materialize(shared.select("key", "doc_id", "c1", "c2"), "buckets")
     ordered = [F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")]
     pairs = shared.select("doc_id", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("c")).where("doc_id <> c").select(*ordered).distinct()
     pairs = materialize(pairs, "pairs")
@@ -274,7 +283,7 @@ def near_duplicates(docs: DataFrame, size: int, percent: int = 80, text_col: str
 
     named = classes.join(parts.withColumnRenamed("node", "head"), "head", "left")
     named = named.select("k1", "k2", F.coalesce("component", "head").alias("class_component"))
-    out = drawn.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
+    out = common.split_join(drawn.select("doc_id", "n_shingles", "k1", "k2"), named, ["k1", "k2"], drawn.count(), classes, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("class_component")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))

@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 
-from subscope.llm import graph, setsketch
+from pyspark.sql import functions as F
+
+from subscope.llm import common, graph, setsketch
 from subscope.llm import queries as q
 
 
@@ -97,3 +99,23 @@ def test_components(spark):
     got = {r.node: r.component for r in graph.components(df).collect()}
     assert got == {x: union.find(x) for e in edges for x in e if e[0] != e[1]}
     assert graph.components(df.where("false")).count() == 0
+
+
+def test_split_join(spark):
+    """The rows of a plain join, with those of a hot key in many tasks."""
+    left = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 50).alias("k"))
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(-1, 40)] + [(5, "again"), (None, "none")], "k long, v string")
+    counted = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    for how in ("inner", "left"):
+        out = common.split_join(left, right, ["k"], 6000, counted, how)
+        assert out.columns == ["k", "id", "v"]
+        assert sorted(map(str, out.collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # as for large tables
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    spread = common.split_join(left, right, ["k"], 6000, counted).where("k = -1").groupBy(F.spark_partition_id().alias("p")).count()
+    sizes = [r["count"] for r in spread.collect()]
+    for name in settings:
+        spark.conf.unset(name)
+    assert sum(sizes) == 2000 and max(sizes) < 1500
+    assert common.split_join(left.where("false"), right, ["k"], 0, counted.where("false")).count() == 0

@@ -26,6 +26,7 @@ KINDS = (
     spans.Kind("hex", r"[0-9a-f]+", r"[0-9a-f]{16}", lambda m: len(m[0]) >= 16),
 )
 NAMES = ("secret",)
+LEAST = 8  # characters of a tagged span
 TRIGGERS = frozenset(
     "password passwd pwd secret token key apikey api_key auth authorization bearer basic credential credentials private login pass "
     "access_key secret_key client_secret aws export env ssh".split()
@@ -93,18 +94,15 @@ def train(docs: DataFrame, rows: int = spans.SAMPLE, labelled=LABELLED) -> crf.M
     return crf.Model(("O", "B", "I"), features, 8).fit(examples)
 
 
-def _kept(name: str, value: str) -> bool:
-    return len(value) >= 8
-
-
-def scan(docs: DataFrame, model: crf.Model | None = None, text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, model: crf.Model | None = None, text_col: str = "text", least: int = LEAST) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_tagged), one row per row of ``docs``.
 
     ``spans`` joins kind:start:end of base spans and, where no base span covers them, of tagged ones (kind ``secret``), by start, then
-    kind. A null text is empty; ids may be null or repeated; a text of any length is scanned whole.
+    kind. Tagged spans of fewer than ``least`` characters are left out. A null text is empty; ids may be null or repeated; a text of any length is scanned whole.
     """
     rows = spans.prepared(docs, text_col)
     model = model or train(rows)
+    kept = lambda _, value: len(value) >= least
     names = [k.name for k in KINDS] + list(NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +111,7 @@ def scan(docs: DataFrame, model: crf.Model | None = None, text_col: str = "text"
             counts = np.zeros((n, len(KINDS)), dtype=np.int64)
             tagged = np.zeros(n, dtype=np.int64)
             sha, joined = [spans.digest([])] * n, [""] * n
-            for row, own, more in spans.found(model, KINDS, batch.column(1), NAMES, _kept):
+            for row, own, more in spans.found(model, KINDS, batch.column(1), NAMES, kept):
                 more = spans.beside(own, more)
                 for k, *_ in own:
                     counts[row, k] += 1
@@ -138,14 +136,17 @@ def _values(text: str, own, more) -> list[tuple[int, int]]:
     return values + [(max([s, *(v for _, b, _, v, _ in own if b <= s < v < e)]), e) for s, e, _ in more]
 
 
-def redact(docs: DataFrame, model: crf.Model | None = None, text_col: str = "text", mark: str = "[SECRET]", count_col: str | None = "n_chars") -> DataFrame:
+def redact(
+    docs: DataFrame, model: crf.Model | None = None, text_col: str = "text", mark: str = "[SECRET]", count_col: str | None = "n_chars", least: int = LEAST
+) -> DataFrame:
     """``docs`` with every secret's value replaced by ``mark``; ``count_col``, if there, counts the new characters of changed texts.
 
     Base and tagged spans that overlap are replaced as one. A run of 16 digits or more, as in card numbers, stays where
-    it is neither assigned nor touched by a tagged span.
+    it is neither assigned nor touched by a tagged span. Tagged spans of fewer than ``least`` characters are passed over.
     """
     common.small_batches(docs.sparkSession)
     model = model or train(spans.prepared(docs, text_col))
+    kept = lambda _, value: len(value) >= least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.bounded(batches, text_col):
@@ -153,7 +154,7 @@ def redact(docs: DataFrame, model: crf.Model | None = None, text_col: str = "tex
             column = batch.column(at)
             whole = column.fill_null("")
             changed: dict[int, str] = {}
-            for row, own, more in spans.found(model, KINDS, whole, NAMES, _kept):
+            for row, own, more in spans.found(model, KINDS, whole, NAMES, kept):
                 text = whole[row].as_py()
                 values = sorted(_values(text, own, more))
                 out, done = [], 0

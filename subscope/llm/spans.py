@@ -13,9 +13,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import common, crf
 
 SAMPLE = 240  # documents with base spans, and as many without, that a model is fitted on
+DRAWN = 40  # times that many documents are looked at first
 LEFT, RIGHT = "\"'<>[]{},;:|`", "\"'<>[]{},;:|`.!?"
 
 
@@ -65,12 +67,20 @@ def marked(text: str, names: Sequence[str]) -> tuple[str, list[tuple[int, int, i
 def sample(docs: DataFrame, kinds: Sequence[Kind], rows: int = SAMPLE) -> list[str]:
     """At most ``rows`` texts that may hold a base span and ``rows`` of all texts, by a hash of the row.
 
-    The hashes are chosen first, so no task gathers texts that are not used.
+    The rows of the least hashes are the same however many are looked at, so DRAWN * ``rows`` documents are searched first,
+    and more only while too few of them may hold a span. The hashes are chosen before the texts are fetched.
     """
     keyed = docs.withColumn("h", F.xxhash64("doc_id", "text"))
     maybe = " or ".join(f"text rlike {_quoted(k.maybe)}" for k in kinds)
-    least = [r["h"] for part in (keyed.where(maybe), keyed) for r in part.select("h").distinct().orderBy("h").limit(rows).collect()]
-    return [r["text"] for r in keyed.where(F.col("h").isin(least)).dropDuplicates(["h"]).orderBy("h").select("text").collect()]
+    share = DRAWN * rows / max(docs.count(), 1)
+    while True:
+        part = keyed if share >= 1 else materialize(keyed.where(F.col("h") < int(share * 2**64) - 2**63), "sample")
+        lists = [[r["h"] for r in p.select("h").distinct().orderBy("h").limit(rows).collect()] for p in (part.where(maybe), part)]
+        if share >= 1 or min(map(len, lists)) == rows:
+            break
+        share *= DRAWN
+    least = [h for found in lists for h in found]
+    return [r["text"] for r in part.where(F.col("h").isin(least)).dropDuplicates(["h"]).orderBy("h").select("text").collect()]
 
 
 def _quoted(pattern: str) -> str:

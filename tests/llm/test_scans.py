@@ -344,3 +344,14 @@ def test_wrapped_license_notices(spark):
     for i, (label, _) in enumerate(licenses.TEMPLATES):
         assert label in out[i].labels.split(",") and out[i].score == 1.0
     assert out[99].labels == "" and out[99].score == 0.0
+
+
+def test_training_rows(spark, docs):
+    """The rows of the least hashes, whether few or all documents have to be searched for them."""
+    rows = docs.select("doc_id", "text").union(docs.select("doc_id", "text").limit(20)).na.fill("")
+    hashed = {r.h: r.text for r in rows.selectExpr("xxhash64(doc_id, text) h", "text").collect()}
+    may = [h for h, t in hashed.items() if any(re.search(k.maybe, t) for k in secret_scan.KINDS)]
+    for count in (1, 3, len(may) + 5):
+        want = {*sorted(hashed)[:count], *sorted(may)[:count]}
+        assert spans.sample(rows, secret_scan.KINDS, count) == [hashed[h] for h in sorted(want)]
+    assert spans.sample(rows.where("false"), secret_scan.KINDS) == []

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 400_000  # words whose ids a worker keeps; of a full cache the half not used lately goes, which changes no result
+CACHE_WORDS = 200_000  # words whose ids a worker keeps; of a full cache the half not used lately goes, which changes no result
+RUN_WORDS = 5_000  # words given to the tokenizer at a time: what it returns takes far more memory than the ids
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -27,6 +29,10 @@ def encoder(path: str) -> "Encoder":
     return _ENCODERS[path]
 
 
+def _runs(words: list[str]) -> Iterator[list[str]]:
+    return (words[i : i + RUN_WORDS] for i in range(0, len(words), RUN_WORDS))
+
+
 class Encoder:
     """Ids of a column of texts.
 
@@ -63,20 +69,21 @@ class Encoder:
                     missing.append(w)
         plain = {w: w.lower() for w in missing if _PLAIN(w)}  # the tokenizer does not tell cases apart, and these have one small form
         new = [w for w in dict.fromkeys(plain.values()) if w not in lately]
-        if new:
-            ids = np.array(self._encode([" ".join(new)])[0], dtype=np.uint32)
+        for some in _runs(new):
+            ids = np.array(self._encode([" ".join(some)])[0], dtype=np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(new):
+            if len(stops) == len(some):
                 data, prev = ids.tobytes(), 0
-                for word, stop in zip(new, (stops * 4).tolist()):
+                for word, stop in zip(some, (stops * 4).tolist()):
                     lately[word] = data[prev:stop]
                     prev = stop
         for word, small in plain.items():
             if small in lately:
                 lately[word] = lately[small]
         rest = [w for w in missing if w not in lately]
-        for word, ids in zip(rest, self._encode(rest)):
-            lately[word] = np.array(ids, dtype=np.uint32).tobytes()
+        for some in _runs(rest):
+            for word, ids in zip(some, self._encode(some)):
+                lately[word] = np.array(ids, dtype=np.uint32).tobytes()
         found = [lately[w] for w in words]
         if len(lately) > CACHE_WORDS // 2:
             self.lately, self.before = {}, lately

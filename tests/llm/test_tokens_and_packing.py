@@ -103,3 +103,16 @@ def test_odd_rows(spark, odd, tokenizer):
     assert token_counts.suffix_sums(token_counts.lengths(empty, encoding.vocabulary())).count() == 0
     sums = token_counts.suffix_sums(token_counts.lengths(odd, encoding.vocabulary()))
     assert sums.agg({"documents": "sum"}).first()[0] == odd.count()
+
+
+def test_encoder_gets_words_in_runs(tokenizer, monkeypatch):
+    """Never more than RUN_WORDS words at a time, with the same ids."""
+    import pyarrow as pa
+
+    words = ["".join(random.Random(i).choices("abcdeé", k=6)) + ("9" if i % 3 == 0 else "") for i in range(300)]
+    coder, seen = encoding.Encoder(encoding.vocabulary()), []
+    encode = coder._encode
+    monkeypatch.setattr(encoding, "RUN_WORDS", 40)
+    monkeypatch.setattr(coder, "_encode", lambda texts: seen.append(sum(len(t.split()) for t in texts)) or encode(texts))
+    ids, _ = coder.encode(pa.array([" ".join(words)], pa.large_string()))
+    assert max(seen) <= 40 and ids.tolist() == ids_of(tokenizer, " ".join(words))

@@ -205,3 +205,19 @@ def test_queries_fit_the_default_models(spark, sf_dir, monkeypatch):
     for name in ("score_all_models", "cv_r2"):
         catalog.QUERIES[name](spark, sf_dir)
     assert calls == [((), {}), ((), {})]
+
+
+def test_training_rows_are_even_and_no_more_than_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    rows = matrix.training_rows(spark.range(0, 1000, 1, 7).where("id < 900"), "rows", 10)
+    sizes = [r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert rows.count() == 900 and len(sizes) == min(cores, 90) and max(sizes) <= 900 / len(sizes) + 10
+
+
+def test_forest_keeps_nodes_between_levels(planted, monkeypatch):
+    made = []
+    forest = propensity.RandomForestClassifier
+    monkeypatch.setattr(propensity, "RandomForestClassifier", lambda **options: made.append(options) or forest(**options))
+    labelled = planted.withColumn("label_bundle_upgrade", F.col("churn_label"))
+    model = propensity.fit_propensity(labelled, "bundle_upgrade", FEATURES, trees=3)
+    assert made[0]["cacheNodeIds"] and made[0]["maxDepth"] == 30 and model.stages[-1].getNumTrees == 3

@@ -207,6 +207,23 @@ def test_queries_fit_the_default_models(spark, sf_dir, monkeypatch):
     assert calls == [((), {}), ((), {})]
 
 
+def test_rounds_are_boosted_once(planted, monkeypatch):
+    """A best round among the first ones needs one fit; the model cut there scores as one of so many rounds."""
+    fits = []
+    fit = churn.GBTClassifier.fit
+    monkeypatch.setattr(churn.GBTClassifier, "fit", lambda self, rows: fits.append(self.getMaxIter()) or fit(self, rows))
+    marked = matrix.mark_split(planted, "churn_label")
+    found = churn.fit_rounds(marked, FEATURES, trees=24, depth=3, step=0.3, patience=4)
+    kept = found.model.stages[-1].getNumTrees
+    assert fits == [20] and kept < 20
+    whole = churn.fit_rounds(marked.where("not is_test"), FEATURES, trees=6, depth=3, step=0.3)
+    cut = rounds.first_rounds(whole.model.stages[-1], 4)
+    again = churn.fit_rounds(marked.where("not is_test"), FEATURES, trees=4, depth=3, step=0.3).model.stages[-1]
+    assert cut.numFeatures == 4 and cut.treeWeights == again.treeWeights
+    rows = whole.model.stages[0].transform(planted).select("customer_id", "features")
+    assert cut.transform(rows).select("customer_id", "probability").exceptAll(again.transform(rows).select("customer_id", "probability")).count() == 0
+
+
 def test_training_rows_are_even_and_no_more_than_cores(spark):
     cores = spark.sparkContext.defaultParallelism
     rows = matrix.training_rows(spark.range(0, 1000, 1, 7).where("id < 900"), "rows", 10)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from subscope import constants as K
 from subscope.functions.rules import clv_back_transform
-from subscope.models.matrix import assembler, contiguous_folds, fit_pipeline, training_rows
+from subscope.models.matrix import assembler, contiguous_folds, fit_pipeline, fits_at_once, training_rows
 from subscope.operators.value import clv_target, with_clv_tier
 from subscope.session import checkpoint_root, side_by_side
 
@@ -53,7 +53,8 @@ def fold_r2(
     """R2 on the log target of each contiguous fold, by a model of the other folds.
 
     Vectors are assembled and stored once. The folds' models are fitted side by side over that table, as one of them
-    alone leaves most executors idle between the levels of its trees. No model of all rows is fitted.
+    alone leaves most executors idle between the levels of its trees, as many as keep their rows in memory. No model of
+    all rows is fitted.
     """
     checkpoint_root(df.sparkSession)
     vectors = assembler(features).transform(contiguous_folds(clv_target(df), folds))
@@ -64,7 +65,7 @@ def fold_r2(
         model = _booster(trees, depth, step).fit(rows.where(F.col("fold") != fold))
         return float(judge.evaluate(model.transform(rows.where(F.col("fold") == fold))))
 
-    return side_by_side([partial(one, fold) for fold in range(folds)])
+    return side_by_side([partial(one, fold) for fold in range(folds)], fits_at_once(rows))
 
 
 def cv_r2(

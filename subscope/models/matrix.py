@@ -16,6 +16,7 @@ from subscope.session import materialize
 from subscope.sources.contracts import require_columns
 
 ROWS_PER_TASK = 20_000
+ROWS_AT_ONCE = 3_000_000  # of all fits that run side by side
 
 
 def assembler(features: Sequence[str], out: str = "features") -> VectorAssembler:
@@ -40,6 +41,15 @@ def training_rows(df: DataFrame, name: str, rows_per_task: int = ROWS_PER_TASK)
     return materialize(df.repartition(tasks), name).coalesce(tasks)
 
 
+def fits_at_once(rows: DataFrame, most: int = 8) -> int:
+    """How many fits over a stored table run side by side: each keeps a copy of its rows in memory between its passes.
+
+    Few rows leave cores idle unless several fits share them; many keep all cores busy in one fit, and copies that do not
+    fit are read back from disk at every pass.
+    """
+    return max(1, min(most, ROWS_AT_ONCE // max(1, rows.count())))
+
+
 def mark_split(
     df: DataFrame, label: str, fraction: float = K.TEST_FRACTION, seed: int = K.SEED,
     id_col: str = "customer_id",

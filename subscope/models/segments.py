@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subscope import constants as K
-from subscope.models.matrix import assembler, fit_pipeline, training_rows
+from subscope.models.matrix import assembler, fit_pipeline, fits_at_once, training_rows
 from subscope.operators.explain import label_clusters
 from subscope.operators.reports import cluster_profiles
 from subscope.session import side_by_side
@@ -38,13 +38,13 @@ def fit_segments(
 
 
 def _best_starts(rows: DataFrame, ks: Iterable[int], n_init: int, seed: int) -> dict[int, KMeansModel]:
-    """For every k the model of the cheapest of ``n_init`` starts, the first of equal ones; all starts run side by side."""
+    """For every k the model of the cheapest of ``n_init`` starts, the first of equal ones; starts run side by side."""
 
     def start(k: int, i: int) -> tuple[float, int, int, KMeansModel]:
         model = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(rows)
         return float(model.summary.trainingCost), i, k, model
 
-    found = side_by_side([partial(start, k, i) for k in ks for i in range(n_init)])
+    found = side_by_side([partial(start, k, i) for k in ks for i in range(n_init)], fits_at_once(rows))
     found.sort(key=lambda f: f[:2])
     return {k: next(model for _, _, of, model in found if of == k) for k in ks}
 

@@ -2,6 +2,7 @@
 
 from test_plans import plan
 
+from subscope.models import matrix, segments
 from subscope.operators import events
 from subscope.plans import fixtures
 from subscope.session import SMALL_TASKS, small_tasks
@@ -25,3 +26,13 @@ def test_small_tasks_set_the_session_for_a_while(spark):
     with small_tasks(spark, rows=10):
         assert spark.conf.get("spark.sql.shuffle.partitions") == before["spark.sql.shuffle.partitions"]
     assert {key: spark.conf.get(key) for key in before} == before
+
+
+def test_fits_over_many_rows_do_not_run_side_by_side(spark, monkeypatch):
+    rows = spark.range(60).selectExpr("cast(id % 3 * 10 + id / 100 as double) as a", "cast(id % 3 as double) as b")
+    limits, together = [], segments.side_by_side
+    monkeypatch.setattr(segments, "side_by_side", lambda tasks, limit=8: limits.append(limit) or together(tasks, limit))
+    few = segments.k_selection(rows, ["a", "b"], ks=[3, 4], n_init=2).collect()
+    monkeypatch.setattr(matrix, "ROWS_AT_ONCE", 100)
+    assert few == segments.k_selection(rows, ["a", "b"], ks=[3, 4], n_init=2).collect()
+    assert limits[0] == 8 and limits[2] == 1

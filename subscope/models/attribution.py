@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from subscope.session import scratch_path
 
+TABLE_BITS = 6  # a leaf of so many features has 64 patterns at most, whose values a task keeps
+
 
 class Leaf(NamedTuple):
     """Splits on the way to a leaf, the share of training rows that meets each feature's splits, and its value."""
@@ -100,20 +102,37 @@ def _leaf(path: list, value: float) -> Leaf:
     return Leaf(features, [(features.index(f), t, left) for f, t, left, _ in path], shares, value)
 
 
-def contributions_of(x: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
-    """Contribution matrix of a batch."""
-    out = np.zeros_like(x)
-    for leaf in leaves:
+def contributions_of(x: np.ndarray, leaves: list[Leaf], tables: dict[int, np.ndarray] | None = None) -> np.ndarray:
+    """Contribution matrix of a batch.
+
+    ``tables`` keeps the values of all patterns of leaves with few, which are the same in every batch. Features are worked on
+    as contiguous columns, and a split is looked at once for the leaves that follow one another below it.
+    """
+    tables = {} if tables is None else tables
+    columns = np.ascontiguousarray(x.T)
+    out = np.zeros_like(columns)
+    seen: dict[tuple[int, float], np.ndarray] = {}
+    for number, leaf in enumerate(leaves):
         m = len(leaf.features)
-        met = np.ones((m, len(x)), dtype=bool)
-        for i, threshold, left in leaf.splits:
-            below = x[:, leaf.features[i]] <= threshold
-            met[i] &= below if left else ~below
-        pattern = (1 << np.arange(m, dtype=np.int64)) @ met
-        # all patterns where they are few, else those that occur
-        found, at = (np.arange(1 << m), pattern) if 1 << m <= len(x) else np.unique(pattern, return_inverse=True)
-        out[:, leaf.features] += _shapley((found[:, None] >> np.arange(m)) & 1, leaf.shares, leaf.value)[at]
-    return out
+        keys = [(leaf.features[i], threshold) for i, threshold, _ in leaf.splits]
+        seen = {key: seen[key] if key in seen else columns[key[0]] <= key[1] for key in keys}
+        met: list[np.ndarray | None] = [None] * m
+        for (i, _, left), key in zip(leaf.splits, keys):
+            below = seen[key] if left else ~seen[key]
+            met[i] = below if met[i] is None else met[i] & below
+        pattern = np.zeros(len(x), dtype=np.int64)
+        for i, fits in enumerate(met):
+            pattern += fits.astype(np.int64) << i
+        if m <= TABLE_BITS:
+            if number not in tables:
+                tables[number] = _shapley((np.arange(1 << m)[:, None] >> np.arange(m)) & 1, leaf.shares, leaf.value).T.copy()
+            table, at = tables[number], pattern
+        else:  # all patterns where they are few, else those that occur
+            found, at = (np.arange(1 << m), pattern) if 1 << m <= len(x) else np.unique(pattern, return_inverse=True)
+            table = _shapley((found[:, None] >> np.arange(m)) & 1, leaf.shares, leaf.value).T
+        for j, feature in enumerate(leaf.features):
+            out[feature] += table[j].take(at)
+    return np.ascontiguousarray(out.T)
 
 
 def attribute(model: PipelineModel, df: DataFrame, id_col: str = "customer_id") -> DataFrame:
@@ -124,9 +143,10 @@ def attribute(model: PipelineModel, df: DataFrame, id_col: str = "customer_id")
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables: dict[int, np.ndarray] = {}
         for batch in batches:
             if len(batch):
-                c = contributions_of(np.array(batch["x"].tolist(), dtype=float), shared.value.leaves)
+                c = contributions_of(np.array(batch["x"].tolist(), dtype=float), shared.value.leaves, tables)
                 yield pd.DataFrame({id_col: batch[id_col], "contributions": list(c)})
 
     return rows.mapInPandas(run, f"{id_col} {id_type}, contributions array<double>").withColumn(

@@ -1,8 +1,9 @@
 """Tasks that stay small on large inputs."""
 
+import numpy as np
 from test_plans import plan
 
-from subscope.models import matrix, segments
+from subscope.models import attribution, matrix, segments
 from subscope.operators import events
 from subscope.plans import fixtures
 from subscope.session import SMALL_TASKS, small_tasks
@@ -36,3 +37,26 @@ def test_fits_over_many_rows_do_not_run_side_by_side(spark, monkeypatch):
     monkeypatch.setattr(matrix, "ROWS_AT_ONCE", 100)
     assert few == segments.k_selection(rows, ["a", "b"], ks=[3, 4], n_init=2).collect()
     assert limits[0] == 8 and limits[2] == 1
+
+
+def test_values_of_a_leaf_are_worked_out_once(monkeypatch):
+    """Later batches reuse the values of each leaf's patterns; all patterns are covered and other leaves stay exact."""
+    x = np.random.default_rng(5).random((300, 4))
+    leaves = [
+        attribution.Leaf([0, 2], [(0, 0.5, True), (1, 0.3, False), (0, 0.2, False)], np.array([0.4, 0.7]), 1.5),
+        attribution.Leaf([1, 2, 3], [(1, 0.3, True), (0, 0.6, True), (2, 0.1, False)], np.array([0.2, 0.5, 0.9]), -2.0),
+    ]
+    calls, shapley = [], attribution._shapley
+    monkeypatch.setattr(attribution, "_shapley", lambda *a: calls.append(1) or shapley(*a))
+    tables: dict = {}
+    got = np.vstack([attribution.contributions_of(part, leaves, tables) for part in (x[:120], x[120:299], x[299:])])
+    assert len(calls) == len(leaves)
+    want = np.zeros_like(x)
+    for leaf in leaves:
+        met = np.ones((len(x), len(leaf.features)), dtype=int)
+        for i, threshold, left in leaf.splits:
+            met[:, i] &= (x[:, leaf.features[i]] <= threshold) == left
+        want[:, leaf.features] += shapley(met, leaf.shares, leaf.value)
+    assert np.array_equal(got, want)
+    monkeypatch.setattr(attribution, "TABLE_BITS", 0)
+    assert np.array_equal(attribution.contributions_of(x, leaves), want)

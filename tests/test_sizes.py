@@ -1,11 +1,12 @@
 """Tasks that stay small on large inputs."""
 
 import numpy as np
+import pytest
 from test_plans import plan
 
 from subscope.models import attribution, matrix, segments
 from subscope.operators import events
-from subscope.plans import fixtures
+from subscope.plans import catalog, fixtures
 from subscope.session import SMALL_TASKS, small_tasks
 
 
@@ -60,3 +61,21 @@ def test_values_of_a_leaf_are_worked_out_once(monkeypatch):
     assert np.array_equal(got, want)
     monkeypatch.setattr(attribution, "TABLE_BITS", 0)
     assert np.array_equal(attribution.contributions_of(x, leaves), want)
+
+
+def test_forests_over_many_rows_are_not_fitted_side_by_side(spark, sf_dir, monkeypatch):
+    limits = []
+
+    class Stop(Exception):
+        pass
+
+    def stop(tasks, limit=8):
+        limits.append((len(tasks), limit))
+        raise Stop
+
+    monkeypatch.setattr(matrix, "ROWS_AT_ONCE", fixtures.master(spark, sf_dir).count())
+    monkeypatch.setattr(catalog, "side_by_side", stop)
+    monkeypatch.setattr(catalog, "_fitted", {})
+    with pytest.raises(Stop):
+        catalog._propensity_models(spark, sf_dir)
+    assert limits == [(3, 1)]

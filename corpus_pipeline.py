@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from subscope.llm import decontamination, packing, secret_scan, setsketch, toxicity
-from subscope.llm.common import read, texts
+from subscope.llm.common import BATCH_BYTES, read, texts
 from subscope.session import scratch_path
 
 
@@ -30,8 +30,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their place in sequences of at most 2048 tokens."""
-    return packing.best_fit(docs)
+    """Pieces of all documents with their place in sequences of at most 2048 tokens.
+
+    The workers have grown in the stages before, so they get smaller batches here.
+    """
+    return packing.best_fit(docs, batch_bytes=BATCH_BYTES)
 
 
 STAGES = [

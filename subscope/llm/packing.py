@@ -23,16 +23,19 @@ CAPACITY = 2048
 END_ID = 0
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text_col: str = "text") -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text_col: str = "text", batch_bytes: int = 2 * common.BATCH_BYTES
+) -> DataFrame:
     """Encoded documents with the end id, cut only where they exceed the capacity.
 
     (doc_id, piece, start, length, ids_crc32). A null text is empty and gives one piece of the
-    end id alone; a null doc_id stays null; repeated rows give repeated pieces.
+    end id alone; a null doc_id stays null; repeated rows give repeated pieces. Texts are encoded in batches of about
+    ``batch_bytes``, which a worker holds several times over; the pieces do not depend on it.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding.encoder(tokenizer)
-        for batch in common.gathered(batches):
+        for batch in common.gathered(batches, limit=batch_bytes):
             ids, starts = enc.encode(batch.column(1))
             rows, piece, start, length, crc = [], [], [], [], []
             for i in range(batch.num_rows):
@@ -161,7 +164,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
-def best_fit(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, text_col: str = "text") -> DataFrame:
+def best_fit(
+    docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, text_col: str = "text", batch_bytes: int = 2 * common.BATCH_BYTES
+) -> DataFrame:
     """Pieces of all documents, each with its sequence and its place there."""
-    cut = materialize(pieces(docs, tokenizer or encoding.vocabulary(), capacity, text_col), "pieces")
+    cut = materialize(pieces(docs, tokenizer or encoding.vocabulary(), capacity, text_col, batch_bytes), "pieces")
     return pack(cut, capacity)

@@ -116,3 +116,16 @@ def test_encoder_gets_words_in_runs(tokenizer, monkeypatch):
     monkeypatch.setattr(coder, "_encode", lambda texts: seen.append(sum(len(t.split()) for t in texts)) or encode(texts))
     ids, _ = coder.encode(pa.array([" ".join(words)], pa.large_string()))
     assert max(seen) <= 40 and ids.tolist() == ids_of(tokenizer, " ".join(words))
+
+
+def test_pieces_do_not_depend_on_the_batches(odd, monkeypatch):
+    """Small batches give the same pieces, and the pipeline asks for them."""
+    import corpus_pipeline
+    from subscope.llm import common
+
+    rows = [sorted(map(repr, packing.pieces(odd, encoding.vocabulary(), batch_bytes=n).collect())) for n in (1_000, 5_000_000)]
+    assert rows[0] == rows[1]
+    asked = []
+    monkeypatch.setattr(packing, "best_fit", lambda docs, **k: asked.append(k))
+    corpus_pipeline.pack(None, None, "")
+    assert asked == [{"batch_bytes": common.BATCH_BYTES}]

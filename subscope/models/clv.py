@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from subscope import constants as K
 from subscope.functions.rules import clv_back_transform
-from subscope.models.matrix import assembler, contiguous_folds, fit_pipeline, fits_at_once, training_rows
+from subscope.models.matrix import assembler, contiguous_folds, fits_at_once, training_rows, training_vectors
 from subscope.operators.value import clv_target, with_clv_tier
 from subscope.session import checkpoint_root, side_by_side
 
@@ -28,9 +28,11 @@ def _booster(trees: int, depth: int, step: float) -> GBTRegressor:
 def fit_clv(
     df: DataFrame, features: Sequence[str], trees: int = 200, depth: int = 4, step: float = 0.05
 ) -> PipelineModel:
+    """Boosted trees on the log target, which is worked out here unless ``df`` holds it."""
     checkpoint_root(df.sparkSession)
-    rows = training_rows(clv_target(df).select(*features, "clv_log_target"), "clv-rows")
-    return fit_pipeline(rows, assembler(features), _booster(trees, depth, step))
+    rows = df if "clv_log_target" in df.columns else clv_target(df)
+    rows = training_vectors(rows, features, ["clv_log_target"], "clv-rows")
+    return PipelineModel(stages=[assembler(features), _booster(trees, depth, step).fit(rows)])
 
 
 def predict_clv(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -29,16 +29,34 @@ def feature_vector(df: DataFrame, features: Sequence[str], out: str = "features"
     return assembler(features, out).transform(df)
 
 
-def training_rows(df: DataFrame, name: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def training_rows(df: DataFrame, name: str, rows_per_task: int = ROWS_PER_TASK, even: bool = False) -> DataFrame:
     """``df`` as a table of equal parts, read in no more tasks than its rows need and than there are cores.
 
     Trees are fitted by a job for every level. Over a small table such a job takes as long as its tasks take to be
     scheduled. Over a large one each task sends the statistics of all nodes, so more tasks than cores add traffic only,
-    and the job lasts as long as its largest part. ``df`` is counted first and should be cheap to read.
+    and the job lasts as long as its largest part. ``df`` is counted first and should be cheap to read; where its parts are
+    ``even`` already, they are written as they are.
     """
+    tasks = _tasks(df, rows_per_task)
+    return materialize(df if even else df.repartition(tasks), name).coalesce(tasks)
+
+
+def _tasks(df: DataFrame, rows_per_task: int) -> int:
     cores = df.sparkSession.sparkContext.defaultParallelism
-    tasks = max(1, min(cores, math.ceil(df.count() / rows_per_task)))
-    return materialize(df.repartition(tasks), name).coalesce(tasks)
+    return max(1, min(cores, math.ceil(df.count() / rows_per_task)))
+
+
+def training_vectors(
+    df: DataFrame, features: Sequence[str], columns: Sequence[Column | str], name: str, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """``features`` as a vector beside ``columns``, assembled and stored once for all passes of a fit.
+
+    A ``df`` that holds the vector comes from here: several fits share one table of it, which is read as it lies.
+    """
+    if "features" in df.columns:
+        rows = df.select("features", *columns)
+        return rows.coalesce(_tasks(rows, rows_per_task))
+    return training_rows(assembler(features).transform(df).select("features", *columns), name, rows_per_task)
 
 
 def fits_at_once(rows: DataFrame, most: int = 8) -> int:

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from test_plans import plan
 
-from subscope.models import attribution, matrix, segments
-from subscope.operators import events
+from subscope import constants as K
+from subscope.models import attribution, clv, matrix, scoring, segments
+from subscope.operators import encoding, events
 from subscope.plans import catalog, fixtures
 from subscope.session import SMALL_TASKS, small_tasks
 
@@ -79,3 +80,15 @@ def test_forests_over_many_rows_are_not_fitted_side_by_side(spark, sf_dir, monke
     with pytest.raises(Stop):
         catalog._propensity_models(spark, sf_dir)
     assert limits == [(3, 1)]
+
+
+def test_fits_share_one_table_of_vectors(master, monkeypatch):
+    """Columns are assembled and dealt out once for all models, which predict what those fitted on the columns do."""
+    names = encoding.numeric_columns(master, [*K.NON_FEATURES, "cluster"])
+    stored, write = [], matrix.materialize
+    monkeypatch.setattr(matrix, "materialize", lambda df, name="table": stored.append(name) or write(df, name))
+    models = scoring.fit_all(master, names, churn_trees=2, forest_trees=2, clv_trees=2, n_init=1)
+    assert sorted(stored) == ["matrix", "scaled"]
+    alone = {r["customer_id"]: r["clv_90d"] for r in clv.predict_clv(clv.fit_clv(master, names, trees=2), master.drop("clv_90d")).collect()}
+    shared = clv.predict_clv(models.clv, master.drop("clv_90d")).collect()
+    assert len(shared) == len(alone) and all(r["clv_90d"] == pytest.approx(alone[r["customer_id"]], abs=1e-6) for r in shared)

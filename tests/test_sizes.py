@@ -2,10 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_plans import plan
 
 from subscope import constants as K
-from subscope.models import attribution, clv, matrix, scoring, segments
+from subscope.models import attribution, clv, matrix, persist, propensity, scoring, segments
 from subscope.operators import encoding, events
 from subscope.plans import catalog, fixtures
 from subscope.session import SMALL_TASKS, small_tasks
@@ -92,3 +93,54 @@ def test_fits_share_one_table_of_vectors(master, monkeypatch):
     alone = {r["customer_id"]: r["clv_90d"] for r in clv.predict_clv(clv.fit_clv(master, names, trees=2), master.drop("clv_90d")).collect()}
     shared = clv.predict_clv(models.clv, master.drop("clv_90d")).collect()
     assert len(shared) == len(alone) and all(r["clv_90d"] == pytest.approx(alone[r["customer_id"]], abs=1e-6) for r in shared)
+
+
+@pytest.fixture(scope="module")
+def offered(spark):
+    rows = spark.range(400).selectExpr("cast(id as string) as customer_id", "cast(id % 17 as double) as a", "cast(id % 5 as double) as b")
+    return rows.withColumn("label_bundle_upgrade", F.expr("cast(a + b > 10 as int)")).cache()
+
+
+def test_trees_over_many_rows_grow_in_parts(offered, monkeypatch, tmp_path):
+    """Parts of a forest vote as one forest of all trees, also after a reload; few rows grow all trees together."""
+    parts, kind = [], propensity.RandomForestClassifier
+    fit = kind.fit
+    monkeypatch.setattr(kind, "fit", lambda self, rows: parts.append(fit(self, rows)) or parts[-1])
+    propensity.fit_propensity(offered, "bundle_upgrade", ["a", "b"], trees=5)
+    assert [part.getNumTrees for part in parts] == [5]
+    parts.clear()
+    monkeypatch.setattr(propensity, "ROWS_BY_TREES", 900)
+    model = propensity.fit_propensity(offered, "bundle_upgrade", ["a", "b"], trees=5)
+    assert [part.getNumTrees for part in parts] == [1, 2, 2] and model.stages[-1].getNumTrees == 5
+    persist.save_model(model, str(tmp_path / "forest"))
+    for whole in (model, persist.load_model(str(tmp_path / "forest"))):
+        got = [r["p"] for r in propensity.propensity_score(whole, offered, "p").orderBy("customer_id").select("p").collect()]
+        rows = model.stages[0].transform(offered).orderBy("customer_id")
+        votes = [[r["probability"][1] * part.getNumTrees for r in part.transform(rows).select("probability").collect()] for part in parts]
+        assert got == pytest.approx([sum(v) / 5 for v in zip(*votes)])
+
+
+def test_scores_are_stored_before_they_are_ranked(offered):
+    """Ranking reads stored scores: no filter of it walks down the trees again."""
+    model = propensity.fit_propensity(offered, "bundle_upgrade", ["a", "b"], trees=3)
+    ranked = propensity.score_propensity(model, offered)
+    assert "UDF" not in plan(ranked) and ranked.count() == 400
+    assert ranked.where("targetable").agg(F.max("priority_rank")).first()[0] == ranked.where("propensity_score >= 0.5").count()
+
+
+def test_all_models_over_many_rows_are_not_fitted_side_by_side(master, monkeypatch):
+    limits = []
+
+    class Stop(Exception):
+        pass
+
+    def stop(tasks, limit=8):
+        limits.append((len(tasks), limit))
+        raise Stop
+
+    monkeypatch.setattr(scoring, "side_by_side", stop)
+    for at_once in (master.count(), 2 * master.count(), 100 * master.count()):
+        monkeypatch.setattr(matrix, "ROWS_AT_ONCE", at_once)
+        with pytest.raises(Stop):
+            scoring.fit_all(master, ["arpu", "tenure_months"])
+    assert limits == [(6, 1), (6, 2), (6, 8)]

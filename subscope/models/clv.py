@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import partial
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subscope import constants as K
 from subscope.functions.rules import clv_back_transform
-from subscope.models.matrix import assembler, contiguous_folds, fits_at_once, training_rows, training_vectors
+from subscope.models.folds import held_out_r2
+from subscope.models.matrix import assembler, contiguous_folds, training_rows, training_vectors
 from subscope.operators.value import clv_target, with_clv_tier
-from subscope.session import checkpoint_root, side_by_side
+from subscope.session import checkpoint_root
 
 
 def _booster(trees: int, depth: int, step: float) -> GBTRegressor:
@@ -54,20 +53,13 @@ def fold_r2(
 ) -> list[float]:
     """R2 on the log target of each contiguous fold, by a model of the other folds.
 
-    Vectors are assembled and stored once. The folds' models are fitted side by side over that table, as one of them
-    alone leaves most executors idle between the levels of its trees, as many as keep their rows in memory. No model of
-    all rows is fitted.
+    Vectors are assembled and stored once. The folds' models are boosted together: a pass over that table serves all of
+    them. No model of all rows is fitted.
     """
     checkpoint_root(df.sparkSession)
     vectors = assembler(features).transform(contiguous_folds(clv_target(df), folds))
     rows = training_rows(vectors.select("features", "clv_log_target", "fold"), "cv-rows")
-    judge = RegressionEvaluator(labelCol="clv_log_target", predictionCol="clv_log", metricName="r2")
-
-    def one(fold: int) -> float:
-        model = _booster(trees, depth, step).fit(rows.where(F.col("fold") != fold))
-        return float(judge.evaluate(model.transform(rows.where(F.col("fold") == fold))))
-
-    return side_by_side([partial(one, fold) for fold in range(folds)], fits_at_once(rows))
+    return held_out_r2(rows, folds, trees, depth, step, "clv_log_target")
 
 
 def cv_r2(

@@ -238,3 +238,50 @@ def test_forest_keeps_nodes_between_levels(planted, monkeypatch):
     labelled = planted.withColumn("label_bundle_upgrade", F.col("churn_label"))
     model = propensity.fit_propensity(labelled, "bundle_upgrade", FEATURES, trees=3)
     assert made[0]["cacheNodeIds"] and made[0]["maxDepth"] == 30 and model.stages[-1].getNumTrees == 3
+
+
+def test_folds_are_boosted_as_spark_boosts_them(planted, monkeypatch):
+    """All folds in the same passes, each of them as Spark's trees on the other folds' rows; a constant column too."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+
+    from subscope.models import folds
+
+    names = [*FEATURES, "e"]
+    rows = matrix.contiguous_folds(planted.withColumns({"e": F.lit(1.0), "y": F.col("a") * F.col("b") + F.col("c")}), 3)
+    rows = matrix.assembler(names).transform(rows).select("features", "y", "fold").coalesce(1).cache()
+    got = folds.held_out_r2(rows, 3, trees=5, depth=3, step=0.3, label="y")
+    monkeypatch.setattr(folds, "CHECKPOINT", 2)
+    assert got == pytest.approx(folds.held_out_r2(rows.repartition(3), 3, trees=5, depth=3, step=0.3, label="y"), abs=1e-9)
+    booster = clv._booster(5, 3, 0.3).setLabelCol("y").setPredictionCol("p")
+    judge = RegressionEvaluator(labelCol="y", predictionCol="p", metricName="r2")
+    want = [judge.evaluate(booster.fit(rows.where(F.col("fold") != k)).transform(rows.where(F.col("fold") == k))) for k in range(3)]
+    assert got == pytest.approx(want, abs=1e-9) and min(got) > 0.3
+    with pytest.raises(Exception, match="finite"):
+        folds.held_out_r2(rows.withColumn("y", F.when(F.col("fold") > 0, F.col("y"))), 3, 1, 1, 0.3, "y")
+
+
+def test_folds_share_their_passes(planted, monkeypatch):
+    """A level of the trees is one pass for all folds, and no fit of a fold runs beside it."""
+    from subscope.models import folds
+
+    passes, level = [], folds._split
+    monkeypatch.setattr(folds, "_split", lambda *a: passes.append(1) or level(*a))
+    monkeypatch.setattr(clv.GBTRegressor, "fit", lambda *a: pytest.fail("a fold was fitted by itself"))
+    rows = planted.withColumn("total_recharge_90d", F.abs("a") * 100)
+    monkeypatch.setattr(clv, "training_rows", lambda df, name: df.repartition(2))
+    assert all(r <= 1 for r in clv.fold_r2(rows, FEATURES, folds=3, trees=2, depth=2)) and len(passes) == 2 * 2 * 3
+
+
+def test_features_of_few_bins_are_counted_together(planted, monkeypatch):
+    """Grouped counts find the trees that counts of each feature find."""
+    from subscope.models import folds
+
+    binary = {f"b{i}": (F.col(c) > 0).cast("double") for i, c in enumerate(FEATURES)}
+    rows = matrix.contiguous_folds(planted.withColumns({**binary, "y": F.col("a") + F.col("b") * (F.col("c") > 0).cast("double")}), 3)
+    rows = matrix.assembler([*FEATURES, *binary]).transform(rows).select("features", "y", "fold").coalesce(1).cache()
+    monkeypatch.setattr(folds, "SAMPLE", 250)
+    found = []
+    for cells in (512, 1):
+        monkeypatch.setattr(folds, "CELLS", cells)
+        found.append((len(folds.Grid.of(rows, 3, "y", "fold").groups), folds.held_out_r2(rows, 3, 4, 3, 0.3, "y")))
+    assert [groups for groups, _ in found] == [1, 0] and found[0][1] == pytest.approx(found[1][1], abs=1e-9)
